@@ -14,17 +14,20 @@ DATE_FORMATS = ["yyyy.MM.dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy.MM.dd HH:mm:ss", "
 # Cell texts that stand for "no value".
 NULL_WORDS = ["", "nan", "none"]
 
+# Every character that counts as white space, beyond the ASCII ones.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def squash(c: Column) -> Column:
     """Collapse runs of white space to one blank and strip."""
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
 def to_number(c: Column) -> Column:

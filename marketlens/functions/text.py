@@ -12,7 +12,7 @@ HANGUL_WORD = "[가-힣]{2,}"
 LATIN_WORD = "[a-zA-Z]{2,}"
 
 # Fixed patterns of the overlapping number counts.
-NUMBER_PATTERNS = [r"\d+\.\d+%", r"\d+%", r"\d+\.\d+점", r"\d+\.\d+"]
+NUMBER_PATTERNS = [r"\p{Nd}+\.\p{Nd}+%", r"\p{Nd}+%", r"\p{Nd}+\.\p{Nd}+점", r"\p{Nd}+\.\p{Nd}+"]
 
 
 def tokens(c: Column) -> Column:
