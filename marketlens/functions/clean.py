@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens import schema
-
 # Fixed date formats tried after the ISO cast.
 DATE_FORMATS = ["yyyy.MM.dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy.MM.dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy/MM/dd HH:mm"]
 
@@ -67,12 +65,6 @@ def parse_iso(c: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), text.try_cast("timestamp_ntz"))
 
 
-def when_column(df: DataFrame, name: str, make) -> Column:
-    if isinstance(df.schema[name].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        return F.col(name).cast("timestamp_ntz")
-    return make(F.col(name))
-
-
 def brand_of(c: Column) -> Column:
     """Stripped brand, null when blank."""
     return F.nullif(strip(F.coalesce(c, F.lit(""))), F.lit(""))
@@ -106,51 +98,3 @@ def parse_literal(c: Column, kind: str) -> Column:
     text = literal_text(c)
     options = {"allowUnquotedFieldNames": "true", "allowBackslashEscapingAnyCharacter": "true"}
     return F.coalesce(F.from_json(text, kind, options), F.from_json(as_json_words(text), kind, options))
-
-
-def canonical_products(df: DataFrame) -> DataFrame:
-    """Typed products: bigint ids, null brand when blank, doubles for measures; rows without category drop out.
-
-    Measure columns that the table lacks are added as null, so every operator can count on them.
-    """
-    for name in ["id", "category_id", "category", "manufacturer"]:
-        schema.require_columns(df, [name], "products")
-
-    def num(name):
-        return (numeric(df, name) if name in df.columns else F.lit(None).cast("double")).alias(name)
-
-    def text(name):
-        return (F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")).alias(name)
-
-    stamp = when_column(df, "updated_at", parse_iso) if "updated_at" in df.columns else F.lit(None).cast("timestamp_ntz")
-    return df.select(
-        to_id(df, "id").alias("id"),
-        to_id(df, "category_id").alias("category_id"),
-        text("category"),
-        brand_of(F.col("manufacturer").cast("string")).alias("brand"),
-        num("review_count"),
-        num("average_rating"),
-        num("min_price"),
-        text("price_trend"),
-        text("specifications"),
-        text("unit_price"),
-        text("review_tags"),
-        text("review_rating_distribution"),
-        text("review_platform_distribution"),
-        stamp.alias("updated_at"),
-    ).filter(F.col("category_id").isNotNull())
-
-
-def canonical_reviews(df: DataFrame) -> DataFrame:
-    """Typed reviews. The date and text columns are the first of the known names that the table has."""
-    date = next((n for n in schema.DATE_COLUMNS if n in df.columns), None)
-    body = next((n for n in schema.TEXT_COLUMNS if n in df.columns), None)
-    key = F.col("review_id") if "review_id" in df.columns else F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.select(
-        key.alias("review_id"),
-        to_id(df, "product_id").alias("product_id"),
-        (numeric(df, "rating") if "rating" in df.columns else F.lit(None).cast("double")).alias("rating"),
-        (F.nullif(strip(F.col("platform").cast("string")), F.lit("")) if "platform" in df.columns else F.lit(None).cast("string")).alias("platform"),
-        (when_column(df, date, to_timestamp_lenient) if date else F.lit(None).cast("timestamp_ntz")).alias("review_date"),
-        (F.col(body).cast("string") if body else F.lit(None).cast("string")).alias("review_text"),
-    ).filter(F.col("product_id").isNotNull())

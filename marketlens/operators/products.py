@@ -5,26 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.clean import parse_literal, positive, strip, to_number
+from marketlens.functions.cells import STARS
+from marketlens.functions.clean import positive
 from marketlens.operators.quantiles import exact_quantiles
 
-STARS = ["1", "2", "3", "4", "5"]
 BY_CATEGORY = ("category_id",)
 
-# Fixed period names of the price trend.
-RECENT_PERIOD = "1개월"
-PAST_PERIOD = "6개월"
-
 
 def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
-def whole_number(c: Column) -> Column:
-    """Text or number truncated to a whole number; null when it is neither."""
-    return to_number(c).cast("bigint")
-
-
 def summary_measures() -> list[Column]:
     """Aggregates of one pass over products: counts, weighted rating, zero-review share, dates, price range."""
     n = F.coalesce(F.col("review_count"), F.lit(0.0))
@@ -43,8 +34,7 @@ def summary_measures() -> list[Column]:
 
 
 def rating_hist_product_measures() -> list[Column]:
-    stars = parse_literal(F.col("review_rating_distribution"), "map<string,string>")
-    return [total(F.coalesce(whole_number(stars[k]), F.lit(0))).alias(f"product_stars_{k}") for k in STARS]
+    return [total(F.col("stars")[i]).alias(f"product_stars_{k}") for i, k in enumerate(STARS)]
 
 
 def rating_hist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -54,8 +44,8 @@ def rating_hist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
 
 def platform_dist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Sum of the channel counts in the distribution cells."""
-    cells = products.select(*keys, F.explode(parse_literal(F.col("review_platform_distribution"), "map<string,string>")).alias("platform", "_n"))
-    return cells.groupBy(*keys, "platform").agg(total(F.coalesce(whole_number(F.col("_n")), F.lit(0))).alias("review_count"))
+    cells = products.select(*keys, F.explode("channels").alias("platform", "_n"))
+    return cells.groupBy(*keys, "platform").agg(total(F.col("_n")).alias("review_count"))
 
 
 def brand_scores_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -65,9 +55,8 @@ def brand_scores_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
 
 
 def tag_counts(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """Stripped non-blank review tags with their counts."""
-    tags = products.select(*keys, F.explode(parse_literal(F.col("review_tags"), "array<string>")).alias("_tag"))
-    return tags.select(*keys, strip(F.col("_tag")).alias("word")).filter(F.col("word") != "").groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    """Review tags with their counts."""
+    return products.select(*keys, F.explode("tags").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
 def price_quantiles(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -76,18 +65,6 @@ def price_quantiles(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     return exact_quantiles(priced, keys, "_price", {"price_p25": 0.25, "price_p50": 0.5, "price_p75": 0.75})
 
 
-def price_change(trend: Column) -> Column:
-    """Relative change from the past to the recent period, from the first valid price of each."""
-    items = parse_literal(trend, "array<struct<period:string,price:string>>")
-
-    def first_price(period):
-        prices = F.transform(F.filter(items, lambda x: strip(x["period"]) == period), lambda x: positive(to_number(x["price"])))
-        return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
-
-    past = first_price(PAST_PERIOD)
-    return (first_price(RECENT_PERIOD) - past) / past
-
-
 def price_change_median(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    changes = products.select(*keys, price_change(F.col("price_trend")).alias("_change"))
-    return exact_quantiles(changes, keys, "_change", {"price_change_6m_median": 0.5})
+    """Median over products of the six-month price change."""
+    return exact_quantiles(products, keys, "price_change", {"price_change_6m_median": 0.5})

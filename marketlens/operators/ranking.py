@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def same(left: str, right: str, names) -> Column:
-    """Null-safe equality of several columns of two aliased frames."""
-    return reduce(lambda a, b: a & b, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names])
+SLACK = 16
 
 
 def top_k(df: DataFrame, keys, order, k: int, rank: str = "rn") -> DataFrame:
@@ -55,3 +51,18 @@ def hash_draw(df: DataFrame, keys, take: str, order: str, tie: str) -> DataFrame
         .select(*df.columns)
     )
     return below.unionAll(inside)
+
+
+def hash_first(df: DataFrame, keys, k: int, size: str, order: str, tie: str) -> DataFrame:
+    """Per group the ``k`` rows with the smallest hash, where column ``size`` holds the row count of the group.
+
+    Only rows with a hash in the lowest ``SLACK * k / size`` part can be among them, as long as at
+    least k rows are that low. Groups where fewer are (about one in 10^18) are ranked over all rows.
+    """
+    place = F.conv(F.substring(order, 1, 12), 16, 10).cast("double") / 16.0**12
+    near = top_k(df.filter(place * F.col(size) < SLACK * k), keys, [order, tie], k)
+    got = near.groupBy(*keys).agg(F.count("*").alias("_got"))
+    expected = df.select(*keys, F.least(F.col(size), F.lit(k)).alias("_want")).distinct()
+    short = expected.join(got, list(keys), "left").filter(F.coalesce("_got", F.lit(0)) < F.col("_want")).select(*keys)
+    rest = top_k(df.join(short, list(keys), "left_semi"), keys, [order, tie], k)
+    return near.join(short, list(keys), "left_anti").unionByName(rest)

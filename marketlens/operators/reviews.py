@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.operators.products import BY_CATEGORY, STARS, total
+from marketlens.functions.cells import STARS
+from marketlens.operators.products import BY_CATEGORY, total
 from marketlens.operators.selection import product_lookup
 
 FACT_SUMS = ["n", "n_rated", "rating_sum"] + [f"stars_{k}" for k in STARS]

@@ -1,65 +1,21 @@
-"""Segment labels from specification and unit-price cells."""
+"""Segment label frequencies."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.clean import parse_literal, strip
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import by_score, top_k
 
-# Specification keys per rule, the label each gives, and the words that mark a type.
-AGE_KEYS = ["연령", "사용연령", "적용연령", "대상연령"]
-CAPACITY_KEYS = ["용량", "규격", "크기", "사이즈"]
-COMPOSITION_KEYS = ["구성", "포함내용", "구성품"]
-TYPE_WORDS = ["유기농", "무첨가", "무향", "프리미엄", "세트", "단품", "대용량", "소용량"]
-AGE_LABEL, CAPACITY_LABEL, COMPOSITION_LABEL, TYPE_LABEL, UNIT_LABEL = "연령", "용량", "구성", "타입", "단위"
-CAPACITY_PATTERN = r"\p{Nd}+[mlkgL매개권조각세트팩]+"
-UNIT_PATTERN = "원/([가-힣a-zA-Z]+)"
-LONGEST_COMPOSITION = 29
 
-
-def label(name, value):
-    return F.concat(F.lit(f"{name}: "), value)
-
-
-def spec_segments(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """One row per label found in the specification cells.
-
-    A cell maps keys to text or to a nested map; both kinds are looked at, other values are not.
-    """
-    tvf = products.sparkSession.tvf
-    cells = products.select(*keys, parse_literal(F.col("specifications"), "variant").alias("_spec")).filter(F.col("_spec").isNotNull())
-    outer = cells.lateralJoin(tvf.variant_explode(F.col("_spec").outer())).select(
-        *keys, F.col("key").alias("_key"), F.col("value").alias("_value"), F.schema_of_variant("value").alias("_kind")
-    ).filter(F.col("_key").isNotNull())
-    plain = outer.filter(F.col("_kind") == "STRING").select(*keys, "_key", F.lit(None).cast("string").alias("_inner"), "_value", "_kind")
-    nested = (
-        outer.filter(F.col("_kind").startswith("OBJECT"))
-        .select(*keys, "_key", F.col("_value").alias("_object"))
-        .lateralJoin(tvf.variant_explode(F.col("_object").outer()))
-        .select(*keys, "_key", F.col("key").alias("_inner"), F.col("value").alias("_value"), F.schema_of_variant("value").alias("_kind"))
-    )
-    text = F.when(F.col("_kind") == "STRING", F.try_variant_get("_value", "$", "string"))
-    trimmed = strip(text)
-    size = F.length(trimmed)
-    found = F.when(F.col("_key").isin(AGE_KEYS) & (size > 0), label(AGE_LABEL, trimmed))
-    found = found.when(F.col("_key").isin(CAPACITY_KEYS) & text.rlike(CAPACITY_PATTERN), label(CAPACITY_LABEL, trimmed))
-    found = found.when(F.col("_key").isin(COMPOSITION_KEYS) & size.between(1, LONGEST_COMPOSITION), label(COMPOSITION_LABEL, trimmed))
-    flag = (F.col("_kind") == "BOOLEAN") & F.try_variant_get("_value", "$", "boolean")
-    found = found.when(F.col("_inner").isin(TYPE_WORDS) & flag, label(TYPE_LABEL, F.col("_inner")))
-    return plain.unionAll(nested).select(*keys, found.alias("segment")).filter(F.col("segment").isNotNull())
-
-
-def unit_segments(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """One row per unit name after the currency sign."""
-    unit = F.regexp_extract(strip(F.col("unit_price")), UNIT_PATTERN, 1)
-    return products.select(*keys, unit.alias("_unit")).filter(F.col("_unit") != "").select(*keys, label(UNIT_LABEL, F.col("_unit")).alias("segment"))
+def segment_bag(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Specification and unit labels together, repeats kept."""
+    return products.select(*keys, F.explode(F.concat("spec_segments", "unit_segments")).alias("segment"))
 
 
-def segment_bag(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return spec_segments(products, keys).unionAll(unit_segments(products, keys))
+def segment_counts(products: DataFrame, column: str, keys=BY_CATEGORY) -> DataFrame:
+    return products.select(*keys, F.explode(column).alias("segment")).groupBy(*keys, "segment").agg(F.count("*").alias("n"))
 
 
 def top_segments(products: DataFrame, keys=BY_CATEGORY, k: int = 10, least: int = 2) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.cells import STARS
 from marketlens.functions.numbers import category_display_name
 from marketlens.operators import brands, products as prod, reviews as rev
-from marketlens.operators.products import BY_CATEGORY, STARS
+from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import by_score, top_k
 from marketlens.operators.segments import top_segments
 
