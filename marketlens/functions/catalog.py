@@ -24,16 +24,14 @@ def canonical_products(df: DataFrame) -> DataFrame:
     """
     schema.require_columns(df, ["id", "category_id", "category", "manufacturer"], "products")
 
-    def cell(name, make, kind="string"):
-        return (make(F.col(name)) if name in df.columns else F.lit(None).cast(kind)).alias(name)
-
     def num(name):
         return (numeric(df, name) if name in df.columns else F.lit(None).cast("double")).alias(name)
 
     def text(name):
         return F.col(name).cast("string") if name in df.columns else F.lit(None).cast("string")
 
-    return df.select(
+    # Two steps: a parsed cell is used several times below and must not be parsed for each use.
+    parsed = df.select(
         to_id(df, "id").alias("id"),
         to_id(df, "category_id").alias("category_id"),
         text("category").alias("category"),
@@ -41,14 +39,30 @@ def canonical_products(df: DataFrame) -> DataFrame:
         num("review_count"),
         num("average_rating"),
         num("min_price"),
-        cells.price_change(text("price_trend")).alias("price_change"),
-        cells.spec_labels(text("specifications")).alias("spec_segments"),
-        cells.unit_labels(text("unit_price")).alias("unit_segments"),
-        cells.tags(text("review_tags")).alias("tags"),
-        cells.star_counts(text("review_rating_distribution")).alias("stars"),
-        cells.channel_counts(text("review_platform_distribution")).alias("channels"),
+        cells.price_points(text("price_trend")).alias("_trend"),
+        cells.spec_object(text("specifications")).alias("_spec"),
+        text("unit_price").alias("_unit"),
+        cells.tag_list(text("review_tags")).alias("_tags"),
+        cells.text_map(text("review_rating_distribution")).alias("_stars"),
+        cells.text_map(text("review_platform_distribution")).alias("_channels"),
         (stamp(df, "updated_at", parse_iso) if "updated_at" in df.columns else F.lit(None).cast("timestamp_ntz")).alias("updated_at"),
     ).filter(F.col("category_id").isNotNull())
+    return parsed.select(
+        "id",
+        "category_id",
+        "category",
+        "brand",
+        "review_count",
+        "average_rating",
+        "min_price",
+        cells.price_change(F.col("_trend")).alias("price_change"),
+        cells.spec_labels(F.col("_spec")).alias("spec_segments"),
+        cells.unit_labels(F.col("_unit")).alias("unit_segments"),
+        cells.tags(F.col("_tags")).alias("tags"),
+        cells.star_counts(F.col("_stars")).alias("stars"),
+        cells.channel_counts(F.col("_channels")).alias("channels"),
+        "updated_at",
+    )
 
 
 def canonical_reviews(df: DataFrame) -> DataFrame:

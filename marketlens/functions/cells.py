@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.clean import parse_literal, positive, strip, to_number
+from marketlens.functions.clean import let, parse_literal, strip, to_number
 
 STARS = ["1", "2", "3", "4", "5"]
 
@@ -31,32 +31,45 @@ def whole_number(c: Column) -> Column:
     return F.coalesce(to_number(c).cast("bigint"), F.lit(0))
 
 
-def star_counts(c: Column) -> Column:
-    """Counts for one to five stars; null when the cell has no readable map."""
-    cell = parse_literal(c, "map<string,string>")
+def text_map(c: Column) -> Column:
+    return parse_literal(c, "map<string,string>")
+
+
+def star_counts(cell: Column) -> Column:
+    """Counts for one to five stars of a parsed cell; null without a readable map."""
     return F.when(cell.isNotNull(), F.array(*[whole_number(cell[k]) for k in STARS]))
 
 
-def channel_counts(c: Column) -> Column:
-    return F.transform_values(parse_literal(c, "map<string,string>"), lambda k, v: whole_number(v))
+def channel_counts(cell: Column) -> Column:
+    return F.transform_values(cell, lambda k, v: whole_number(v))
+
+
+def tag_list(c: Column) -> Column:
+    return parse_literal(c, "array<string>")
+
 
+def tags(cell: Column) -> Column:
+    """Stripped non-blank tags of a parsed cell, repeats kept."""
+    return F.filter(F.transform(cell, lambda t: strip(F.coalesce(t, F.lit("None")))), lambda t: t != "")
 
-def tags(c: Column) -> Column:
-    """Stripped non-blank tags, repeats kept."""
-    stripped = F.transform(parse_literal(c, "array<string>"), lambda t: strip(F.coalesce(t, F.lit("None"))))
-    return F.filter(stripped, lambda t: t != "")
 
+def price_points(c: Column) -> Column:
+    return parse_literal(c, "array<struct<period:string,price:string>>")
 
-def price_change(c: Column) -> Column:
+
+def price_change(cell: Column) -> Column:
     """Relative change from the past to the recent period, from the first valid price of each."""
-    items = parse_literal(c, "array<struct<period:string,price:string>>")
+    points = F.transform(cell, lambda x: F.struct(strip(x["period"]).alias("period"), to_number(x["price"]).alias("price")))
+    valid = F.filter(points, lambda x: x["price"] > 0)
+
+    def first_price(items, period):
+        return F.get(F.filter(items, lambda x: x["period"] == period), F.lit(0))["price"]
 
-    def first_price(period):
-        prices = F.transform(F.filter(items, lambda x: strip(x["period"]) == period), lambda x: positive(to_number(x["price"])))
-        return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+    return let(valid, lambda items: let(first_price(items, PAST_PERIOD), lambda past: (first_price(items, RECENT_PERIOD) - past) / past))
 
-    past = first_price(PAST_PERIOD)
-    return (first_price(RECENT_PERIOD) - past) / past
+
+def spec_object(c: Column) -> Column:
+    return parse_literal(c, "variant")
 
 
 def label(name: str, value: Column) -> Column:
@@ -69,8 +82,8 @@ def entries(c: Column) -> Column:
     return F.transform(pairs, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("kind")))
 
 
-def spec_labels(c: Column) -> Column:
-    """Age, capacity, composition and type labels of a specification cell, repeats kept.
+def spec_labels(cell: Column) -> Column:
+    """Age, capacity, composition and type labels of a parsed specification cell, repeats kept.
 
     A value counts when it is text, directly or inside a nested map; a nested true counts for type words.
     """
@@ -87,8 +100,9 @@ def spec_labels(c: Column) -> Column:
         return F.when(x["kind"].startswith("OBJECT"), nested).otherwise(F.array(leaf(x["key"], F.lit(None).cast("string"), x)))
 
     def found(x):
-        trimmed = strip(x["text"])
-        size = F.length(trimmed)
+        return let(strip(x["text"]), lambda trimmed: chosen(x, trimmed, F.length(trimmed)))
+
+    def chosen(x, trimmed, size):
         return (
             F.when(x["key"].isin(AGE_KEYS) & (size > 0), label(AGE_LABEL, trimmed))
             .when(x["key"].isin(CAPACITY_KEYS) & x["text"].rlike(CAPACITY_PATTERN), label(CAPACITY_LABEL, trimmed))
@@ -96,7 +110,7 @@ def spec_labels(c: Column) -> Column:
             .when(x["inner"].isin(TYPE_WORDS) & x["flag"], label(TYPE_LABEL, x["inner"]))
         )
 
-    all_leaves = F.flatten(F.transform(entries(parse_literal(c, "variant")), leaves))
+    all_leaves = F.flatten(F.transform(entries(cell), leaves))
     return F.coalesce(F.array_compact(F.transform(all_leaves, found)), F.array().cast(NO_TEXTS))
 
 

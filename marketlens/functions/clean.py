@@ -15,6 +15,9 @@ NULL_WORDS = ["", "nan", "none"]
 # Every character that counts as white space, beyond the ASCII ones.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
+# Decimal number text; the cast alone would also take suffixes such as 1d.
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -28,11 +31,15 @@ def squash(c: Column) -> Column:
     return strip(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_number(c: Column) -> Column:
-    """Text to double; what is not a finite number becomes null."""
-    text = F.trim(c.cast("string"))
-    number = F.when(~text.rlike("[dDfF]$"), text.try_cast("double"))
-    return F.when(F.abs(number) < F.lit(float("inf")), number)
+    """Text to double; what is not a decimal number becomes null."""
+    text = c.cast("string")
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
 
 
 def to_id(df: DataFrame, name: str) -> Column:

@@ -13,7 +13,7 @@ UNNAMED_CATEGORY = "카테고리"
 
 def fixed(c: Column, digits: int) -> Column:
     """Decimal text with half-even rounding of the exact binary value and no grouping."""
-    return F.format_number(c, "0." + "0" * digits if digits else "0")
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits if digits else "0"))
 
 
 def pct(c: Column, digits: int = 1) -> Column:

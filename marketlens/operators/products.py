@@ -10,6 +10,7 @@ from marketlens.functions.clean import positive
 from marketlens.operators.quantiles import exact_quantiles
 
 BY_CATEGORY = ("category_id",)
+QUARTILES = {"price_p25": 0.25, "price_p50": 0.5, "price_p75": 0.75}
 
 
 def total(c: Column) -> Column:
@@ -62,9 +63,21 @@ def tag_counts(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
 def price_quantiles(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Quartiles of the positive prices."""
     priced = products.select(*keys, positive(F.col("min_price")).alias("_price"))
-    return exact_quantiles(priced, keys, "_price", {"price_p25": 0.25, "price_p50": 0.5, "price_p75": 0.75})
+    return exact_quantiles(priced, keys, "_price", QUARTILES)
 
 
 def price_change_median(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Median over products of the six-month price change."""
     return exact_quantiles(products, keys, "price_change", {"price_change_6m_median": 0.5})
+
+
+def price_measures(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Price quartiles and the change median from one run of the quantile levels."""
+    keys = list(keys)
+    both = F.map_from_arrays(F.array(F.lit("price"), F.lit("change")), F.array(positive(F.col("min_price")), F.col("price_change")))
+    found = exact_quantiles(products.select(*keys, F.explode(both).alias("_measure", "_value")), [*keys, "_measure"], "_value", QUARTILES)
+    of_price = F.col("_measure") == "price"
+    return found.groupBy(*keys).agg(
+        *[F.max(F.when(of_price, F.col(q))).alias(q) for q in QUARTILES],
+        F.max(F.when(~of_price, F.col("price_p50"))).alias("price_change_6m_median"),
+    )

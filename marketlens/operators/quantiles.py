@@ -34,38 +34,32 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: dict[str, float]) ->
     coarse, fine = slices(F.col("_v"))
     counted = counted.withColumn("_coarse", coarse).withColumn("_fine", fine)
 
-    sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
-    wanted = []
-    for name, p in probs.items():
-        place = F.lit(p) * (F.col("_size") - 1)
-        for part, rank in [("lo", F.floor(place)), ("hi", F.ceil(place))]:
-            wanted.append(F.struct(F.lit(f"{name}:{part}").alias("slot"), rank.alias("rank")))
-    targets = sizes.select(*keys, "_size", F.explode(F.array(*wanted)).alias("_t")).select(
-        *keys, "_size", F.col("_t.slot").alias("_slot"), F.col("_t.rank").alias("_rank"), F.lit(0).cast("bigint").alias("_base")
-    )
+    def place(p):
+        return F.lit(p) * (F.col("_size") - 1)
+
+    slots = F.array(*[F.struct(F.lit(f"{name}:{end}").alias("slot"), rank.alias("rank")) for name, p in probs.items() for end, rank in [("lo", F.floor(place(p))), ("hi", F.ceil(place(p)))]])
+
+    def held(steps, scope, level):
+        """Slices that hold a wanted rank, with the count of rows before them."""
+        upto = F.col("_base") + F.sum("_n").over(Window.partitionBy(*scope).orderBy(level))
+        marked = steps.withColumn("_upto", upto).withColumn("_base", F.col("_upto") - F.col("_n"))
+        return marked.withColumn("_slots", F.filter(slots, lambda s: (s["rank"] >= F.col("_base")) & (s["rank"] < F.col("_upto")))).filter(F.size("_slots") > 0)
+
+    sums = counted.groupBy(*keys, "_coarse").agg(F.sum("_n").alias("_n"))
+    steps = sums.withColumn("_size", F.sum("_n").over(Window.partitionBy(*keys))).withColumn("_base", F.lit(0).cast("bigint"))
+    hit = held(steps, keys, "_coarse").select(*keys, "_coarse", "_size", "_base")
+
+    scope = [*keys, "_coarse"]
+    cut = counted.join(hit, scope).groupBy(*scope, "_fine", "_size", "_base").agg(F.sum("_n").alias("_n"))
+    hit = held(cut, scope, "_fine").select(*scope, "_fine", "_size", "_base")
 
-    scope = keys
-    for level in ["_coarse", "_fine", "_v"]:
-        pool = counted if scope == keys else counted.join(targets.select(*scope).distinct(), scope, "left_semi")
-        upto = F.sum("_n").over(Window.partitionBy(*scope).orderBy(level))
-        steps = pool.groupBy(*scope, level).agg(F.sum("_n").alias("_n")).withColumn("_upto", upto)
-        offset = F.col("_rank") - F.col("_base")
-        targets = (
-            targets.join(steps, scope)
-            .filter((offset < F.col("_upto")) & (offset >= F.col("_upto") - F.col("_n")))
-            .withColumn("_base", F.col("_base") + F.col("_upto") - F.col("_n"))
-            .drop("_upto", "_n")
-        )
-        scope = scope + [level]
+    scope = [*scope, "_fine"]
+    last = held(counted.join(hit, scope), scope, "_v").select(*keys, "_size", "_v", F.explode("_slots.slot").alias("_slot"))
 
-    aggs = [F.first("_size").alias("_size")]
-    for name in probs:
-        for part in ["lo", "hi"]:
-            aggs.append(F.max(F.when(F.col("_slot") == f"{name}:{part}", F.col("_v"))).alias(f"_{name}_{part}"))
-    found = targets.groupBy(*keys).agg(*aggs)
+    ends = [F.max(F.when(F.col("_slot") == f"{name}:{end}", F.col("_v"))).alias(f"_{name}_{end}") for name in probs for end in ("lo", "hi")]
+    found = last.groupBy(*keys, "_size").agg(*ends)
     out = []
     for name, p in probs.items():
-        place = F.lit(p) * (F.col("_size") - 1)
         low, high = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+        out.append((low + (high - low) * (place(p) - F.floor(place(p)))).alias(name))
     return found.select(*keys, *out)

@@ -73,7 +73,7 @@ def metrics(products: DataFrame, facts: DataFrame, words: DataFrame, keys=BY_CAT
     channels = listed(top_k(platforms, keys, by_score("review_count", "platform"), 2), keys, "top_platforms", {"platform": "platform", "count": "review_count"})
 
     wide = core
-    for part in [rows, concentration, top_brands, top_tags, segments, channel_total, channels, prod.price_quantiles(products, keys), prod.price_change_median(products, keys)]:
+    for part in [rows, concentration, top_brands, top_tags, segments, channel_total, channels, prod.price_measures(products, keys)]:
         wide = wide.join(part, keys, "left")
 
     has_reviews = F.col("total_reviews_rows").isNotNull()

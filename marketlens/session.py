@@ -36,7 +36,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a result several branches read, so that its inputs are scanned once."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write a result several branches read to the shared folder, so its inputs are computed once.
+
+    A written table outlives lost executors, keeps column pruning and costs one run; checkpoint()
+    would compute the plan twice. The folder's owner removes old stages.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
