@@ -1,7 +1,7 @@
 """Measures from review rows.
 
 Reviews are first reduced to one row per product, year and channel. That table joins the catalog with
-no hot key left, and every numeric measure is a sum over it.
+no hot key left; summed per group, brand, year and channel it yields every numeric measure.
 """
 
 from __future__ import annotations
@@ -28,27 +28,28 @@ def review_facts(reviews: DataFrame) -> DataFrame:
     )
 
 
-def placed_facts(facts: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """Facts with the group and brand of their product."""
-    return facts.join(product_lookup(products, keys), "product_id")
+def group_facts(facts: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Facts summed per group, brand, year and channel: a small table that all review measures read."""
+    placed = facts.join(product_lookup(products, keys), "product_id")
+    return placed.groupBy(*keys, "brand", "year", "platform").agg(*[F.sum(c).alias(c) for c in FACT_SUMS])
 
 
-def review_measures(placed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+def review_measures(grouped: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Total rows, mean rating and star counts."""
-    return placed.groupBy(*keys).agg(
+    return grouped.groupBy(*keys).agg(
         F.sum("n").alias("total_reviews_rows"),
         (F.sum("rating_sum") / F.nullif(F.sum("n_rated"), F.lit(0))).alias("mean_rating"),
         *[F.sum(f"stars_{k}").alias(f"row_stars_{k}") for k in STARS],
     )
 
 
-def platform_dist_rows(placed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return placed.filter(F.col("platform").isNotNull()).groupBy(*keys, "platform").agg(F.sum("n").alias("review_count"))
+def platform_dist_rows(grouped: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    return grouped.filter(F.col("platform").isNotNull()).groupBy(*keys, "platform").agg(F.sum("n").alias("review_count"))
 
 
-def brand_scores_rows(placed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return placed.filter(F.col("brand").isNotNull()).groupBy(*keys, "brand").agg(F.sum("n").alias("score"))
+def brand_scores_rows(grouped: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    return grouped.filter(F.col("brand").isNotNull()).groupBy(*keys, "brand").agg(F.sum("n").alias("score"))
 
 
-def yearly_review_counts(placed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return placed.filter(F.col("year").isNotNull()).groupBy(*keys, "year").agg(F.sum("n").alias("review_count"))
+def yearly_review_counts(grouped: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    return grouped.filter(F.col("year").isNotNull()).groupBy(*keys, "year").agg(F.sum("n").alias("review_count"))

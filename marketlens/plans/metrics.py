@@ -20,11 +20,11 @@ def by_mode(from_rows: DataFrame, from_products: DataFrame, reviewed: DataFrame,
     return from_rows.unionByName(from_products.join(reviewed, list(keys), "left_anti"))
 
 
-def listed(top: DataFrame, keys, name: str, fields: dict[str, str]) -> DataFrame:
+def listed(top: DataFrame, keys, name: str, fields: dict[str, str], *more: Column) -> DataFrame:
     """The at most ten ranked rows of a group as one array of structs in rank order."""
     items = F.array_sort(F.collect_list(F.struct("rn", *[F.col(c).alias(n) for n, c in fields.items()])))
     plain = F.transform(items, lambda x: F.struct(*[x[n].alias(n) for n in fields]))
-    return top.groupBy(*keys).agg(plain.alias(name))
+    return top.groupBy(*keys).agg(plain.alias(name), *more)
 
 
 def price_reference(p25: Column, p50: Column, p75: Column) -> Column:
@@ -32,24 +32,23 @@ def price_reference(p25: Column, p50: Column, p75: Column) -> Column:
     return F.coalesce(p50, p25, p75)
 
 
-def chosen_brand_scores(products: DataFrame, placed: DataFrame, reviewed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return by_mode(rev.brand_scores_rows(placed, keys), prod.brand_scores_product(products, keys), reviewed, keys)
+def chosen_brand_scores(products: DataFrame, grouped: DataFrame, reviewed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    return by_mode(rev.brand_scores_rows(grouped, keys), prod.brand_scores_product(products, keys), reviewed, keys)
 
 
-def chosen_platforms(products: DataFrame, placed: DataFrame, reviewed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    return by_mode(rev.platform_dist_rows(placed, keys), prod.platform_dist_product(products, keys), reviewed, keys)
+def chosen_platforms(products: DataFrame, grouped: DataFrame, reviewed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    return by_mode(rev.platform_dist_rows(grouped, keys), prod.platform_dist_product(products, keys), reviewed, keys)
 
 
-def metrics(products: DataFrame, facts: DataFrame, words: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """The metrics row of every group.
 
-    ``facts`` is the result of ``review_facts``, ``words`` the keyword counts per group. A group
+    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group. A group
     without review rows takes every value from product columns. The full channel distribution stays a
     long table (``chosen_platforms``); the row holds its total and the top two.
     """
     keys = list(keys)
-    placed = rev.placed_facts(facts, products, keys)
-    rows = rev.review_measures(placed, keys)
+    rows = rev.review_measures(grouped, keys)
     reviewed = rows.select(*keys)
 
     known = F.when(F.col("category").isNotNull(), F.struct("id", "category"))
@@ -60,20 +59,19 @@ def metrics(products: DataFrame, facts: DataFrame, words: DataFrame, keys=BY_CAT
         F.coalesce(F.min_by("category", known), F.lit("")).alias("category_path"),
     )
 
-    top = brands.brand_top_share(chosen_brand_scores(products, placed, reviewed, keys), keys, LIST_SIZE)
-    concentration = brands.brand_concentration(top, keys)
-    top_brands = listed(top, keys, "top_brands", {"name": "brand", "reviewCount": "score", "share": "share"})
+    top = brands.brand_top_share(chosen_brand_scores(products, grouped, reviewed, keys), keys, LIST_SIZE)
+    top_brands = listed(top, keys, "top_brands", {"name": "brand", "reviewCount": "score", "share": "share"}, *brands.concentration_measures())
 
     chosen_words = by_mode(words, prod.tag_counts(products, keys), reviewed, keys)
     top_tags = listed(top_k(chosen_words, keys, by_score("n", "word"), LIST_SIZE), keys, "top_tags", {"tag": "word", "count": "n"})
     segments = listed(top_segments(products, keys, LIST_SIZE), keys, "top_segments", {"segment": "segment", "count": "n"})
 
-    platforms = chosen_platforms(products, placed, reviewed, keys)
+    platforms = chosen_platforms(products, grouped, reviewed, keys)
     channel_total = platforms.groupBy(*keys).agg(F.sum("review_count").alias("platform_total"))
     channels = listed(top_k(platforms, keys, by_score("review_count", "platform"), 2), keys, "top_platforms", {"platform": "platform", "count": "review_count"})
 
     wide = core
-    for part in [rows, concentration, top_brands, top_tags, segments, channel_total, channels, prod.price_measures(products, keys)]:
+    for part in [rows, top_brands, top_tags, segments, channel_total, channels, prod.price_measures(products, keys)]:
         wide = wide.join(part, keys, "left")
 
     has_reviews = F.col("total_reviews_rows").isNotNull()

@@ -11,7 +11,7 @@ from marketlens.operators.examples import first_examples, rated_texts
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import by_score, hash_first, hash_rank, top_k
-from marketlens.operators.reviews import review_facts
+from marketlens.operators.reviews import group_facts, review_facts
 from marketlens.operators.selection import largest_categories, product_lookup, products_of, subsample_products
 from marketlens.plans import narrative
 from marketlens.plans.metrics import listed, metrics
@@ -157,8 +157,8 @@ def sample_rows(
     over its member products.
     """
     chosen = products_of(products, largest_categories(products, max_categories, min_products, need_path=False))
-    members = materialise(subsample_products(chosen, samples, ratio, min_products, seed))
-    facts = materialise(review_facts(reviews))
+    members = materialise(subsample_products(chosen, samples, ratio, min_products, seed), "members")
+    grouped = materialise(group_facts(review_facts(reviews), members, SAMPLE_KEYS), "facts")
     lookup = product_lookup(members, SAMPLE_KEYS).filter(F.col("brand").isNotNull()).drop("brand")
     product_words = (
         reviews.filter(F.col("review_text").isNotNull())
@@ -167,13 +167,13 @@ def sample_rows(
         .agg(F.count("*").alias("n"))
     )
     words = product_words.join(lookup, "product_id").groupBy(*SAMPLE_KEYS, "word").agg(F.sum("n").alias("n"))
-    measured = metrics(members, facts, words, SAMPLE_KEYS).drop("category_name", "category_path")
+    measured = metrics(members, grouped, words, SAMPLE_KEYS).drop("category_name", "category_path")
     # The name of a sample is that of its whole category.
     known = F.when(F.col("category").isNotNull(), F.struct("id", "category"))
     paths = chosen.groupBy("category_id").agg(F.coalesce(F.min_by("category", known), F.lit("")).alias("category_path"))
     named = measured.join(paths, "category_id").withColumn("category_name", category_display_name(F.col("category_path")))
-    rows = materialise(named)
-    full = with_growth(rows, facts, members, settings, SAMPLE_KEYS).withColumns(
+    rows = materialise(named, "metrics")
+    full = with_growth(rows, grouped, settings, SAMPLE_KEYS).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
     )
     if use_texts:

@@ -12,7 +12,7 @@ from marketlens.functions.numbers import DEFAULT_UNITS_PER_REVIEW
 from marketlens.operators import growth as gr
 from marketlens.operators.keywords import branded_texts, keyword_counts
 from marketlens.operators.products import BY_CATEGORY
-from marketlens.operators.reviews import placed_facts, review_facts, yearly_review_counts
+from marketlens.operators.reviews import group_facts, review_facts, yearly_review_counts
 from marketlens.operators.selection import largest_categories, products_of
 from marketlens.plans import narrative
 from marketlens.plans.metrics import metrics
@@ -39,9 +39,9 @@ def growth_points(growth: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     return growth.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"))
 
 
-def with_growth(rows: DataFrame, facts: DataFrame, products: DataFrame, settings: Settings, keys=BY_CATEGORY) -> DataFrame:
+def with_growth(rows: DataFrame, grouped: DataFrame, settings: Settings, keys=BY_CATEGORY) -> DataFrame:
     """Metrics rows with their yearly series and its extremes."""
-    yearly = yearly_review_counts(placed_facts(facts, products, keys), keys)
+    yearly = yearly_review_counts(grouped, keys)
     growth = gr.yearly_growth(yearly, rows.select(*keys, "price_ref"), keys, settings.units_per_review, settings.start_year, settings.end_year)
     extremes = gr.growth_extremes(growth, keys, settings.recent_year)
     return rows.join(growth_points(growth, keys), list(keys), "left").join(extremes, list(keys), "left")
@@ -53,10 +53,10 @@ def category_rows(products: DataFrame, reviews: DataFrame, settings: Settings =
     Reviews are read twice at most: the numeric columns once into the facts table, the texts once.
     The facts and metrics are written out because several branches read them.
     """
-    facts = materialise(review_facts(reviews))
+    grouped = materialise(group_facts(review_facts(reviews), products), "facts")
     words = keyword_counts(branded_texts(reviews, products))
-    rows = materialise(metrics(products, facts, words))
-    return with_growth(rows, facts, products, settings).withColumns(
+    rows = materialise(metrics(products, grouped, words), "metrics")
+    return with_growth(rows, grouped, settings).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
     )
 
