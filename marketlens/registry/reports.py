@@ -230,15 +230,15 @@ MEMBERS = {
     "base_products": base.STEPS["products"],
     "draws": re.sub(r"\bproducts\b", "base_products", DRAWS),
     "products": "select * replace (b.category_id * 1000 + draws.sample_idx as category_id) from base_products b join draws using (id, category_id)",
-    "shorts": f"select category_id, category_id // 1000 as real_id, category_id % 1000 as sample_idx, review_id, {SENTIMENT}, {SHORT} as short from placed where review_text is not null",
 }
+SAMPLE_SHORTS = f"select category_id, category_id // 1000 as real_id, category_id % 1000 as sample_idx, review_id, {SENTIMENT}, {SHORT} as short from placed where review_text is not null"
 
 
 def sample_sql(body: str) -> str:
     kept = dict(base.STEPS)
     try:
         base.STEPS.clear()
-        base.STEPS.update({**{k: v for k, v in MEMBERS.items()}, **{k: v for k, v in kept.items() if k not in MEMBERS}})
+        base.STEPS.update({**MEMBERS, **{k: v for k, v in kept.items() if k not in MEMBERS}, "shorts": SAMPLE_SHORTS})
         return base.with_steps(body)
     finally:
         base.STEPS.clear()
