@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketlens.functions.clean import SPACE, squash, strip
+from marketlens.functions.clean import SPACE, let, squash, strip
 from marketlens.plans.phrases import NO_GROWTH_TEXT
 
 # The end token, the two keys, the foreign markers and the openers of a proper summary.
@@ -32,27 +32,26 @@ def drop_token(c: Column) -> Column:
 
 def balanced_object(c: Column) -> Column:
     """Text from the first ``{`` to the brace that closes it; null without one. Quotes are not special."""
-    start = F.locate("{", c)
-    pieces = F.regexp_extract_all(F.substr(c, F.greatest(start, F.lit(1))), F.lit(r"[{}]|[^{}]+"), F.lit(0))
-    depths = F.transform(pieces, lambda p: F.when(p == "{", 1).when(p == "}", -1).otherwise(0))
-    ends = F.aggregate(
-        F.arrays_zip(F.sequence(F.lit(1), F.size(pieces)).alias("i"), depths.alias("d")),
-        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end")),
-        lambda a, x: F.when(a["end"] > 0, a).otherwise(
-            F.struct(
-                (a["depth"] + x["d"]).alias("depth"),
-                F.when((x["d"] < 0) & (a["depth"] + x["d"] == 0), x["i"]).otherwise(F.lit(0)).alias("end"),
-            )
-        ),
-        lambda a: a["end"],
-    )
-    return F.when((start > 0) & (ends > 0), F.array_join(F.slice(pieces, 1, ends), ""))
+    pieces = F.regexp_extract_all(F.substr(c, F.greatest(F.locate("{", c), F.lit(1))), F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    return F.when(F.contains(c, F.lit("{")), let(pieces, closed_part))
+
+
+def closed_part(pieces: Column) -> Column:
+    """The pieces up to the one that brings the depth back to zero."""
+    depths = F.transform(pieces, lambda p, i: F.struct((i + 1).alias("i"), F.when(p == "{", 1).when(p == "}", -1).otherwise(0).alias("d")))
+
+    def step(a, x):
+        depth = a["depth"] + x["d"]
+        return F.when(a["end"] > 0, a).otherwise(F.struct(depth.alias("depth"), F.when((x["d"] < 0) & (depth == 0), x["i"]).otherwise(F.lit(0)).alias("end")))
+
+    end = F.aggregate(depths, F.struct(F.lit(0).alias("depth"), F.lit(0).alias("end")), step, lambda a: a["end"])
+    return let(end, lambda n: F.when(n > 0, F.array_join(F.slice(pieces, F.lit(1), n), "")))
 
 
 def first_json_object(c: Column, drop_end_token: bool = True) -> Column:
     """Text of the first balanced object when it is valid JSON with at least one key, else null."""
     text = balanced_object(drop_token(c) if drop_end_token else strip(c))
-    return F.when(F.try_parse_json(text).isNotNull() & (strip(F.substr(text, F.lit(2))) != "}"), text)
+    return let(text, lambda x: F.when(F.try_parse_json(x).isNotNull() & (strip(F.substr(x, F.lit(2))) != "}"), x))
 
 
 def json_text(obj: Column, key: str) -> Column:
@@ -68,8 +67,7 @@ def bare_tail(c: Column) -> Column:
 
 def nested_object(c: Column) -> Column:
     """The value as JSON object text when it is one, else null."""
-    text = bare_tail(c)
-    return F.when(text.startswith("{") & F.try_parse_json(text).isNotNull(), text)
+    return let(bare_tail(c), lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x))
 
 
 def unwrap_nested(overview: Column, growth: Column, levels: int = 3) -> Column:
@@ -79,15 +77,18 @@ def unwrap_nested(overview: Column, growth: Column, levels: int = 3) -> Column:
     """
     pair = F.struct(overview.alias("overview"), growth.alias("growth"))
     for _ in range(levels):
-        pair = F.transform(F.array(pair), lambda p: unwrap_once(p))[0]
+        pair = let(pair, unwrap_once)
     return pair
 
 
 def unwrap_once(pair: Column) -> Column:
     inner = F.coalesce(nested_object(pair["overview"]), nested_object(pair["growth"]))
-    return F.struct(
-        F.coalesce(json_text(inner, OVERVIEW_KEY), pair["overview"]).alias("overview"),
-        F.coalesce(json_text(inner, GROWTH_KEY), pair["growth"]).alias("growth"),
+    return let(
+        inner,
+        lambda x: F.struct(
+            F.coalesce(json_text(x, OVERVIEW_KEY), pair["overview"]).alias("overview"),
+            F.coalesce(json_text(x, GROWTH_KEY), pair["growth"]).alias("growth"),
+        ),
     )
 
 
@@ -105,48 +106,64 @@ def trim_foreign_tail(c: Column) -> Column:
     The part before the marker is kept when it is long enough, else the part after it from the first
     listed opener on.
     """
-    text = strip(F.substring_index(strip(c), END_TOKEN, 1))
 
-    def cut(mark, at):
-        after = strip(F.substr(text, at + len(mark)))
-        rest = first_hit(after, OPENERS, lambda opener, j: F.substr(after, j))
+    def cut(text, mark, at):
+        rest = let(strip(F.substr(text, at + len(mark))), lambda after: first_hit(after, OPENERS, lambda opener, j: F.substr(after, j)))
         return F.when(at - 1 > PREFIX_PAST, strip(F.left(text, at - 1))).otherwise(rest)
 
-    return first_hit(text, FOREIGN_MARKERS, cut)
+    return let(
+        strip(F.substring_index(strip(c), END_TOKEN, 1)),
+        lambda text: first_hit(text, FOREIGN_MARKERS, lambda mark, at: cut(text, mark, at)),
+    )
 
 
-def recover_value(c: Column) -> Column:
-    """Summary text out of a value that still is broken or whole JSON."""
-    text = strip(c)
-    is_object = text.startswith("{") & (F.contains(text, F.lit(OVERVIEW_KEY)) | F.contains(text, F.lit(GROWTH_KEY)))
-    plain_key, escaped_key = f'"{OVERVIEW_KEY}"', f'\\"{OVERVIEW_KEY}\\"'
-    # The escaped spelling contains the plain one only without its last quote, so try both in order.
-    at_plain, at_escaped = F.locate(plain_key, c), F.locate(escaped_key, c)
-    after = F.when(at_plain > 0, at_plain + len(plain_key)).when(at_escaped > 0, at_escaped + len(escaped_key))
-    rest = F.substr(c, after)
+def after_key(c: Column) -> Column:
+    """What follows the overview key, plain or with escaped quotes; null without the key."""
+    rest = F.lit(None).cast("string")
+    for key in [f'\\"{OVERVIEW_KEY}\\"', f'"{OVERVIEW_KEY}"']:
+        rest = F.when(F.contains(c, F.lit(key)), F.substr(c, F.locate(key, c) + len(key))).otherwise(rest)
+    return rest
+
+
+def opened_value(rest: Column) -> Column:
+    """What follows the first listed opening that occurs."""
     value = F.lit(None).cast("string")
     for opener in reversed(VALUE_OPENERS):
-        at = F.locate(opener, rest)
-        value = F.when(at > 0, F.substr(rest, at + len(opener))).otherwise(value)
-    ends = [F.nullif(F.locate(mark, value), F.lit(0)) for mark in VALUE_ENDS]
-    stop = F.least(*ends)
-    chunk = strip(F.when(stop.isNotNull(), F.left(value, stop - 1)).otherwise(value))
-    good = is_object & (F.length(chunk) > LONG_VALUE) & chunk.rlike("[가-힣]")
-    best = F.when(good, chunk).otherwise(c)
-    whole = balanced_object(best)
-    parsed = F.coalesce(json_text(whole, OVERVIEW_KEY), json_text(whole, GROWTH_KEY))
-    return F.when(strip(best).startswith("{"), F.coalesce(parsed, best)).otherwise(best)
+        value = F.when(F.contains(rest, F.lit(opener)), F.substr(rest, F.locate(opener, rest) + len(opener))).otherwise(value)
+    return value
+
+
+def before_end(value: Column) -> Column:
+    """The part before the nearest end mark."""
+    nearest = F.least(*[F.nullif(F.locate(mark, value), F.lit(0)) for mark in VALUE_ENDS])
+    return let(nearest, lambda n: strip(F.when(n.isNotNull(), F.left(value, n - 1)).otherwise(value)))
+
+
+def recover_value(c: Column) -> Column:
+    """Summary text out of a value that still is broken or whole JSON; other text stays as it is."""
+
+    def parsed(text):
+        return let(balanced_object(text), lambda obj: F.coalesce(json_text(obj, OVERVIEW_KEY), json_text(obj, GROWTH_KEY), text))
+
+    def best(text):
+        broken = strip(text).startswith("{") & (F.contains(text, F.lit(OVERVIEW_KEY)) | F.contains(text, F.lit(GROWTH_KEY)))
+        chunk = let(let(after_key(text), opened_value), before_end)
+        return let(chunk, lambda x: F.when(broken & (F.length(x) > LONG_VALUE) & x.rlike("[가-힣]"), x).otherwise(text))
+
+    return let(let(c, best), lambda text: F.when(strip(text).startswith("{"), parsed(text)).otherwise(text))
 
 
 def dedupe_sentences(c: Column, most: int = MOST_SENTENCES) -> Column:
     """Sentences of ten characters or more, without repeats of a 50-character start, at most twelve."""
     marked = F.regexp_replace(c, f"([가-힣a-zA-Z]){SPACE}*[.。]{SPACE}+", "$1\u0001")
     parts = F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda s: F.length(s) >= SHORTEST_SENTENCE)
-    starts = F.transform(parts, lambda s: F.left(s, F.lit(REPEAT_PREFIX)))
-    kept = F.slice(F.array_distinct(starts), 1, most)
-    text = F.array_join(F.transform(kept, lambda k: F.element_at(parts, F.array_position(starts, k).cast("int"))), ". ")
-    closed = F.when((text != "") & ~text.endswith("."), F.concat(text, F.lit("."))).otherwise(text)
-    return squash(closed)
+
+    def joined(sentences):
+        starts = F.transform(sentences, lambda s: F.left(s, F.lit(REPEAT_PREFIX)))
+        kept = F.slice(F.array_distinct(starts), 1, most)
+        return let(starts, lambda all_starts: F.array_join(F.transform(kept, lambda k: F.element_at(sentences, F.array_position(all_starts, k).cast("int"))), ". "))
+
+    return let(let(parts, joined), lambda text: squash(F.when((text != "") & ~text.endswith("."), F.concat(text, F.lit("."))).otherwise(text)))
 
 
 def clean_summary(c: Column) -> Column:
@@ -164,14 +181,17 @@ def strip_markdown(c: Column) -> Column:
 
 def coerce_markdown(c: Column) -> Column:
     """Struct of two texts from output without JSON: split at the two headings when both occur."""
-    raw = strip(c)
-    low = F.lower(raw)
-    i, j = F.locate("market overview", low), F.locate("growth", low)
-    both = (i > 0) & (j > 0)
-    # A growth heading before the overview heading leaves nothing in between.
-    overview = F.when(both, F.substr(raw, i, F.greatest(j - i, F.lit(0)))).otherwise(raw)
-    growth = strip_markdown(F.when(both, F.substr(raw, j)).otherwise(F.lit("")))
-    return F.struct(strip_markdown(overview).alias("overview"), F.when(growth == "", F.lit(NO_GROWTH_TEXT)).otherwise(growth).alias("growth"))
+
+    def split(raw):
+        low = F.lower(raw)
+        i, j = F.locate("market overview", low), F.locate("growth", low)
+        both = (i > 0) & (j > 0)
+        # A growth heading before the overview heading leaves nothing in between.
+        overview = F.when(both, F.substr(raw, i, F.greatest(j - i, F.lit(0)))).otherwise(raw)
+        growth = strip_markdown(F.when(both, F.substr(raw, j)).otherwise(F.lit("")))
+        return let(growth, lambda x: F.struct(strip_markdown(overview).alias("overview"), F.when(x == "", F.lit(NO_GROWTH_TEXT)).otherwise(x).alias("growth")))
+
+    return let(strip(c), split)
 
 
 def split_500(c: Column) -> Column:

@@ -37,10 +37,10 @@ def scored_texts(generations: DataFrame, text: str = "raw") -> DataFrame:
     )
 
 
-def pair_template_generated(templates: DataFrame, generated: DataFrame, keys=("category_id",)) -> DataFrame:
+def pair_template_generated(templates: DataFrame, generated: DataFrame, keys=("category_id",), extra=()) -> DataFrame:
     """Template and generated texts side by side; a group missing on either side is skipped."""
     left = templates.select(*keys, F.col("market_overview").alias("template_overview"), F.col("growth_summary").alias("template_growth"))
-    return generated.select(*keys, "market_overview", "growth_summary").join(left, list(keys))
+    return generated.select(*keys, *extra, "market_overview", "growth_summary").join(left, list(keys))
 
 
 def template_similarity():
