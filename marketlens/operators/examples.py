@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.clean import sentiment
-from marketlens.operators.ranking import hash_rank, hash_first, top_k
+from marketlens.operators.ranking import hash_rank, top_k
 
 
 def rated_texts(reviews: DataFrame) -> DataFrame:
@@ -14,10 +14,6 @@ def rated_texts(reviews: DataFrame) -> DataFrame:
     return reviews.filter(F.col("review_text").isNotNull()).withColumn("sentiment", sentiment(F.col("rating"))).filter(F.col("sentiment").isNotNull())
 
 
-def limits(positive: int, negative: int):
-    return F.when(F.col("sentiment") == "positive", positive).otherwise(negative)
-
-
 def first_examples(pool: DataFrame, keys, k: int, text: str = "review_text") -> DataFrame:
     """The first ``k`` non-blank texts by review id."""
     return top_k(pool.filter(F.col(text) != ""), [*keys, "sentiment"], ["review_id"], k)
@@ -25,7 +21,5 @@ def first_examples(pool: DataFrame, keys, k: int, text: str = "review_text") ->
 
 def sample_examples(pool: DataFrame, keys, k: int, seed: int = 42) -> DataFrame:
     """``k`` random texts per group and sentiment, all when there are fewer."""
-    groups = [*keys, "sentiment"]
-    sizes = pool.groupBy(*groups).agg(F.count("*").alias("_size"))
-    marked = pool.withColumn("_hash", hash_rank(F.col("review_id"), F.lit(seed))).join(sizes, groups)
-    return hash_first(marked, groups, k, "_size", "_hash", "review_id").drop("_size", "_hash")
+    marked = pool.withColumn("_hash", hash_rank(F.col("review_id"), F.lit(seed)))
+    return top_k(marked, [*keys, "sentiment"], ["_hash", "review_id"], k).drop("_hash")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.text import tokens
 from marketlens.operators.products import BY_CATEGORY
-from marketlens.operators.ranking import top_k
-from marketlens.operators.ranking import hash_rank
+from marketlens.operators.ranking import hash_draw, hash_rank
 from marketlens.operators.selection import product_lookup
 
 
@@ -30,4 +29,5 @@ def branded_texts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) ->
 
 def cap_texts(texts: DataFrame, limit: int, keys=BY_CATEGORY, seed: int = 42) -> DataFrame:
     """At most ``limit`` texts per group in hash order. Off unless asked for: counting needs no cap."""
-    return top_k(texts.withColumn("_hash", hash_rank(F.col("review_id"), F.lit(seed))), keys, ["_hash", "review_id"], limit).drop("_hash", "rn")
+    marked = texts.withColumn("_take", F.lit(limit)).withColumn("_hash", hash_rank(F.col("review_id"), F.lit(seed)))
+    return hash_draw(marked, keys, "_take", "_hash", "review_id").drop("_take", "_hash")

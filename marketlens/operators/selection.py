@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from marketlens.operators.ranking import hash_draw, hash_rank
 
 
-def one_of(category_id=None, needle=None):
-    if (category_id is None) == (needle is None):
-        raise ValueError("give exactly one of category_id and needle")
-
-
 def filter_category_id(products: DataFrame, category_id: int) -> DataFrame:
     return products.filter(F.col("category_id") == int(category_id))
 
@@ -24,6 +19,19 @@ def filter_category_contains(products: DataFrame, needle: str) -> DataFrame:
     return hits.join(largest.select("category_id"), "category_id", "left_semi")
 
 
+def pick_category(products: DataFrame, category_id: int | None = None, needle: str | None = None) -> DataFrame:
+    """Products of one category, by id or by path pattern; an empty choice is an error.
+
+    The check reads a single row, so it is the one place that runs before the caller's own action.
+    """
+    if (category_id is None) == (needle is None):
+        raise ValueError("give exactly one of category_id and needle")
+    chosen = filter_category_id(products, category_id) if needle is None else filter_category_contains(products, needle)
+    if chosen.isEmpty():
+        raise ValueError(f"no product for category {category_id if needle is None else needle!r}")
+    return chosen
+
+
 def filter_category_like(products: DataFrame, needle: str) -> DataFrame:
     """Rows whose path contains the text, of all categories, under the category of the lowest product id."""
     hits = products.filter(F.contains(F.col("category"), F.lit(needle)))
@@ -34,9 +42,10 @@ def filter_category_like(products: DataFrame, needle: str) -> DataFrame:
 
 def category_path(products: DataFrame, keys=("category_id",)) -> DataFrame:
     """The path of the lowest product id that has one, else empty text."""
-    known = F.col("category").isNotNull()
-    order = F.when(known, F.struct("id", "category"))
-    return products.groupBy(*keys).agg(F.coalesce(F.min_by("category", order), F.lit("")).alias("category_path"))
+    # The few distinct paths first: picking a text by id over all rows would sort them.
+    paths = products.groupBy(*keys, "category").agg(F.min("id").alias("id"))
+    order = F.when(F.col("category").isNotNull(), F.struct("id", "category"))
+    return paths.groupBy(*keys).agg(F.coalesce(F.min_by("category", order), F.lit("")).alias("category_path"))
 
 
 def category_sizes(products: DataFrame, min_products: int = 10, need_path: bool = True) -> DataFrame:
@@ -92,8 +101,3 @@ def subsample_products(products: DataFrame, samples: int, ratio: float, min_prod
         "id",
     )
     return marked.filter(whole).select(*out).unionAll(drawn.select(*out))
-
-
-def subsample_sizes(products: DataFrame, samples: int, ratio: float, min_products: int = 10, seed: int = 42) -> DataFrame:
-    drawn = subsample_products(products, samples, ratio, min_products, seed)
-    return drawn.groupBy("category_id", "sample_idx").agg(F.count("*").alias("n"))

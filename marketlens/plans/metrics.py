@@ -40,23 +40,21 @@ def chosen_platforms(products: DataFrame, grouped: DataFrame, reviewed: DataFram
     return by_mode(rev.platform_dist_rows(grouped, keys), prod.platform_dist_product(products, keys), reviewed, keys)
 
 
-def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """The metrics row of every group.
 
-    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group. A group
-    without review rows takes every value from product columns. The full channel distribution stays a
+    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group,
+    ``paths`` the path per category. A group without review rows takes every value from product columns. The full channel distribution stays a
     long table (``chosen_platforms``); the row holds its total and the top two.
     """
     keys = list(keys)
     rows = rev.review_measures(grouped, keys)
     reviewed = rows.select(*keys)
 
-    known = F.when(F.col("category").isNotNull(), F.struct("id", "category"))
     core = products.groupBy(*keys).agg(
         *prod.summary_measures(),
         *prod.rating_hist_product_measures(),
         F.countDistinct("brand").alias("brand_count"),
-        F.coalesce(F.min_by("category", known), F.lit("")).alias("category_path"),
     )
 
     top = brands.brand_top_share(chosen_brand_scores(products, grouped, reviewed, keys), keys, LIST_SIZE)
@@ -70,7 +68,7 @@ def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, keys=BY_C
     channel_total = platforms.groupBy(*keys).agg(F.sum("review_count").alias("platform_total"))
     channels = listed(top_k(platforms, keys, by_score("review_count", "platform"), 2), keys, "top_platforms", {"platform": "platform", "count": "review_count"})
 
-    wide = core
+    wide = core.join(paths, "category_id", "left")
     for part in [rows, top_brands, top_tags, segments, channel_total, channels, prod.price_measures(products, keys)]:
         wide = wide.join(part, keys, "left")
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.numbers import category_display_name
 from marketlens.functions.text import squash_truncate, tokens
 from marketlens.operators.examples import first_examples, rated_texts
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import by_score, hash_first, hash_rank, top_k
 from marketlens.operators.reviews import group_facts, review_facts
-from marketlens.operators.selection import largest_categories, product_lookup, products_of, subsample_products
+from marketlens.operators.selection import category_path, largest_categories, product_lookup, products_of, subsample_products
 from marketlens.plans import narrative
 from marketlens.plans.metrics import listed, metrics
 from marketlens.plans.phrases import DEFAULT_SITE, SYSTEM_MESSAGE
@@ -96,7 +95,7 @@ def insights_of_categories(products: DataFrame, reviews: DataFrame, keywords=KEY
     """Insights for inference: blank texts dropped, first examples by review id."""
     keys = list(BY_CATEGORY)
     short = reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "rating", squash_truncate(F.col("review_text"), chars).alias("review_text"))
-    pool = short.filter(F.col("review_text") != "").join(product_lookup(products, keys).drop("brand"), "product_id")
+    pool = materialise(short.filter(F.col("review_text") != "").join(product_lookup(products, keys).drop("brand"), "product_id"), "texts")
     counts = pool.groupBy(*keys).agg(F.count("*").alias("text_count"))
     words = listed(top_k(keyword_counts(pool, keys), keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
     picked = first_examples(rated_texts(pool), keys, max(positive, negative)).withColumnRenamed("review_text", "text")
@@ -106,12 +105,13 @@ def insights_of_categories(products: DataFrame, reviews: DataFrame, keywords=KEY
 def insights_of_samples(members: DataFrame, reviews: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS, seed=42) -> DataFrame:
     """Insights for training, per category and sample: blanks kept, examples drawn by hash.
 
-    Texts are cut and tokenised once per review; samples then add up counts per product. Examples are
+    Texts are cut once per review and written out; samples then add up counts per product. Examples are
     drawn on review ids, with the size of each group already in the row, and texts are looked up last.
     """
     keys = SAMPLE_KEYS
     lookup = product_lookup(members, keys).drop("brand")
-    short = reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "rating", squash_truncate(F.col("review_text"), chars).alias("review_text"))
+    texts = reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "rating", squash_truncate(F.col("review_text"), chars).alias("review_text"))
+    short = materialise(texts, "texts")
     rated = rated_texts(short).drop("rating")
 
     per_product = short.groupBy("product_id").agg(
@@ -126,18 +126,20 @@ def insights_of_samples(members: DataFrame, reviews: DataFrame, keywords=KEYWORD
     words = listed(top_k(counts, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
 
     groups = [*keys, "sentiment"]
-    sized = lookup.join(sizes.drop("text_count"), keys)
-    pool = (
-        rated.select("product_id", "review_id", "sentiment")
-        .join(sized, "product_id")
-        .withColumn("_size", F.when(F.col("sentiment") == "positive", F.col("_positive")).otherwise(F.col("_negative")))
-        .withColumn("_hash", hash_rank(F.col("review_id"), F.col("sample_idx") + seed))
-    )
-    picked = keep_limits(hash_first(pool, groups, max(positive, negative), "_size", "_hash", "review_id"), positive, negative)
-    texts = picked.select("product_id", "review_id", *groups, "rn").join(
-        rated.select("product_id", "review_id", F.col("review_text").alias("text")), ["product_id", "review_id"]
-    )
-    return sizes.select(*keys, "text_count").join(words, keys, "left").join(example_lists(texts, keys), keys, "left")
+
+    def pool_of(chosen):
+        rows = rated.select("product_id", "review_id", "sentiment").join(chosen, "product_id")
+        size = F.when(F.col("sentiment") == "positive", F.col("_positive")).otherwise(F.col("_negative"))
+        return rows.withColumn("_size", size).withColumn("_hash", hash_rank(F.col("review_id"), F.col("sample_idx") + seed))
+
+    both = F.create_map(F.lit("positive"), F.col("_positive"), F.lit("negative"), F.col("_negative"))
+    group_sizes = sizes.select(*keys, F.explode(both).alias("sentiment", "_size"))
+    drawn = hash_first(pool_of, lookup.join(sizes.drop("text_count"), keys), groups, group_sizes, max(positive, negative), "_hash", "review_id")
+    picked = keep_limits(drawn, positive, negative)
+    ids = ["product_id", "review_id"]
+    chosen_texts = rated.join(picked.select(*ids).distinct(), ids, "left_semi").dropDuplicates(ids).select(*ids, F.col("review_text").alias("text"))
+    found = picked.select(*ids, *groups, "rn").join(chosen_texts, ids)
+    return sizes.select(*keys, "text_count").join(words, keys, "left").join(example_lists(found, keys), keys, "left")
 
 
 def sample_rows(
@@ -167,12 +169,9 @@ def sample_rows(
         .agg(F.count("*").alias("n"))
     )
     words = product_words.join(lookup, "product_id").groupBy(*SAMPLE_KEYS, "word").agg(F.sum("n").alias("n"))
-    measured = metrics(members, grouped, words, SAMPLE_KEYS).drop("category_name", "category_path")
     # The name of a sample is that of its whole category.
-    known = F.when(F.col("category").isNotNull(), F.struct("id", "category"))
-    paths = chosen.groupBy("category_id").agg(F.coalesce(F.min_by("category", known), F.lit("")).alias("category_path"))
-    named = measured.join(paths, "category_id").withColumn("category_name", category_display_name(F.col("category_path")))
-    rows = materialise(named, "metrics")
+    measured = metrics(members, grouped, words, category_path(chosen), SAMPLE_KEYS)
+    rows = materialise(measured, "metrics")
     full = with_growth(rows, grouped, settings, SAMPLE_KEYS).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
     )

@@ -13,7 +13,7 @@ from marketlens.operators import growth as gr
 from marketlens.operators.keywords import branded_texts, keyword_counts
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.reviews import group_facts, review_facts, yearly_review_counts
-from marketlens.operators.selection import largest_categories, products_of
+from marketlens.operators.selection import category_path, largest_categories, products_of
 from marketlens.plans import narrative
 from marketlens.plans.metrics import metrics
 from marketlens.session import materialise
@@ -55,7 +55,7 @@ def category_rows(products: DataFrame, reviews: DataFrame, settings: Settings =
     """
     grouped = materialise(group_facts(review_facts(reviews), products), "facts")
     words = keyword_counts(branded_texts(reviews, products))
-    rows = materialise(metrics(products, grouped, words), "metrics")
+    rows = materialise(metrics(products, grouped, words, category_path(products)), "metrics")
     return with_growth(rows, grouped, settings).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
     )

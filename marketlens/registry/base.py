@@ -68,7 +68,7 @@ STEPS: dict[str, str] = {
     "product_stars": f"""select category_id, id, k, cast(coalesce(try_cast({json_sql('review_rating_distribution')} ->> k as double), 0) as bigint) as n
  from products, (values ('1'), ('2'), ('3'), ('4'), ('5')) t(k) where review_rating_distribution is not null""",
     "hist_product": "select category_id, " + ", ".join(f"cast(coalesce(sum(n) filter (where k = '{k}'), 0) as bigint) as stars_{k}" for k in range(1, 6)) + " from products left join product_stars using (category_id, id) group by category_id",
-    "hist_rows": "select category_id, " + ", ".join(f"count(*) filter (where greatest(1, least(5, cast(trunc(rating) as int))) = {k}) as stars_{k}" for k in range(1, 6)) + " from placed group by category_id",
+    "hist_rows": "select category_id, " + ", ".join(f"count(*) filter (where rating is not null and greatest(1, least(5, cast(trunc(rating) as int))) = {k}) as stars_{k}" for k in range(1, 6)) + " from placed group by category_id",
     "platform_product": f"""select category_id, k as platform, cast(sum(coalesce(cast(try_cast(j ->> k as double) as bigint), 0)) as bigint) as review_count
  from (select category_id, j, unnest(json_keys(j)) as k from (select category_id, {json_sql('review_platform_distribution')} as j from products where review_platform_distribution is not null)) group by all""",
     "platform_rows": "select category_id, platform, count(*) as review_count from placed where platform is not null group by all",

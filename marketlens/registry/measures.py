@@ -27,7 +27,7 @@ def summary(spark, d, *names):
 
 def brand_scores(spark, d):
     """Brand scores of every category: review rows where there are any, else product columns."""
-    facts = grouped(spark, d)
+    facts = materialise(grouped(spark, d), "facts")
     return chosen_brand_scores(t.products(spark, d), facts, facts.select("category_id").distinct())
 
 
@@ -161,7 +161,7 @@ def a17(spark, d):
 def metrics_rows(spark, d):
     products, reviews = t.stored_products(spark, d), t.reviews(spark, d, texts=True)
     facts = materialise(rev.group_facts(rev.review_facts(reviews), products), "facts")
-    return metrics(products, facts, keyword_counts(branded_texts(reviews, products)))
+    return metrics(products, facts, keyword_counts(branded_texts(reviews, products)), sel.category_path(products))
 
 
 @query(

@@ -243,11 +243,11 @@ def j5(spark, d):
 
 
 SIMILARITY_A, SIMILARITY_B = jaccard_sql("market_overview", "template_overview"), jaccard_sql("growth_summary", "template_growth")
-base.STEPS["overlaps"] = f"select *, {SIMILARITY_A} as sim_a, {SIMILARITY_B} as sim_b from pairs"
+base.STEPS["word_shares"] = f"select *, {SIMILARITY_A} as sim_a, {SIMILARITY_B} as sim_b from pairs"
 base.STEPS["scores"] = f"""select generation_id, category_id, true as json_valid, market_overview <> '' as has_market_overview, growth_summary <> '' as has_growth_summary,
  length(market_overview) as market_overview_length, length(growth_summary) as growth_summary_length, {sentences_sql('market_overview')} as market_overview_sentences, {sentences_sql('growth_summary')} as growth_summary_sentences,
  {proxy_sql('market_overview', 'growth_summary')} as contains_proxy_disclaimer, {numbers_sql('market_overview')} + {numbers_sql('growth_summary')} as contains_key_numbers,
- case when sim_a > 0 or sim_b > 0 then (sim_a + sim_b) / 2 end as template_similarity from overlaps"""
+ case when sim_a > 0 or sim_b > 0 then (sim_a + sim_b) / 2 end as template_similarity from word_shares"""
 
 
 def scored(spark, d):
