@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 from marketlens.registry.check import compare, connect
 
 SMALL = "/root/testdata/sf0.001"
-SLOW = ["s7", "a30", "a31", "r1_", "r3", "r4", "r8", "r9", "r10", "r12", "j4", "j5", "q5", "q6"]
+SLOW = ["s7", "a27", "a28", "w4", "w5", "r2", "r6", "g_", "a30", "a31", "r1_", "r3", "r4", "r8", "r9", "r10", "r12", "j4", "j5", "q5", "q6"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables not here")
 

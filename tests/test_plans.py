@@ -17,9 +17,9 @@ TREND = "[{'period': '1개월', 'price': 90}, {'period': '6개월', 'price': 100
 SPEC = "{'연령': {'권장': '신생아~12개월'}, '특징': {'무향': True}}"
 
 
-def product(i, category, **over):
+def product(i, number, **over):
     row = dict(
-        id=i, category_id=category, category=f"All > 유모차 {category}", manufacturer=f"b{i % 3}", review_count=5, average_rating=4.0, min_price=1000.0 * i, price_trend=TREND,
+        id=i, category_id=number, category=f"All > 유모차 {number}", manufacturer=f"b{i % 3}", review_count=5, average_rating=4.0, min_price=1000.0 * i, price_trend=TREND,
         specifications=SPEC, unit_price="10원/개", review_tags="['안전', '가벼움']", review_rating_distribution="{'1': 1, '5': 4}", review_platform_distribution="{'alpha': 3, 'nova': 2}", updated_at=f"2024-01-{i % 28 + 1:02d}",
     )
     row.update(over)
