@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.clean import squash, strip
@@ -15,10 +15,19 @@ LATIN_WORD = "[a-zA-Z]{2,}"
 NUMBER_PATTERNS = [r"\p{Nd}+\.\p{Nd}+%", r"\p{Nd}+%", r"\p{Nd}+\.\p{Nd}+점", r"\p{Nd}+\.\p{Nd}+"]
 
 
+def found_words(c: Column) -> Column:
+    """Hangul and Latin words as written, with repeats. The two classes are disjoint, so one scan finds both."""
+    return F.regexp_extract_all(c, F.lit(f"{HANGUL_WORD}|{LATIN_WORD}"), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
-    """Hangul and lower-cased Latin words with repeats. The two classes are disjoint, so one scan finds both."""
-    found = F.regexp_extract_all(c, F.lit(f"{HANGUL_WORD}|{LATIN_WORD}"), F.lit(0))
-    return F.transform(found, F.lower)
+    """The words of a text with Latin ones in lower case."""
+    return F.transform(found_words(c), F.lower)
+
+
+def word_rows(texts: DataFrame, keys, text: Column) -> DataFrame:
+    """One row per word. Lower case is applied after the explode, where it is compiled code."""
+    return texts.select(*keys, F.explode(found_words(text)).alias("word")).withColumn("word", F.lower("word"))
 
 
 def squash_truncate(c: Column, size: int) -> Column:

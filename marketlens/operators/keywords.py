@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import tokens
+from marketlens.functions.text import word_rows
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import hash_draw, hash_rank
 from marketlens.operators.selection import product_lookup
 
 
-def word_rows(texts: DataFrame, keys, text: Column) -> DataFrame:
-    return texts.select(*keys, F.explode(tokens(text)).alias("word"))
-
-
 def keyword_counts(texts: DataFrame, keys=BY_CATEGORY, text: Column | None = None) -> DataFrame:
     """Counts per group and word; repeats are added up inside each map task before the shuffle."""
     text = F.col("review_text") if text is None else text

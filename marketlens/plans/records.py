@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import squash_truncate, tokens
+from marketlens.functions.text import squash_truncate, word_rows
 from marketlens.operators.examples import first_examples, rated_texts
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
@@ -121,7 +121,7 @@ def insights_of_samples(members: DataFrame, reviews: DataFrame, keywords=KEYWORD
         F.sum("texts").alias("text_count"), F.sum("positive").alias("_positive"), F.sum("negative").alias("_negative")
     )
 
-    product_words = short.select("product_id", F.explode(tokens(F.col("review_text"))).alias("word")).groupBy("product_id", "word").agg(F.count("*").alias("n"))
+    product_words = word_rows(short, ["product_id"], F.col("review_text")).groupBy("product_id", "word").agg(F.count("*").alias("n"))
     counts = product_words.join(lookup, "product_id").groupBy(*keys, "word").agg(F.sum("n").alias("n"))
     words = listed(top_k(counts, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
 
@@ -162,12 +162,8 @@ def sample_rows(
     members = materialise(subsample_products(chosen, samples, ratio, min_products, seed), "members")
     grouped = materialise(group_facts(review_facts(reviews), members, SAMPLE_KEYS), "facts")
     lookup = product_lookup(members, SAMPLE_KEYS).filter(F.col("brand").isNotNull()).drop("brand")
-    product_words = (
-        reviews.filter(F.col("review_text").isNotNull())
-        .select("product_id", F.explode(tokens(F.col("review_text"))).alias("word"))
-        .groupBy("product_id", "word")
-        .agg(F.count("*").alias("n"))
-    )
+    texts = reviews.filter(F.col("review_text").isNotNull())
+    product_words = word_rows(texts, ["product_id"], F.col("review_text")).groupBy("product_id", "word").agg(F.count("*").alias("n"))
     words = product_words.join(lookup, "product_id").groupBy(*SAMPLE_KEYS, "word").agg(F.sum("n").alias("n"))
     # The name of a sample is that of its whole category.
     measured = metrics(members, grouped, words, category_path(chosen), SAMPLE_KEYS)
