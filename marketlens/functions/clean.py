@@ -12,8 +12,9 @@ DATE_FORMATS = ["yyyy.MM.dd", "yyyy/MM/dd", "yyyyMMdd", "yyyy.MM.dd HH:mm:ss", "
 # Cell texts that stand for "no value".
 NULL_WORDS = ["", "nan", "none"]
 
-# Every character that counts as white space, beyond the ASCII ones.
+# Every character that counts as white space, as a pattern and one by one.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 # Decimal number text; the cast alone would also take suffixes such as 1d.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -23,12 +24,12 @@ INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 def strip(c: Column) -> Column:
     """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squash(c: Column) -> Column:
     """Collapse runs of white space to one blank and strip."""
-    return strip(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(c, f"{SPACE}+", " "), F.lit(" "))
 
 
 def let(value: Column, body) -> Column:
