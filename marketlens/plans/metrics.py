@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.cells import STARS
 from marketlens.functions.numbers import category_display_name
-from marketlens.operators import brands, products as prod, reviews as rev
+from marketlens.operators import products as prod, reviews as rev
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.ranking import by_score, top_k
-from marketlens.operators.segments import top_segments
+from marketlens.operators.segments import segment_bag
 
 LIST_SIZE = 10
+LEAST_SEGMENT = 2
+BRAND, CHANNEL, WORD, SEGMENT = "brand", "channel", "word", "segment"
 
 
 def by_mode(from_rows: DataFrame, from_products: DataFrame, reviewed: DataFrame, keys) -> DataFrame:
@@ -40,45 +44,90 @@ def chosen_platforms(products: DataFrame, grouped: DataFrame, reviewed: DataFram
     return by_mode(rev.platform_dist_rows(grouped, keys), prod.platform_dist_product(products, keys), reviewed, keys)
 
 
-def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """The metrics row of every group.
+def named_counts(kind: str, counts: DataFrame, keys, name: str, n: str) -> DataFrame:
+    return counts.select(*keys, F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(n).cast("bigint").alias("n"))
 
-    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group,
-    ``paths`` the path per category. A group without review rows takes every value from product columns. The full channel distribution stays a
-    long table (``chosen_platforms``); the row holds its total and the top two.
-    """
-    keys = list(keys)
-    rows = rev.review_measures(grouped, keys)
-    reviewed = rows.select(*keys)
 
-    core = products.groupBy(*keys).agg(
-        *prod.summary_measures(),
-        *prod.rating_hist_product_measures(),
-        F.countDistinct("brand").alias("brand_count"),
+def count_lists(products: DataFrame, grouped: DataFrame, words: DataFrame, reviewed: DataFrame, keys) -> DataFrame:
+    """Top brands, channels, words and segments with the sums of the first two, one row per group.
+
+    The four counts share one long table, so that one ranking and one final grouping serve them all.
+    """
+    from_rows = [
+        named_counts(BRAND, rev.brand_scores_rows(grouped, keys), keys, "brand", "score"),
+        named_counts(CHANNEL, rev.platform_dist_rows(grouped, keys), keys, "platform", "review_count"),
+        named_counts(WORD, words, keys, "word", "n"),
+    ]
+    from_products = [
+        named_counts(BRAND, prod.brand_scores_product(products, keys), keys, "brand", "score"),
+        named_counts(CHANNEL, prod.platform_dist_product(products, keys), keys, "platform", "review_count"),
+        named_counts(WORD, prod.tag_counts(products, keys), keys, "word", "n"),
+    ]
+    chosen = by_mode(reduce(DataFrame.unionAll, from_rows), reduce(DataFrame.unionAll, from_products), reviewed, keys)
+    segments = segment_bag(products, keys).groupBy(*keys, "segment").agg(F.count("*").alias("n"))
+    ranked = top_k(chosen.unionAll(named_counts(SEGMENT, segments, keys, "segment", "n")), [*keys, "kind"], by_score("n", "name"), LIST_SIZE)
+    # Sums need only the cheap kinds: the filter keeps the words out of this branch altogether.
+    sums = chosen.filter(F.col("kind").isin(BRAND, CHANNEL)).groupBy(*keys, "kind").agg(F.sum("n").alias("n"))
+    rows = ranked.unionByName(sums.withColumns({"name": F.lit(None).cast("string"), "rn": F.lit(None).cast("int")}))
+
+    def of(kind):
+        return F.array_sort(F.collect_list(F.when((F.col("kind") == kind) & F.col("rn").isNotNull(), F.struct("rn", "name", "n"))))
+
+    def sum_of(kind):
+        return F.max(F.when((F.col("kind") == kind) & F.col("rn").isNull(), F.col("n")))
+
+    return rows.groupBy(*keys).agg(
+        of(BRAND).alias("_brands"),
+        of(CHANNEL).alias("_channels"),
+        of(WORD).alias("_words"),
+        of(SEGMENT).alias("_segments"),
+        sum_of(BRAND).alias("_brand_total"),
+        F.coalesce(sum_of(CHANNEL), F.lit(0)).alias("platform_total"),
     )
 
-    top = brands.brand_top_share(chosen_brand_scores(products, grouped, reviewed, keys), keys, LIST_SIZE)
-    top_brands = listed(top, keys, "top_brands", {"name": "brand", "reviewCount": "score", "share": "share"}, *brands.concentration_measures())
 
-    chosen_words = by_mode(words, prod.tag_counts(products, keys), reviewed, keys)
-    top_tags = listed(top_k(chosen_words, keys, by_score("n", "word"), LIST_SIZE), keys, "top_tags", {"tag": "word", "count": "n"})
-    segments = listed(top_segments(products, keys, LIST_SIZE), keys, "top_segments", {"segment": "segment", "count": "n"})
+def renamed(items: Column, name: str, n: str) -> Column:
+    return F.coalesce(F.transform(items, lambda x: F.struct(x["name"].alias(name), x["n"].alias(n))), F.array().cast(f"array<struct<{name}:string,{n}:bigint>>"))
+
 
-    platforms = chosen_platforms(products, grouped, reviewed, keys)
-    channel_total = platforms.groupBy(*keys).agg(F.sum("review_count").alias("platform_total"))
-    channels = listed(top_k(platforms, keys, by_score("review_count", "platform"), 2), keys, "top_platforms", {"platform": "platform", "count": "review_count"})
+def with_lists(wide: DataFrame) -> DataFrame:
+    """The ranked lists in their published shape, with brand shares and concentration."""
+    total = F.nullif("_brand_total", F.lit(0))
+    share = lambda b: F.struct(b["name"].alias("name"), b["n"].alias("reviewCount"), F.coalesce(b["n"] / total, F.lit(0.0)).alias("share"))
+    top_brands = F.coalesce(F.transform("_brands", share), F.array().cast("array<struct<name:string,reviewCount:bigint,share:double>>"))
+    first_three = F.aggregate(F.slice("_brands", 1, 3), F.lit(0).cast("bigint"), lambda a, b: a + b["n"])
+    squares = F.aggregate("top_brands", F.lit(0.0), lambda a, b: a + F.pow(b["share"] * 100, F.lit(2.0)))
+    frequent = F.filter("_segments", lambda x: x["n"] >= LEAST_SEGMENT)
+    return wide.withColumns(
+        {
+            "top_brands": top_brands,
+            "top_platforms": F.slice(renamed(F.col("_channels"), "platform", "count"), 1, 2),
+            "top_tags": renamed(F.col("_words"), "tag", "count"),
+            "top_segments": renamed(frequent, "segment", "count"),
+            "top3_brand_share": first_three / total,
+        }
+    ).withColumn("hhi_top10", F.when(F.size("top_brands") > 0, squares))
 
-    wide = core.join(paths, "category_id", "left")
-    for part in [rows, top_brands, top_tags, segments, channel_total, channels, prod.price_measures(products, keys)]:
-        wide = wide.join(part, keys, "left")
+
+def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """The metrics row of every group.
+
+    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group,
+    ``paths`` the path per category. A group without review rows takes every value from product columns.
+    The full channel distribution stays a long table (``chosen_platforms``); the row holds its total and
+    the top two.
+    """
+    keys = list(keys)
+    rows = rev.review_measures(grouped, keys)
+    core = products.groupBy(*keys).agg(*prod.summary_measures(), *prod.rating_hist_product_measures(), F.countDistinct("brand").alias("brand_count"))
+    wide = core.join(paths, "category_id", "left").join(rows, keys, "left")
+    wide = wide.join(count_lists(products, grouped, words, rows.select(*keys), keys), keys, "left").join(prod.price_measures(products, keys), keys, "left")
+    wide = with_lists(wide)
 
     has_reviews = F.col("total_reviews_rows").isNotNull()
     total = F.when(has_reviews, F.col("total_reviews_rows")).otherwise(F.col("total_reviews_product"))
     star = {k: F.when(has_reviews, F.col(f"row_stars_{k}")).otherwise(F.col(f"product_stars_{k}")) for k in STARS}
 
-    def no_list(name, kind):
-        return F.coalesce(F.col(name), F.array().cast(kind)).alias(name)
-
     return wide.select(
         *keys,
         category_display_name(F.col("category_path")).alias("category_name"),
@@ -90,10 +139,10 @@ def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: Da
         F.when(has_reviews, F.col("mean_rating")).otherwise(F.col("weighted_rating")).alias("avg_rating"),
         F.struct(*[star[k].alias(k) for k in STARS]).alias("rating_hist"),
         F.coalesce("platform_total", F.lit(0)).alias("platform_total"),
-        no_list("top_platforms", "array<struct<platform:string,count:bigint>>"),
-        no_list("top_brands", "array<struct<name:string,reviewCount:bigint,share:double>>"),
-        no_list("top_tags", "array<struct<tag:string,count:bigint>>"),
-        no_list("top_segments", "array<struct<segment:string,count:bigint>>"),
+        "top_platforms",
+        "top_brands",
+        "top_tags",
+        "top_segments",
         "period_from",
         "period_to",
         "zero_review_ratio",
