@@ -114,7 +114,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than cores, as of one small file, dealt out to all cores.
 
-    Text work is bound by the processor; a table of many files is left as it is.
+    Work on texts and cells is bound by the processor; a table of many files is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
@@ -123,8 +123,8 @@ def spread(df: DataFrame) -> DataFrame:
 def run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     text = re.sub(r"varchar\(\d+\)", "string", sql).replace("{", "{{").replace("}", "}}")
     frames = {n: table(spark, sf_dir, n) for n in names}
-    if "documents" in frames:
-        frames["documents"] = spread(frames["documents"])
+    for name in {"part", "documents", "conversations"} & set(frames):
+        frames[name] = spread(frames[name])
     return spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **frames)
 
 
