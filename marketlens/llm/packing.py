@@ -92,9 +92,7 @@ class Tokens:
         if len(self.known) > self.limit:
             self.known.clear()
         split = [self.words(text) for text in batch]
-        new = set().union(*split)
-        new.difference_update(self.known)
-        self.learn(list(new))
+        self.learn([word for word in set().union(*split) if word not in self.known])
         return [b"".join(map(self.known.__getitem__, words)) + self.end for words in split]
 
 
