@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import read_table
+from marketlens.llm.common import crc_mod, read_table
+from marketlens.llm.lattice import score_documents
 from marketlens.llm.near_dup import near_duplicates
 from marketlens.llm.packing import pack
 
@@ -30,3 +31,9 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return score_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), crc_mod("doc_id", 7) == 2, class_col="lang")
