@@ -12,6 +12,7 @@ from marketlens.llm.common import crc_mod, read_table
 from marketlens.llm.lattice import score_documents
 from marketlens.llm.near_dup import near_duplicates
 from marketlens.llm.packing import pack
+from marketlens.llm.repeats import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,8 @@ def op2_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return score_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), crc_mod("doc_id", 7) == 2, class_col="lang")
+
+
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
