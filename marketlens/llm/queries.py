@@ -12,7 +12,9 @@ from marketlens.llm.common import crc_mod, read_table
 from marketlens.llm.lattice import score_documents
 from marketlens.llm.near_dup import near_duplicates
 from marketlens.llm.packing import pack
+from marketlens.llm.quality import quality
 from marketlens.llm.repeats import remove_repeats
+from marketlens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,15 @@ def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity(docs, labels, crc_mod("doc_id", 5) == 0)
+
+
+@query
+def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality(docs, labels, crc_mod("doc_id", 5) == 0)
