@@ -12,8 +12,10 @@ from marketlens.llm.common import crc_mod, read_table
 from marketlens.llm.lattice import score_documents
 from marketlens.llm.near_dup import near_duplicates
 from marketlens.llm.packing import pack
+from marketlens.llm.pii import personal_data
 from marketlens.llm.quality import quality
 from marketlens.llm.repeats import remove_repeats
+from marketlens.llm.rules import quality_rules
 from marketlens.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +59,14 @@ def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
     return quality(docs, labels, crc_mod("doc_id", 5) == 0)
+
+
+@query
+def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_rules(docs, labels)
