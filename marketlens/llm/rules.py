@@ -36,41 +36,36 @@ RATIOS = {
     "distinct_share": "n_distinct / greatest(n_words, 1)",
     "line_share": "n_lines / greatest(n_words, 1)",
     "digit_share": "n_digits / greatest(word_chars, 1)",
-    "upper_share": "n_upper / greatest(word_chars, 1)",
-    "mark_share": "n_marks / greatest(word_chars, 1)",
 }
 
 
-def without(text: Column, characters: str) -> Column:
-    """How many of a text's characters are among the given ones."""
-    return F.length(text) - F.length(F.translate(text, characters, ""))
-
-
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the counts of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    has_word = lambda line: F.length(F.translate(line, _BLANKS, "")) > 0
+    has_word = lambda line: F.length(F.btrim(line, F.lit(_BLANKS))) > 0
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "").alias("words"),
         F.filter(F.split(text, "\n"), has_word).alias("lines"),
-        (F.length(text) - without(text, _BLANKS)).alias("word_chars"),
-        without(text, "#*$%&|<>").alias("n_symbols"),
-        without(text, "0123456789").alias("n_digits"),
-        without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        without(text, ".,;:!?").alias("n_marks"),
+        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).alias("word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).alias("n_symbols"),
+        F.regexp_count(text, F.lit("[0-9]")).alias("n_digits"),
     )
     rows = rows.withColumn("n_words", F.size("words"))
-    # Every window's hash, and, where one recurs, hashes with places in order, so that equal ones are neighbours.
-    rows = rows.withColumn(
-        "windows",
-        F.when(F.col("n_words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.col("n_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))),
-    )
+    # Hashes of every two, four and eight words, each from two of the hashes before it.
+    shifted = lambda c, k, less: F.slice(c, F.lit(1 + k), F.size(c) - less)
+    hashed, width = "words", 1
+    while width < WINDOW:
+        both = F.zip_with(shifted(hashed, 0, width), shifted(hashed, width, width), lambda a, b: F.xxhash64(a, b))
+        hashed, width = f"of_{2 * width}", 2 * width
+        rows = rows.withColumn(hashed, F.when(F.col("n_words") >= WINDOW, both))
+    # Where a window recurs, hashes with places in order, so that equal ones are neighbours.
+    rows = rows.withColumnRenamed(hashed, "windows")
     rows = rows.withColumn(
         "sorted",
         F.when(
             F.size(F.array_distinct("windows")) < F.size("windows"),
-            F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+            F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))),
         ),
     )
     near = lambda k: F.get(F.col("sorted"), k)["h"]
@@ -94,7 +89,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select(
         "doc_id",
         long(F.col("n_words"), "n_words"),
-        *[long(F.col(c), c) for c in ("word_chars", "n_symbols", "n_digits", "n_upper", "n_marks")],
+        *[long(F.col(c), c) for c in ("word_chars", "n_symbols", "n_digits")],
         long(F.size("lines"), "n_lines"),
         long(F.size("lines") - F.size(F.array_distinct("lines")), "n_dup_lines"),
         long(F.size(F.array_distinct("words")), "n_distinct"),
