@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import crc_mod, read_table
 from marketlens.llm.lattice import score_documents
 from marketlens.llm.near_dup import near_duplicates
+from marketlens.llm.neighbours import nearest
 from marketlens.llm.packing import pack
 from marketlens.llm.pii import personal_data
 from marketlens.llm.quality import quality
@@ -70,3 +71,8 @@ def op9_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decision_list_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
     return quality_rules(docs, labels)
+
+
+@query
+def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
