@@ -1,15 +1,57 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage works on all rows the one before it kept and writes a table the next one reads.
+"""
 
 from __future__ import annotations
 
-from marketlens.llm.common import read_table, stage
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from marketlens.llm.common import crc_mod, read_table, stage
+from marketlens.llm.mixing import mixed_rows
+from marketlens.llm.near_dup import unrepeated_rows
+from marketlens.llm.packing import pack
+from marketlens.llm.pii import redacted_rows
+from marketlens.llm.quality import good_rows
+
+#: Target token weights: good and clean, good and toxic, poor and clean, poor and toxic texts.
+TARGETS = [0.96, 0.04, 0.0, 0.0]
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return good_rows(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return unrepeated_rows(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redacted_rows(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixed_rows(docs, read_table(spark, sf_dir, "labels"), TARGETS, crc_mod("doc_id", 5) != 0)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
+
 
-STAGES = []
+STAGES = [
+    ("quality", keep_good),
+    ("near duplicates", drop_near_duplicates),
+    ("personal data", redact),
+    ("mixing", mix),
+    ("packing", pack_sequences),
+]
+#: Fitted models and a tokenizer are beyond SQL: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

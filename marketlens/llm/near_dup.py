@@ -240,3 +240,10 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         .select("a", "b", "left", "right")
     )
     return stage(held.mapInArrow(_confirm, "a bigint, b bigint").distinct(), "links")
+
+
+def unrepeated_rows(docs: DataFrame) -> DataFrame:
+    """One row of each group of near duplicates, with all columns of docs: its smallest id; rows without an id all stay."""
+    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    rest = docs.filter(F.col("doc_id").isNull())
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(rest)

@@ -273,3 +273,26 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counts, "base_sha256", "spans", *(["text"] if with_text else [])])
 
     return docs.mapInArrow(run, schema + (", text string" if with_text else ""))
+
+
+def redacted_rows(docs: DataFrame, sample: int = 4000) -> DataFrame:
+    """docs with personal data in text replaced by its kind, and n_chars, where there is one, brought up to date."""
+    model = fitted(docs, sample=sample)
+    text_at = docs.columns.index("text")
+    length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole.slice(at, 2000)
+                raw = batch.column(text_at).to_pylist()
+                found = find([x or "" for x in raw], model.value)
+                clean = [x if x is None or not spans else redacted(x, spans) for x, (_, spans) in zip(raw, found)]
+                batch = batch.set_column(text_at, batch.schema.field(text_at), pa.array(clean, batch.column(text_at).type))
+                if length_at is not None:
+                    old = batch.column(length_at)
+                    sizes = [n if x is y else len(y) for x, y, n in zip(raw, clean, old.to_pylist())]
+                    batch = batch.set_column(length_at, batch.schema.field(length_at), pa.array(sizes, old.type))
+                yield batch
+
+    return docs.mapInArrow(run, docs.schema)

@@ -138,3 +138,20 @@ def quality(
 
     scored = docs.withColumn("held_out", held_out).mapInArrow(run, "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, held_out, least: float = 0.3, per_class: int = 2500, length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs whose text scores at least `least`, with all their columns; held_out as above."""
+    rows = labelled_sample(docs, labels, "quality", ~held_out, per_class, columns=("text", length_col))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    text_at, length_at = docs.columns.index("text"), docs.columns.index(length_col)
+    limit = float(np.log(least / (1 - least)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(*model.value)
+        for batch in batches:
+            stated = [x or 0 for x in batch.column(length_at).to_pylist()]
+            keep = [machine.raw(*machine.encode(text, n)) >= limit for text, n in zip(texts(batch.column(text_at)), stated)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
