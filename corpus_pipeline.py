@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm.common import crc_mod, read_table, stage
-from marketlens.llm.mixing import mixed_rows
+from marketlens.llm.mixing import label_domain, mixed_rows
 from marketlens.llm.near_dup import unrepeated_rows
 from marketlens.llm.packing import pack
 from marketlens.llm.pii import redacted_rows
@@ -32,7 +32,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_rows(docs, read_table(spark, sf_dir, "labels"), TARGETS, crc_mod("doc_id", 5) != 0)
+    return mixed_rows(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS, crc_mod("doc_id", 5) != 0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

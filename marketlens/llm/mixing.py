@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from marketlens.llm.common import Remembered, stage, texts, words_of
 from marketlens.llm.quality import statistics
 
-BUCKETS, ROUNDS, STEP, DECAY = 1 << 15, 60, 0.03, 3e-4
+BUCKETS, ROUNDS, BATCH, STEP, DECAY, BEGINNING = 1 << 15, 12, 128, 0.02, 1e-3, 5
 PULL, MOST_STEPS, CLOSE = 1e-3, 60, 1e-4
 
 
 class Classifier:
-    """Domain probabilities from hashed words, present or not, and standardised text statistics."""
+    """Domain probabilities from hashed beginnings of words, present or not, and standardised text statistics."""
 
     def __init__(self, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, known: np.ndarray):
         self.weights, self.mean, self.spread, self.known = weights, mean, spread, known
@@ -38,7 +38,7 @@ class Classifier:
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         words = words_of(text)
-        some = set(words)
+        some = {word[:BEGINNING] for word in words}
         return np.fromiter(map(self.bucket.__getitem__, some), np.int64, len(some)), np.array(statistics(text, words, len(text))), len(words)
 
     def probabilities(self, columns: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -62,25 +62,28 @@ def fit(rows: list[tuple[int, str]], domains: int) -> tuple:
     weights = np.zeros((BUCKETS + found.shape[1] + 1, domains))
     if len(rows):
         size = len(weights)
+        random = np.random.default_rng(7)
         x = np.clip((found - mean) / spread, -4, 4)
-        lengths = np.array([len(c[0]) for c in coded])
-        columns = np.concatenate([c[0] for c in coded]) if lengths.sum() else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(rows)), lengths)
         wanted = np.eye(domains)[y]
-        first, second = np.zeros_like(weights), np.zeros_like(weights)
-        for t in range(1, ROUNDS + 1):
-            z = np.stack([np.bincount(owner, weights[columns, k], len(rows)) for k in range(domains)], axis=1) + x @ weights[BUCKETS:-1] + weights[-1]
-            z[:, ~known] = -50
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            error = (p / p.sum(axis=1, keepdims=True) - wanted) / len(rows)
-            slope = np.zeros_like(weights)
-            for k in range(domains):
-                slope[:, k] = np.bincount(columns, error[owner, k], size)
-            slope[BUCKETS:-1] += x.T @ error
-            slope[-1] += error.sum(axis=0)
-            slope[:-1] += DECAY * weights[:-1] / np.sqrt(len(rows))
-            first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
-            weights -= STEP * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
+        first, second, t = np.zeros_like(weights), np.zeros_like(weights), 0
+        for _ in range(ROUNDS):
+            order = random.permutation(len(rows))
+            for start in range(0, len(rows), BATCH):
+                some = order[start : start + BATCH]
+                columns = np.concatenate([coded[k][0] for k in some])
+                owner = np.repeat(np.arange(len(some)), [len(coded[k][0]) for k in some])
+                z = np.stack([np.bincount(owner, weights[columns, k], len(some)) for k in range(domains)], axis=1)
+                z += x[some] @ weights[BUCKETS:-1] + weights[-1]
+                z[:, ~known] = -np.inf
+                p = np.exp(z - z.max(axis=1, keepdims=True))
+                error = (p / p.sum(axis=1, keepdims=True) - wanted[some]) / len(some)
+                slope = np.stack([np.bincount(columns, error[owner, k], size) for k in range(domains)], axis=1)
+                slope[BUCKETS:-1] += x[some].T @ error
+                slope[-1] += error.sum(axis=0)
+                slope[:-1] += DECAY * weights[:-1]
+                t += 1
+                first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
+                weights -= STEP * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
     return weights, mean, spread, known
 
 
@@ -148,31 +151,47 @@ def _posteriors(model):
     return run
 
 
-def mixed(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500) -> DataFrame:
-    """docs with n_tokens, p (probability of each domain), rate and copies, a whole number with the rate as its mean.
+def _copies(rate, chance):
+    return (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
+
+
+def _chance():
+    """A number from 0 to 1 that depends only on a row's id and text."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _model(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int):
+    rows = labelled_domains(docs, labels, domain, usable, per_domain, len(targets))
+    return docs.sparkSession.sparkContext.broadcast(fit(rows, len(targets)))
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500) -> DataFrame:
+    """doc_id, n_tokens, p (probability of each domain), rate and copies (a whole number with the rate as its mean) of every row.
 
     domain: a column over labels with the domain's number, 0 and up; targets: a weight for each domain, the
-    expected tokens of all domains together stay what they are. copies depends only on the row's id and text.
+    expected tokens of all domains together stay what they are; usable: whose labels may be learned.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_domains(docs, labels, domain, usable, per_domain, len(targets)), len(targets)))
-    run = _posteriors(model)
-    few = stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, n_tokens bigint, p array<double>").select("n_tokens", "p"), "posteriors")
-    steps, step = fitted_steps(few, targets)
+    run = _posteriors(_model(docs, labels, domain, targets, usable, per_domain))
+    rows = docs.select("doc_id", "text", _chance().alias("chance"))
+    found = rows.mapInArrow(run, "doc_id bigint, text string, chance double, n_tokens bigint, p array<double>").drop("text")
+    found = stage(found, "posteriors")
+    steps, step = fitted_steps(found, targets)
+    rated = found.withColumn("rate", rate_of(F.col("p"), steps, step))
+    return rated.select("doc_id", "n_tokens", "p", "rate", _copies(F.col("rate"), F.col("chance")).alias("copies"))
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500) -> DataFrame:
+    """docs with each row as often as it is to be copied. Probabilities are computed again beside the texts, not joined to them."""
+    run = _posteriors(_model(docs, labels, domain, targets, usable, per_domain))
+    few = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, n_tokens bigint, p array<double>")
+    steps, step = fitted_steps(stage(few.select("n_tokens", "p"), "posteriors"), targets)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return (
-        docs.mapInArrow(run, names + ", n_tokens bigint, p array<double>")
-        .withColumn("rate", rate_of(F.col("p"), steps, step))
-        .withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-    )
+    copies = _copies(rate_of(F.col("p"), steps, step), F.col("chance"))
+    added = docs.select(*docs.columns, _chance().alias("chance")).mapInArrow(run, names + ", chance double, n_tokens bigint, p array<double>")
+    repeated = added.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return repeated.select(*docs.columns)
 
 
 def label_domain():
     """Domains of the labels table: 0 good and clean, 1 good and toxic, 2 poor and clean, 3 poor and toxic."""
     return (1 - F.col("quality")) * 2 + F.col("toxic")
-
-
-def mixed_rows(docs: DataFrame, labels: DataFrame, targets: list[float], usable) -> DataFrame:
-    """docs with each row as often as it is to be copied."""
-    found = mixed(docs, labels, label_domain(), targets, usable).filter("copies > 0")
-    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import crc_mod, read_table
 from marketlens.llm.lattice import score_documents
-from marketlens.llm.mixing import label_domain, mixed
+from marketlens.llm.mixing import label_domain, mixing_rates
 from marketlens.llm.near_dup import near_duplicates
 from marketlens.llm.neighbours import nearest
 from marketlens.llm.packing import pack
@@ -82,5 +82,5 @@ def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
-    found = mixed(docs, labels, label_domain(), [0.7, 0.1, 0.15, 0.05], crc_mod("doc_id", 5) != 0)
+    found = mixing_rates(docs, labels, label_domain(), [0.7, 0.1, 0.15, 0.05], crc_mod("doc_id", 5) != 0)
     return found.select("doc_id", "n_tokens", F.col("p").alias("domain_probabilities"), "rate", "copies")
