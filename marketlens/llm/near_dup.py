@@ -9,8 +9,10 @@ At a similarity of exactly 0.75 a chunk has at most one differing lane with prob
 pair misses all ten with 1.5e-6; the chance falls quickly above 0.75.
 
 Groups of copies never turn into all their pairs. Equal sets are one class. In each bucket the
-smallest class is held against the others; links found make components, and only classes of one
-bucket that are still in different components meet afterwards.
+smallest class is held against the others; links found make components. Classes that share buckets
+with other components, and have enough of their shingles there, make families; a family is cut into
+blocks, and each pair of blocks looks for links between components with an inverted list of
+shingles. Only links leave such a task, never the pairs that were looked at.
 
 Empty cases: documents without words have no shingles and no links; an empty table gives an empty
 result. A null id is its own component (null) and kept. Rows that share an id count as one document.
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -30,7 +33,8 @@ from marketlens.llm.common import U64, components, hashed, mixed, stage, texts,
 
 WIDTH = 5
 CHUNKS, LANES = 10, 4
-FARTHEST = 25
+#: Shingles of one block of a family.
+BLOCK_SHINGLES = 1_000_000
 _RANDOM = np.random.default_rng(20240229)
 _PLACE = _RANDOM.integers(0, 2**63, WIDTH, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _FACTORS = _RANDOM.integers(0, 2**63, CHUNKS * LANES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -113,12 +117,6 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node, np.int64)), pa.array(found)], names=["node", "shingle"])
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, CHUNKS * LANES) for k in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array((left != right).sum(axis=1) <= FARTHEST))
-
-
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -170,21 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     rest = stage(labelled.join(split, "key"), "rest")
     rest = able(docs, rest)
-    left = rest.select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_in"))
-    right = rest.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_in"))
-    more = stage(
-        left.join(right, "key")
-        .filter((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & close(F.col("a_n"), F.col("b_n")))
-        .select("a", "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti"),
-        "pairs",
-    )
-    more = stage(near(more, classes), "near")
-    if more.limit(1).count():
-        extra = confirmed(docs, more)
-        if extra.limit(1).count():
-            found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
+    extra = stage(links_of_families(docs, rest), "extra")
+    if extra.limit(1).count():
+        found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
     of_class = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     return (
         signed.join(of_class, "digest", "left")
@@ -193,17 +179,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in at most FARTHEST lanes; a similar pair exceeds it with 2e-7 at most."""
-    signs = classes.select("node", "signature")
-    return (
-        pairs.join(signs.select(F.col("node").alias("a"), F.col("signature").alias("left")), "a")
-        .join(signs.select(F.col("node").alias("b"), F.col("signature").alias("right")), "b")
-        .select("a", "b", "left", "right")
-        .mapInArrow(_near, "a bigint, b bigint")
-    )
-
-
 def able(docs: DataFrame, rest: DataFrame) -> DataFrame:
     """Bucket rows whose class can still be linked to another component.
 
@@ -230,6 +205,49 @@ def able(docs: DataFrame, rest: DataFrame) -> DataFrame:
     return rest.join(nodes.select("node"), "node", "left_semi")
 
 
+def links_of_families(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """All links (a, b) between classes of different components that share buckets, directly or through others."""
+    first = stage(rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last"), "first")
+    joined = stage(rest.join(first, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "joined")
+    families = components(joined).select("node", F.col("component").alias("family"))
+    nodes = rest.select("node", "n", "component").distinct().join(families, "node")
+    sizes = nodes.groupBy("family").agg(F.sum("n").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+    nodes = stage(
+        nodes.join(sizes.select("family", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "family")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("node", "component", "family", "block", "blocks"),
+        "families",
+    )
+    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary")
+    copies = sets.join(nodes, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = copies.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "shingles")
+    return pairs.groupBy("family", "i", "j").applyInPandas(_family_links, "a bigint, b bigint")
+
+
+def _family_links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between the two blocks of a group, or within its only one, by counting shared shingles through inverted lists."""
+    frame = frame.sort_values("node")
+    sets = [np.frombuffer(x, U64) for x in frame["shingles"]]
+    node, component, block = (frame[c].to_numpy() for c in ("node", "component", "block"))
+    cross = frame["i"].iloc[0] != frame["j"].iloc[0]
+    sizes = np.array([len(x) for x in sets])
+    shingle, place = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(place, kind="stable")
+    listed, edge = owner[order], np.searchsorted(place[order], np.arange(len(shingle) + 1))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    out = []
+    for x in range(len(sets)):
+        lists = place[starts[x] : starts[x + 1]]
+        shared = np.bincount(np.concatenate([listed[edge[k] : edge[k + 1]] for k in lists.tolist()]), minlength=len(sets))
+        union = sizes[x] + sizes - shared
+        good = (100 * shared >= 75 * union) & (component != component[x]) & (node > node[x])
+        if cross:
+            good &= block != block[x]
+        out += [(node[x], node[y]) for y in np.flatnonzero(good)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
