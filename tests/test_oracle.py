@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="driver tables
 
 def names():
     every = os.environ.get("ALL_QUERIES") == "1"
-    return [n for n in entry.queries() if every or not any(n.startswith(s) for s in SLOW)]
+    return [n for n in entry.oracle_sql() if every or not any(n.startswith(s) for s in SLOW)]
 
 
 @pytest.fixture(scope="module")
