@@ -28,7 +28,7 @@ NO_TEXTS = "array<string>"
 
 def whole_number(c: Column) -> Column:
     """Number text truncated to a whole number; 0 when it is not a number."""
-    return F.coalesce(to_number(c).cast("bigint"), F.lit(0))
+    return F.coalesce(to_number(c).try_cast("bigint"), F.lit(0))
 
 
 def text_map(c: Column) -> Column:

@@ -44,10 +44,10 @@ def to_number(c: Column) -> Column:
 
 
 def to_id(df: DataFrame, name: str) -> Column:
-    """Identifier as bigint; fractional text is truncated."""
+    """Identifier as bigint; fractional text is truncated, what does not fit is null."""
     if isinstance(df.schema[name].dataType, INTEGRAL):
         return F.col(name).cast("bigint")
-    return to_number(F.col(name)).cast("bigint")
+    return to_number(F.col(name)).try_cast("bigint")
 
 
 def numeric(df: DataFrame, name: str) -> Column:
@@ -60,11 +60,12 @@ def numeric(df: DataFrame, name: str) -> Column:
 
 
 def to_timestamp_lenient(c: Column) -> Column:
-    """Text to timestamp: ISO first, then the fixed formats; else null."""
+    """Text to timestamp: ISO first, then the fixed formats; years have four digits; else null."""
     text = strip(c.cast("string"))
     tries = [text.try_cast("timestamp_ntz")]
     tries += [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in DATE_FORMATS]
-    return F.coalesce(*tries)
+    found = F.coalesce(*tries)
+    return F.when(F.year(found) <= 9999, found)
 
 
 def parse_iso(c: Column) -> Column:

@@ -22,7 +22,7 @@ def pct(c: Column, digits: int = 1) -> Column:
 
 def fmt_int(c: Column) -> Column:
     """Rounded half-even with thousands separators; null prints as 0."""
-    return F.coalesce(F.format_number(F.bround(c.cast("double")).cast("bigint"), 0), F.lit("0"))
+    return F.coalesce(F.format_number(F.bround(c.cast("double")).try_cast("bigint"), 0), F.lit("0"))
 
 
 def category_display_name(path: Column) -> Column:
@@ -34,7 +34,7 @@ def estimate_units(review_count: Column, units_per_review=DEFAULT_UNITS_PER_REVI
     """Reviews times units per review, rounded half-even."""
     factor = units_per_review if isinstance(units_per_review, Column) else F.lit(units_per_review)
     factor = F.when(factor > 0, factor.cast("double")).otherwise(F.lit(DEFAULT_UNITS_PER_REVIEW))
-    return F.bround(F.greatest(review_count, F.lit(0)).cast("double") * factor).cast("bigint")
+    return F.bround(F.greatest(review_count, F.lit(0)).cast("double") * factor).try_cast("bigint")
 
 
 def estimate_revenue(units: Column, price: Column) -> Column:

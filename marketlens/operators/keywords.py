@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.text import word_rows
 from marketlens.operators.products import BY_CATEGORY
-from marketlens.operators.ranking import hash_draw, hash_rank
 from marketlens.operators.selection import product_lookup
 
 
@@ -21,9 +20,3 @@ def branded_texts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) ->
     """Texts of reviews whose product has a brand: the rows keyword counts are taken from."""
     lookup = product_lookup(products, keys).filter(F.col("brand").isNotNull()).drop("brand")
     return reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "review_text").join(lookup, "product_id")
-
-
-def cap_texts(texts: DataFrame, limit: int, keys=BY_CATEGORY, seed: int = 42) -> DataFrame:
-    """At most ``limit`` texts per group in hash order. Off unless asked for: counting needs no cap."""
-    marked = texts.withColumn("_take", F.lit(limit)).withColumn("_hash", hash_rank(F.col("review_id"), F.lit(seed)))
-    return hash_draw(marked, keys, "_take", "_hash", "review_id").drop("_take", "_hash")

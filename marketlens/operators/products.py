@@ -24,7 +24,7 @@ def summary_measures() -> list[Column]:
     price = positive(F.col("min_price"))
     return [
         F.count("*").alias("product_count"),
-        total(n).cast("bigint").alias("total_reviews_product"),
+        total(n).try_cast("bigint").alias("total_reviews_product"),
         (F.sum(F.when(rated, F.col("average_rating") * n)) / F.sum(F.when(rated, n))).alias("weighted_rating"),
         F.avg(F.when(n == 0, 1.0).otherwise(0.0)).alias("zero_review_ratio"),
         F.min(F.col("updated_at").cast("date")).alias("period_from"),
@@ -52,7 +52,7 @@ def platform_dist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
 def brand_scores_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Review counts summed per brand."""
     branded = products.filter(F.col("brand").isNotNull())
-    return branded.groupBy(*keys, "brand").agg(total(F.coalesce(F.col("review_count"), F.lit(0.0))).cast("bigint").alias("score"))
+    return branded.groupBy(*keys, "brand").agg(total(F.coalesce(F.col("review_count"), F.lit(0.0))).try_cast("bigint").alias("score"))
 
 
 def tag_counts(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:

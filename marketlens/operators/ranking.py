@@ -37,6 +37,9 @@ def hash_draw(df: DataFrame, keys, take: str, order: str, tie: str) -> DataFrame
     with fewer rows than ``take`` has no such digits and is in as a whole.
     """
     keys = list(keys)
+    # A row without a hash would fall between the digits: its other values give it one.
+    plain = [f.name for f in df.schema if f.dataType.simpleString() in ("bigint", "int", "double", "string", "timestamp_ntz") and f.name != order]
+    df = df.withColumn(order, F.coalesce(order, F.md5(F.xxhash64(*plain).cast("string"))))
     digits = df.withColumn("_d", F.substring(order, 1, 4))
     upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_d"))
     counts = digits.groupBy(*keys, take, "_d").agg(F.count("*").alias("_n")).withColumn("_upto", upto)

@@ -19,7 +19,7 @@ FACT_SUMS = ["n", "n_rated", "rating_sum"] + [f"stars_{k}" for k in STARS]
 def review_facts(reviews: DataFrame) -> DataFrame:
     """Counts, rating sums and star counts per product, year and channel."""
     # least and greatest skip nulls: without the condition an unrated review would count as five stars.
-    star = F.when(F.col("rating").isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), F.col("rating").cast("int"))))
+    star = F.when(F.col("rating").isNotNull(), F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("rating"))).cast("int"))
     year = F.year("review_date").alias("year")
     return reviews.groupBy("product_id", year, "platform").agg(
         F.count("*").alias("n"),

@@ -54,9 +54,10 @@ def category_sizes(products: DataFrame, min_products: int = 10, need_path: bool
     return rows.groupBy("category_id").agg(F.count("*").alias("product_count")).filter(F.col("product_count") >= min_products)
 
 
-def largest_categories(products: DataFrame, n: int, min_products: int = 10, need_path: bool = True) -> DataFrame:
-    """The ``n`` largest categories, size descending, ties by id."""
-    return category_sizes(products, min_products, need_path).orderBy(F.desc("product_count"), "category_id").limit(n)
+def largest_categories(products: DataFrame, n: int | None, min_products: int = 10, need_path: bool = True) -> DataFrame:
+    """The ``n`` largest categories, size descending, ties by id; all of them without ``n``."""
+    sizes = category_sizes(products, min_products, need_path)
+    return sizes if n is None else sizes.orderBy(F.desc("product_count"), "category_id").limit(n)
 
 
 def products_of(products: DataFrame, categories: DataFrame) -> DataFrame:

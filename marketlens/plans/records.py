@@ -14,7 +14,6 @@ from marketlens.operators.reviews import group_facts, review_facts
 from marketlens.operators.selection import category_path, largest_categories, product_lookup, products_of, subsample_products
 from marketlens.plans import narrative
 from marketlens.plans.metrics import listed, metrics
-from marketlens.plans.phrases import DEFAULT_SITE, SYSTEM_MESSAGE
 from marketlens.plans.report import Settings, with_growth
 from marketlens.session import materialise
 
@@ -146,7 +145,7 @@ def sample_rows(
     products: DataFrame,
     reviews: DataFrame,
     min_products: int = 10,
-    max_categories: int = 3000,
+    max_categories: int | None = None,
     samples: int = 100,
     ratio: float = 0.9,
     seed: int = 42,
@@ -177,9 +176,8 @@ def sample_rows(
     return full
 
 
-def chat_records(rows: DataFrame, site: str = DEFAULT_SITE, system: str | None = None) -> DataFrame:
+def chat_records(rows: DataFrame, system: str) -> DataFrame:
     """System, user and assistant message per row; the two latter hold JSON."""
-    system = SYSTEM_MESSAGE % (site, site) if system is None else system
     fields = model_input_fields()
     user = F.to_json(F.struct(*fields), JSON)
     if "insights" in rows.columns:

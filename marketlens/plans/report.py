@@ -113,8 +113,8 @@ def donut_fraction(top: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     return top.withColumn("fraction", F.col("score") / F.when(shown == 0, 1).otherwise(shown))
 
 
-def reports_of_largest(products: DataFrame, reviews: DataFrame, n: int = 1000, min_products: int = 10, settings: Settings = Settings()) -> DataFrame:
-    """Reports of the ``n`` largest categories in one pass."""
+def reports_of_largest(products: DataFrame, reviews: DataFrame, n: int | None = None, min_products: int = 10, settings: Settings = Settings()) -> DataFrame:
+    """Reports of the ``n`` largest categories, all by default, in one pass."""
     chosen = products_of(products, largest_categories(products, n, min_products))
     return category_report(category_rows(chosen, reviews, settings), settings)
 

@@ -264,7 +264,7 @@ RECORD_MEASURES = ["avg_rating", "zero_review_ratio", "low_rating_ratio", "top3_
 @query("r11_sft_records")
 def r11(spark, d):
     found = records.sample_rows(t.stored_products(spark, d), t.reviews(spark, d, texts=True), samples=SAMPLES, ratio=RATIO, settings=SETTINGS)
-    chat = records.chat_records(found)
+    chat = records.chat_records(found, system="Summarise the market from the figures given; review counts stand for sales.")
     user = """reportType string, categoryName string, metrics struct<productCount:bigint,brandCount:bigint,totalReviewCount:bigint,avgRatingWeighted:double,zeroReviewRatio:double,
  lowRatingRatio:double,top3BrandShare:double,topBrands:array<struct<name:string,reviewCount:bigint>>,topTags:array<struct<tag:string>>,topSegments:array<struct<segment:string>>>,
  growthData array<struct<estimatedRevenue:double,priceRef:double>>, reviewInsights struct<reviewTextCount:bigint,positiveExamples:array<string>>"""

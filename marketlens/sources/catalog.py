@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlens import schema
 
@@ -12,13 +13,17 @@ CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "enco
 def read_catalog_csv(spark: SparkSession, products: str, reviews: str) -> tuple[DataFrame, DataFrame]:
     """Headered UTF-8 CSV whose cells may hold quotes and line breaks. Give directories of many files:
 
-    a multi-line file is read by one task, so the number of files sets the parallelism.
+    a multi-line file is read by one task, so the number of files sets the parallelism. Columns may come in
+    any order; unknown ones are left out, products get nulls for absent ones, reviews keep those they have.
     """
-    reader = spark.read.options(**CSV)
-    return (
-        schema.require_columns(reader.schema(schema.PRODUCTS).csv(products), schema.REQUIRED_PRODUCT_COLUMNS, "products"),
-        schema.require_columns(reader.schema(schema.REVIEWS).csv(reviews), schema.REQUIRED_REVIEW_COLUMNS, "reviews"),
-    )
+    # Columns are text and found by the header's names: a declared schema would be applied by position.
+    found_products, found_reviews = (spark.read.options(**CSV).csv(path) for path in (products, reviews))
+    schema.require_columns(found_products, schema.REQUIRED_PRODUCT_COLUMNS, "products")
+    if not any(name in found_reviews.columns for name in schema.DATE_COLUMNS):
+        raise ValueError(f"reviews lacks a date column, one of: {', '.join(schema.DATE_COLUMNS)}")
+    everything = [F.col(f.name) if f.name in found_products.columns else F.lit(None).cast("string").alias(f.name) for f in schema.PRODUCTS]
+    known = {f.name for f in schema.REVIEWS} | {*schema.DATE_COLUMNS, *schema.TEXT_COLUMNS}
+    return found_products.select(*everything), found_reviews.select(*[c for c in found_reviews.columns if c in known])
 
 
 def write_catalog_csv(df: DataFrame, path: str) -> None:
@@ -33,10 +38,10 @@ def jdbc_options(url: str, table: str, key: str, lower: int, upper: int, partiti
 def read_catalog_jdbc(
     spark: SparkSession,
     url: str,
-    schema_name: str = "public1",
+    schema_name: str,
+    id_range: tuple[int, int],
     products_table: str = "products",
     reviews_table: str = "reviews",
-    id_range: tuple[int, int] = (0, 1_000_000_000),
     partitions: int = 64,
     **options,
 ) -> tuple[DataFrame, DataFrame]:

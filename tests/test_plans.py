@@ -115,7 +115,7 @@ def test_donut_fraction_of_zero_sum(spark):
 def test_training_records(catalog, spark, tmp_path):
     products, reviews = catalog[0], catalog[1]
     found = records.sample_rows(products, reviews, samples=2, ratio=0.8)
-    chat = records.chat_records(found, site="S")
+    chat = records.chat_records(found, system="S")
     path = str(tmp_path / "records")
     write_sft_jsonl(chat, path)
     back = read_sft_jsonl(spark, path)
@@ -123,7 +123,7 @@ def test_training_records(catalog, spark, tmp_path):
     checked = records.validate_chat_records(back)
     assert checked.filter("not is_valid").count() == 0
     for r in records.split_prompt_answer(back).collect():
-        assert [m.role for m in r.prompt] == ["system", "user"] and "S 유아동" in r.prompt[0].content
+        assert [m.role for m in r.prompt] == ["system", "user"] and r.prompt[0].content == "S"
         user, answer = json.loads(r.prompt[1].content), json.loads(r.answer)
         assert set(answer) == {"marketOverviewSummary", "growthSummary"} and user["reportType"] == "market_report_summary"
         assert user["metrics"]["productCount"] == (11 if user["categoryId"] == 1 else 10)
