@@ -109,12 +109,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memory = word_hashes()
-    for batch in batches:
-        for node, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-            found = shingle_set(text, memory).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node, np.int64)), pa.array(found)], names=["node", "shingle"])
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of a set, some sets at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 64):
+            batch = whole.slice(at, 64)
+            found = batch.column(3).to_pylist()
+            sizes = [len(x) // 8 for x in found]
+            repeated = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(3)]
+            shingles = pa.array(np.frombuffer(b"".join(found), np.int64))
+            yield pa.RecordBatch.from_arrays([*repeated, shingles], names=["node", "n", "component", "shingle"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "buckets",
     )
     met = stage(keys.join(buckets, "key"), "met")
+    sets = sets_of(docs, stage(met.select("node").distinct(), "members"))
     close = lambda x, y: (100 * F.least(x, y) >= 75 * F.greatest(x, y))
     tried = stage(
         met.filter((F.col("node") != F.col("first")) & close(F.col("n"), F.col("first_n")))
@@ -158,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .distinct(),
         "pairs",
     )
-    links = confirmed(docs, tried)
+    links = confirmed(sets, tried)
     found = stage(components(links), "components")
     # Classes of one bucket that are in different components and were not held against each other.
     labelled = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -167,8 +172,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "split",
     )
     rest = stage(labelled.join(split, "key"), "rest")
-    rest = able(docs, rest)
-    extra = stage(links_of_families(docs, rest), "extra")
+    rest = able(sets, rest)
+    extra = stage(links_of_families(sets, rest), "extra")
     if extra.limit(1).count():
         found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
     of_class = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -179,20 +184,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def able(docs: DataFrame, rest: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The shingle sets of the classes that share a bucket with another one, written once for all steps that hold sets against each other.
+
+    Members are a written table of ids: while it is small Spark sends it to all tasks and no text is shuffled, else the texts are, once.
+    """
+    found = docs.join(members.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary")
+    return stage(found.filter("length(shingles) > 0"), "sets")
+
+
+def able(sets: DataFrame, rest: DataFrame) -> DataFrame:
     """Bucket rows whose class can still be linked to another component.
 
     A link needs three quarters of the class's shingles in one class elsewhere, so in particular
     three quarters of them must occur in some other component that shares buckets. Classes that
     fall short cannot link; without them others may fall short too: two rounds drop nearly all that can be dropped.
     """
-    nodes = rest.select("node", "n", "component").distinct()
-    found = stage(
-        docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_shingles, "node bigint, shingle bigint"),
-        "shingles",
-    )
+    nodes = stage(rest.select("node", "n", "component").distinct(), "nodes")
     for _ in range(2):
-        here = found.join(nodes, "node")
+        here = sets.join(nodes, "node").select("node", "n", "component", "shingles")
+        here = here.mapInArrow(_listed, "node bigint, n bigint, component bigint, shingle bigint")
         abroad = stage(
             here.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle"),
             "abroad",
@@ -205,7 +216,7 @@ def able(docs: DataFrame, rest: DataFrame) -> DataFrame:
     return rest.join(nodes.select("node"), "node", "left_semi")
 
 
-def links_of_families(docs: DataFrame, rest: DataFrame) -> DataFrame:
+def links_of_families(sets: DataFrame, rest: DataFrame) -> DataFrame:
     """All links (a, b) between classes of different components that share buckets, directly or through others."""
     first = stage(rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last"), "first")
     joined = stage(rest.join(first, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "joined")
@@ -218,7 +229,6 @@ def links_of_families(docs: DataFrame, rest: DataFrame) -> DataFrame:
         .select("node", "component", "family", "block", "blocks"),
         "families",
     )
-    sets = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary")
     copies = sets.join(nodes, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = copies.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "shingles")
     return pairs.groupBy("family", "i", "j").applyInPandas(_family_links, "a bigint, b bigint")
@@ -248,10 +258,8 @@ def _family_links(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = stage(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "node bigint, shingles binary"), "sets")
     held = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")

@@ -69,6 +69,24 @@ def test_near_duplicates(spark, corpus):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    """An empty row beside a text of the same id links nothing; texts that only share a bucket stay apart."""
+    one, other = " ".join(f"w{k}" for k in range(300)), " ".join(f"v{k}" for k in range(300))
+    rows = [(1, one), (1, ""), (2, one + " end"), (2, None), (3, other), (3, ""), (4, " ".join(other.split()[:250])), (5, other.replace("v9", "u9"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = near_dup.near_duplicates(docs).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == {(1, 1), (2, 1), (3, 3), (4, 3), (5, 3 if _alike(other, other.replace("v9", "u9")) else 5)}
+    empties = spark.createDataFrame([(6, "a b c d e"), (6, ""), (7, "f g h i j"), (7, "")], "doc_id bigint, text string")
+    pairs = spark.createDataFrame([(6, 7)], "a bigint, b bigint")
+    members = spark.createDataFrame([(6,), (7,)], "node bigint")
+    assert near_dup.confirmed(near_dup.sets_of(empties, members), pairs).count() == 0
+
+
+def _alike(a: str, b: str) -> bool:
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
 def test_families_lose_no_link():
     """Blocks of a family give every link between components that comparing all sets gives."""
     random = np.random.default_rng(3)
