@@ -1,14 +1,16 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-A window is a word between blanks, followed by a filler that ends both dictionaries, so that short
-words are coded as matches where a dictionary has them. Its length under the ordinary dictionary less
-that under the toxic one says how much better toxic text explains it. A text's windows are counted
-above several differences, and a logistic fit on labelled texts that no dictionary has seen
-calibrates those thresholds. Distinct words are compressed once and remembered.
-
-The toxic dictionary is trained on those words of toxic texts whose beginning is far more frequent
-there than in ordinary texts, the ordinary one on whole ordinary texts. Labels are learned from at
-most `per_class` rows of each.
+A window is a run of 6 words (short) or 12 words (long), and every word is in one of each. Its length
+under the ordinary dictionary less that under the toxic one says how much better toxic text explains
+it. A text's windows of either length are counted above several differences, and a logistic fit on
+labelled texts that no dictionary has seen calibrates those thresholds.
+
+A dictionary has a part trained on windows of whole texts, of toxic ones or of ordinary ones, without
+any choice of words, and the same ordinary text beside it, so that what both know is coded alike. For
+short windows that text is met first, which leaves words that only toxic texts have; for long windows
+the trained part is, which brings out phrases of ordinary words. A filler ends dictionaries and
+windows, so that windows are coded as matches where a dictionary has them. Labels are learned from at
+most `per_class` rows of each, of which the shared text is up to `SHARED_BYTES`.
 
 Empty cases: null and empty texts have no window and get the score of that; an empty table gives an
 empty result; with labels of one kind only, every score is the smoothed share of label 1; null ids
@@ -17,7 +19,6 @@ are carried along; equal rows get equal scores.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,92 +27,94 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Remembered, texts, words_of
+from marketlens.llm.common import texts, words_of
 from marketlens.llm.labelled import labelled_sample, logistic
 
 FILLER = bytes(range(128, 192))
-TOXIC_BYTES, ORDINARY_BYTES = 16384, 65536
-STEPS = np.arange(2, 8)
-_BEGINNINGS = (5, 6, 7, 8, 9)
+TRAINED_BYTES, SHARED_BYTES = 65536, 2_000_000
+#: Words in a window, words in a window to train on, bytes of a trained segment, counted differences, search.
+SHORT = (6, 8, 24, np.arange(1, 10), zstandard.STRATEGY_LAZY2)
+LONG = (12, 24, 64, np.arange(6, 24, 2), zstandard.STRATEGY_GREEDY)
 
 
-def _windows(words) -> bytes:
-    return b"".join(b" " + word + b" " for word in words)
+def _windows(words: list[bytes], size: int) -> list[bytes]:
+    return [b" " + b" ".join(words[k : k + size]) + b" " for k in range(0, len(words), size)]
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    samples = [x for x in samples if len(x) >= 8]
+def _trained(parts: list[bytes], size: int, segment: int) -> bytes:
+    samples = [x for text in parts for x in _windows(words_of(text), size) if len(x) >= 8]
     try:
-        return zstandard.train_dictionary(size, samples, k=24, d=6).as_bytes() + FILLER
+        return zstandard.train_dictionary(TRAINED_BYTES, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: their own bytes are the dictionary
-        return b"".join(dict.fromkeys(samples))[-size:] + FILLER
+        return b"".join(dict.fromkeys(samples))
 
 
-def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
-    """Trained dictionaries of toxic and of ordinary texts."""
-    begin = lambda words: {(b" " + w + b" ")[:k] for w in words for k in _BEGINNINGS if k <= len(w) + 2}
-    bad, good = [words_of(x) for x in toxic], [words_of(x) for x in ordinary]
-    much, little = Counter(g for words in bad for g in begin(set(words))), Counter(g for words in good for g in begin(set(words)))
-    least = max(3, 0.02 * len(bad))
-    marks = {g for g, n in much.items() if n >= least and n * len(good) >= 25 * (little[g] + 0.5) * len(bad)}
-    telling = [[w for w in words if begin([w]) & marks] for words in bad]
-    # Four times over: training asks for more bytes than a few hundred texts have.
-    first = _dictionary([_windows(words) for words in telling] * 4, TOXIC_BYTES)
-    plain = [_windows(words[k : k + 8]) for words in good for k in range(0, len(words), 8)]
-    return first, _dictionary(plain[:300_000], ORDINARY_BYTES)
+def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes, bytes, bytes]:
+    """Dictionaries of toxic and of ordinary texts for short windows, then for long ones."""
+    half = len(ordinary) // 2
+    shared = b"\n".join(b" ".join(words_of(x)) for x in ordinary[half:])[-SHARED_BYTES:]
+    short, long = ([_trained(parts, *how[1:3]) for parts in (toxic, ordinary[:half])] for how in (SHORT, LONG))
+    # A search meets what is last first: shared text hides common words in short windows, and no phrases in long ones.
+    return *(x + shared + FILLER for x in short), *(shared + x + FILLER for x in long)
 
 
 class Difference:
-    """Bytes that the toxic dictionary saves on a word."""
+    """Bytes that the toxic dictionary saves on windows, short and long."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        def compressor(raw: bytes) -> zstandard.ZstdCompressor:
-            how = zstandard.ZstdCompressionParameters.from_level(
-                3, source_size=128, dict_size=len(raw), write_content_size=False, write_checksum=False, write_dict_id=False,
-                min_match=4, strategy=zstandard.STRATEGY_LAZY2,
+    def __init__(self, *raw: bytes):
+        def compressor(raw: bytes, strategy: int) -> zstandard.ZstdCompressor:
+            how = zstandard.ZstdCompressionParameters(
+                window_log=23, hash_log=20, chain_log=20, search_log=4, min_match=4, target_length=8,
+                strategy=strategy, write_content_size=False, write_checksum=False, write_dict_id=False,
             )
             known = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             known.precompute_compress(compression_params=how)
             return zstandard.ZstdCompressor(dict_data=known, compression_params=how)
 
-        self.toxic, self.ordinary = compressor(toxic).compress, compressor(ordinary).compress
-        self.known = Remembered(self.of, 700_000)
+        self.pairs = [(how, *(compressor(x, how[-1]) for x in two)) for how, two in ((SHORT, raw[:2]), (LONG, raw[2:]))]
 
-    def of(self, word: bytes) -> int:
-        window = b" " + word + b" " + FILLER
-        return len(self.ordinary(window)) - len(self.toxic(window))
+    @staticmethod
+    def of(windows: list[bytes], toxic: zstandard.ZstdCompressor, ordinary: zstandard.ZstdCompressor) -> np.ndarray:
+        """One difference per window; 0 where there is no window."""
+        if not windows:
+            return np.zeros(1, np.int64)
+        parts = [x + FILLER for x in windows]
+        less, more = (np.fromiter(map(len, one.multi_compress_to_buffer(parts, threads=1)), np.int64, len(parts)) for one in (toxic, ordinary))
+        return more - less
 
     def features(self, text: bytes) -> np.ndarray:
         words = words_of(text)
-        saved = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        most = saved.max(initial=0)
-        counts = (saved[saved >= STEPS[0]][:, None] >= STEPS).sum(axis=0)
-        return np.concatenate([np.log1p(counts), counts > 0, [min(most, 12) / 4, np.log1p(len(words)) / 4]])
+        found = []
+        for (size, _, _, steps, _), toxic, ordinary in self.pairs:
+            saved = self.of(_windows(words, size), toxic, ordinary)
+            counts = (saved[:, None] >= steps).sum(axis=0)
+            found += [np.log1p(counts), counts > 0, [min(max(saved.max(), 0), 2 * steps[-1]) / 4, np.clip(saved.mean(), -3, 3)]]
+        return np.concatenate([*found, [np.log1p(len(words)) / 4]])
 
 
-_MADE: dict[tuple[bytes, bytes], Difference] = {}
+_MADE: dict[tuple[bytes, ...], Difference] = {}
 
 
-def difference_of(toxic: bytes, ordinary: bytes) -> Difference:
-    """One per Python worker: later tasks use the words that earlier ones have met."""
-    if (toxic, ordinary) not in _MADE:
+def difference_of(*raw: bytes) -> Difference:
+    """One per Python worker: later tasks use the tables of earlier ones."""
+    if raw not in _MADE:
         _MADE.clear()
-        _MADE[toxic, ordinary] = Difference(toxic, ordinary)
-    return _MADE[toxic, ordinary]
+        _MADE[raw] = Difference(*raw)
+    return _MADE[raw]
 
 
-def fit(rows: list[tuple]) -> tuple[bytes, bytes, np.ndarray]:
-    """Both dictionaries and the weights, from (doc_id, label, text). Every second text calibrates."""
+def fit(rows: list[tuple]) -> tuple:
+    """The four dictionaries, then the weights, from (doc_id, label, text). Every second text calibrates."""
     rows = [(label, (text or "").encode()) for _, label, text in rows]
     learn, rest = rows[::2], rows[1::2] or rows
-    toxic, ordinary = dictionaries([x for y, x in learn if y], [x for y, x in learn if not y])
+    raw = dictionaries([x for y, x in learn if y], [x for y, x in learn if not y])
     y = np.array([label for label, _ in rest], float)
-    size = 2 * len(STEPS) + 2
+    size = sum(2 * len(steps) + 2 for *_, steps, _ in (SHORT, LONG)) + 1
     if not 0 < y.sum() < len(y):
         share = (y.sum() + 1) / (len(y) + 2)
-        return toxic, ordinary, np.append(np.zeros(size), np.log(share / (1 - share)))
-    made = Difference(toxic, ordinary)
-    return toxic, ordinary, logistic(np.array([made.features(x) for _, x in rest]), y, ridge=1e-4)
+        return *raw, np.append(np.zeros(size), np.log(share / (1 - share)))
+    made = Difference(*raw)
+    return *raw, logistic(np.array([made.features(x) for _, x in rest]), y, ridge=1e-3)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 2500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,8 +123,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out, per_class: int = 2500
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, "toxic", ~held_out, per_class)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, ordinary, weights = model.value
-        made = difference_of(toxic, ordinary)
+        *raw, weights = model.value
+        made = difference_of(*raw)
         for batch in batches:
             x = np.array([made.features(text) for text in texts(batch.column(1))]).reshape(-1, len(weights) - 1)
             score = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))

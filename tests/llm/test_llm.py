@@ -307,6 +307,31 @@ def test_classifiers(spark, corpus, name, label, module):
     assert module(empty(spark), labels, common.crc_mod("doc_id", 5) == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["phrases of ordinary words", "rare insults"])
+def test_toxicity_without_frequent_words(kind):
+    """Toxic by the order of ordinary words, or by words that are in 1 % of the toxic texts."""
+    random = np.random.default_rng(8)
+    words = ["".join(x) for x in random.choice(list("abcdefgh"), (300, 6))]
+    phrases = [" ".join(random.choice(words, 5)) for _ in range(6)]
+    insults = ["".join(x) for x in random.choice(list("klmnopqrst"), (300, 9))]
+
+    def text(toxic):
+        out = list(random.choice(words, 60))
+        for at in random.choice(12, 3, replace=False) if toxic else ():
+            out[5 * at : 5 * at + 5] = random.choice(phrases).split() if kind.startswith("phrases") else [random.choice(insults), *out[5 * at + 1 : 5 * at + 5]]
+        return " ".join(out)
+
+    rows = [(k, int(k % 5 < 2), text(k % 5 < 2)) for k in range(1500)]
+    if kind == "rare insults":
+        seen = Counter(w for _, y, t in rows[:1000:2] if y for w in set(t.split()) & set(insults))
+        assert len(seen) > 200 and np.mean(list(seen.values())) < 0.02 * 200
+    *raw, weights = toxicity.fit(rows[:1000])
+    made = toxicity.Difference(*raw)
+    score = np.array([made.features(t.encode()) @ weights[:-1] + weights[-1] for _, _, t in rows[1000:]])
+    y = np.array([y for _, y, _ in rows[1000:]])
+    assert (score[y == 1][:, None] > score[y == 0][None]).mean() > 0.9
+
+
 def test_mixing_meets_targets(spark, corpus):
     random = np.random.default_rng(2)
     p = random.dirichlet([0.3, 0.3, 0.3], 400)
