@@ -1,11 +1,13 @@
 """Quality rules: text statistics in SQL, and a decision list learned by sequential covering.
 
 The statistics are Spark expressions over the words and lines of whole texts. The list is learned from
-all labelled rows. Each statistic is cut into bins once; a rule grows by the condition (a statistic
-at most, or at least, a bin's edge) with the largest information gain over the rows it covers, is
-pruned from its end on rows it has not grown on, and is kept while it is precise enough on those.
-Covered rows leave, and the next rule follows. Each step is one grouped count over bins, of which
-only those few counts reach the driver. The list is written as an ordered CASE expression.
+all labelled rows. Each statistic is cut into bins once, at quantiles of all rows, of the rows above
+zero and of the rows to be rejected; a rule grows by the condition (a statistic at most, or above, an
+edge) with the largest information gain over the rows it covers, whose edge is then moved by counts
+between ever closer values. It is pruned from its end on rows it has not grown on, and is kept if it
+is precise enough on those. Covered rows leave, and the next rule follows until none is precise. Each
+step is a grouped count, of which only those few counts reach the driver. The list is written as an
+ordered CASE expression.
 
 Empty cases: null and empty texts have zero statistics and fail the base rule; an empty table gives an
 empty result; without labels the list is empty and keeps what passes the base rule; null ids are
@@ -21,8 +23,9 @@ from pyspark.sql import functions as F
 
 from marketlens.llm.common import stage
 
-BINS = 16
-MOST_RULES, MOST_CONDITIONS = 8, 3
+#: Steps of a 64th, and halves of the rest towards both ends.
+QUANTILES = sorted({k / 64 for k in range(1, 64)} | {x for k in range(7, 14) for x in (2.0**-k, 1 - 2.0**-k)})
+MOST_CONDITIONS = 3
 PRECISE, LEAST = 0.95, 5
 _BLANKS = " \t\n\x0b\f\r"
 WINDOW = 8
@@ -103,73 +106,97 @@ BASE_FAILED = "n_words < 20 or 100 * n_repeat_words > 30 * n_words"
 def learned_rules(found: DataFrame) -> list[list[tuple[str, str, float]]]:
     """Conjunctions that reject, in order, from rows with a label (0 is to be rejected) and the ratios."""
     names = list(RATIOS)
-    cuts = found.agg(*[F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10_000).alias(n) for n in names]).first()
-    edges = {n: sorted(set(cuts[n] or [])) for n in names}
+    # Quantiles of all rows, of those above zero and of those to be rejected, finer towards both ends.
+    of = {"": lambda n: F.col(n), "_above": lambda n: F.when(F.col(n) > 0, F.col(n)), "_bad": lambda n: F.when(F.col("label") == 0, F.col(n))}
+    cuts = found.agg(*[F.percentile_approx(pick(n), QUANTILES, 10_000).alias(n + kind) for n in names for kind, pick in of.items()]).first()
+    edges = {n: sorted({x for kind in of for x in cuts[n + kind] or []}) for n in names}
     if not any(edges.values()):
         return []
-    # Bin k holds what is above k edges; rows with equal bins are one row with a count.
+    above = lambda n, values: F.size(F.filter(F.array(*map(F.lit, values)), lambda e: F.col(n) > e)) if values else F.lit(0)
+    # Bin k holds what is above k edges.
     binned = found.select(
         (F.col("label") == 0).cast("int").alias("bad"),
         (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("for_pruning"),
-        *[sum((F.when(F.col(n) > e, 1).otherwise(0) for e in edges[n]), F.lit(0)).alias(n) for n in names],
+        *names,
+        *[above(n, edges[n]).alias(f"bin_{n}") for n in names],
     )
-    rows = stage(binned.groupBy(*binned.columns).agg(F.count("*").alias("rows")), "bins")
+    rows = stage(binned, "bins")
 
     def meets(rule) -> Column:
         out = F.lit(True)
-        for name, side, k in rule:
-            out = out & (F.col(name) <= k if side == "<=" else F.col(name) > k)
+        for name, side, edge in rule:
+            out = out & (F.col(name) <= edge if side == "<=" else F.col(name) > edge)
         return out
 
     def totals(df: DataFrame) -> tuple[int, int]:
-        row = df.agg(F.sum(F.col("bad") * F.col("rows")).alias("p"), F.sum(F.col("rows")).alias("a")).first()
+        row = df.agg(F.sum("bad").alias("p"), F.count("*").alias("a")).first()
         return row.p or 0, (row.a or 0) - (row.p or 0)
 
-    def grown(growing: DataFrame) -> list[tuple[str, str, int]]:
-        rule: list[tuple[str, str, int]] = []
+    def counted(df: DataFrame, bins: dict[str, Column]) -> list:
+        pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("bin")) for n, c in bins.items()]))
+        return df.select("bad", pairs.alias("x")).groupBy("x.name", "x.bin").agg(F.sum("bad").alias("p"), F.count("*").alias("a")).collect()
+
+    def best_of(counts: list, values: dict[str, list[float]], p0: int, n0: int, sure: bool, sides: str | None = None):
+        """(gain, condition, p, n) of the best condition; sure asks it to be precise by itself."""
+        best = None
+        for name, at in values.items():
+            p = a = 0
+            for row in sorted((r for r in counts if r["name"] == name), key=lambda r: r.bin):
+                p, a = p + row.p, a + row.a
+                for side, x, y in (("<=", p, a - p), (">", p0 - p, n0 - (a - p))):
+                    if x >= LEAST and x + y < p0 + n0 and row.bin < len(at) and sides in (None, side) and not (sure and x < PRECISE * (x + y)):
+                        gain = x * (math.log2(x / (x + y)) - math.log2(p0 / (p0 + n0)))
+                        if best is None or gain > best[0] + 1e-9:
+                            best = (gain, (name, side, at[row.bin]), x, y)
+        return best
+
+    def refined(df: DataFrame, best, p0: int, n0: int, sure: bool):
+        """The same condition with a cut anywhere between the edges beside its own, by counts between ever closer values."""
+        (name, side, edge), at = best[1], edges[best[1][0]]
+        k = at.index(edge)
+        low, high = at[k - 1] if k else -math.inf, at[k + 1] if k + 1 < len(at) else math.inf
+        while True:
+            inside = df.filter((F.col(name) > low) & (F.col(name) <= high))
+            values = sorted({*(inside.agg(F.percentile_approx(name, [j / 64 for j in range(1, 65)], 10_000)).first()[0] or []), best[1][2]})
+            found = best_of(counted(df, {name: above(name, values)}), {name: values}, p0, n0, sure, side)
+            if found is None or found[0] <= best[0] + 1e-9:
+                return best
+            best, k = found, values.index(found[1][2])
+            low, high = values[k - 1] if k else low, values[k + 1] if k + 1 < len(values) else high
+
+    def grown(growing: DataFrame, sure: bool) -> list[tuple[str, str, float]]:
+        rule: list[tuple[str, str, float]] = []
         p0, n0 = totals(growing)
         while len(rule) < MOST_CONDITIONS and p0 and n0:
-            pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("bin")) for n in names]))
-            counts = (
-                growing.filter(meets(rule))
-                .select("bad", "rows", pairs.alias("x"))
-                .groupBy("x.name", "x.bin")
-                .agg(F.sum(F.col("bad") * F.col("rows")).alias("p"), F.sum("rows").alias("a"))
-                .collect()
-            )
-            best = None
-            for name in names:
-                p = a = 0
-                for row in sorted((r for r in counts if r["name"] == name), key=lambda r: r.bin):
-                    p, a = p + row.p, a + row.a
-                    for side, x, y in (("<=", p, a - p), (">", p0 - p, n0 - (a - p))):
-                        if x >= LEAST and x + y < p0 + n0:
-                            gain = x * (math.log2(x / (x + y)) - math.log2(p0 / (p0 + n0)))
-                            if best is None or gain > best[0] + 1e-9:
-                                best = (gain, (name, side, row.bin), x, y)
+            rest = growing.filter(meets(rule))
+            best = best_of(counted(rest, {n: F.col(f"bin_{n}") for n in names}), edges, p0, n0, sure)
             if best is None or best[0] <= 0:
                 break
+            best = refined(rest, best, p0, n0, sure)
             rule.append(best[1])
             p0, n0 = best[2], best[3]
         return rule
 
-    rules: list = []
-    left = rows
-    while len(rules) < MOST_RULES:
-        rule = grown(left.filter("not for_pruning"))
-        if not rule:
-            break
-        pruning = left.filter("for_pruning")
+    def pruned(rule, pruning: DataFrame):
         worth = []
         for k in range(1, len(rule) + 1):
             p, n = totals(pruning.filter(meets(rule[:k])))
             worth.append(((p - n) / max(p + n, 1), k, p, n))
-        best = max(worth, key=lambda x: (x[0], -x[1]))
-        if best[2] < LEAST or best[2] < PRECISE * (best[2] + best[3]):
-            break
-        rules.append(rule[: best[1]])
-        left = left.filter(~meets(rules[-1]))
-    return [[(name, side, edges[name][k] if side == ">" else edges[name][min(k, len(edges[name]) - 1)]) for name, side, k in rule] for rule in rules]
+        best = max(worth, key=lambda x: (x[0], -x[1]), default=None)
+        return rule[: best[1]] if best and best[2] >= LEAST and best[2] >= PRECISE * (best[2] + best[3]) else None
+
+    rules: list = []
+    left = rows
+    while True:
+        # Where the largest gain leads to no precise rule, a condition that is precise by itself may.
+        for sure in (False, True):
+            rule = pruned(grown(left.filter("not for_pruning"), sure), left.filter("for_pruning"))
+            if rule:
+                break
+        if not rule:
+            return rules
+        rules.append(rule)
+        left = left.filter(~meets(rule))
 
 
 def expression(rules: list[list[tuple[str, str, float]]]) -> Column:

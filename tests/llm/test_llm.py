@@ -293,6 +293,21 @@ def test_rules_find_a_planted_rule(spark, corpus):
     assert all(r.kept for r in rules.quality_rules(docs, labels.limit(0)).collect())
 
 
+def test_rules_find_rare_junk(spark, corpus):
+    """Junk in one row of eighty, by more symbols than the one to three of every second clean row."""
+    random = np.random.default_rng(4)
+    rows = []
+    for k in range(2400):
+        words = ["".join(x) for x in random.choice(list("abcdefgh"), (random.integers(40, 60), 5))]
+        for i in range(20 if k % 80 == 0 else random.integers(1, 4) * (k % 2)):
+            words[i] = "#" + words[i][1:]
+        rows.append((k, words, int(k % 80 != 0)))
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id bigint, quality int")
+    found = {r.doc_id: r.kept for r in rules.quality_rules(docs, labels).collect()}
+    assert all(found[k] == bool(y) for k, _, y in rows)
+
+
 @pytest.mark.parametrize("name,label,module", [("toxic", "toxic", toxicity.toxicity), ("quality", "quality", quality.quality)])
 def test_classifiers(spark, corpus, name, label, module):
     docs, rows = corpus
