@@ -3,7 +3,8 @@
 Nodes are the blank-separated tokens that hold a digit or an at sign; a text without any has no
 entities. Neighbouring nodes are linked as a chain. A node is also linked to the last earlier node
 that repeats or resembles it (same digits, same last seven digits, same local part of an address),
-however far away, so an entity keeps one label through a document. Sum-product messages run along
+however far away; runs of neighbouring groups of digits are compared as one number, and their groups
+linked by the places of their digits from the end. So an entity keeps one label through a document. Sum-product messages run along
 both kinds of links until they settle. Node weights are fitted to the labels the patterns give in a
 bounded sample of texts; link weights are the sample's logarithmic label associations. Nodes under a
 pattern's span are held to its label; other nodes whose marginal reaches `SURE` add a span.
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 HASHED = 1 << 12
+#: Digits of the longest entity, and how many last ones make two numbers alike.
+LONGEST, ALIKE = 19, 7
 _LABELS = len(KINDS) + 1
 _HOLD = 12.0
 _SETTLE = 12
@@ -38,6 +41,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NODE = re.compile(r"\S*[0-9@]\S*")
 _SIGN = re.compile(r"[0-9@]")
+_GROUP = re.compile(r"[^\W\d]|@")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -102,18 +106,33 @@ def _hash(feature: str) -> int:
     return xxhash.xxh32_intdigest(feature) % HASHED
 
 
+def _tails(token_digits: list[str]) -> list[str]:
+    """Joined digits of the last one, two, ... of some neighbouring groups, of `ALIKE` digits to `LONGEST`."""
+    found, joined = [], ""
+    for digits in reversed(token_digits):
+        joined = digits + joined
+        if len(joined) > LONGEST:
+            break
+        if len(joined) >= ALIKE:
+            found.append(joined)
+    return found
+
+
 class Graph:
     """Nodes and links of several texts at once."""
 
     def __init__(self):
         self.text, self.start, self.end, self.label = [], [], [], []
         self.features, self.chain, self.skip = [], [], []
+        self.aligned: set[tuple[int, int]] = set()
 
     def add(self, number: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         first = len(self.start)
         nodes = [m.span() for m in _NODE.finditer(text)]
         shapes = ["^", *(_shape(text[s:e]) for s, e in nodes), "$"]
         met: dict[str, int] = {}
+        ended: dict[str, tuple[int, list[str]]] = {}
+        groups: list[str] = []
         by_start = sorted(spans, key=lambda x: x[1])
         at = 0
         for k, (s, e) in enumerate(nodes):
@@ -143,9 +162,38 @@ class Graph:
             for key in _keys(token):
                 if met.get(key, here) != here and (met[key], here) not in self.chain[-1:]:
                     self.skip.append((met[key], here))
+                    self.aligned.add((met[key], here))
                 met[key] = here
+            digits = "" if _GROUP.search(token) else _digits(token)
+            # Not more groups than the longest entity has digits.
+            groups = [*(groups if before else [])[1 - LONGEST :], digits] if digits else []
+            tails = _tails(groups)
+            for key in dict.fromkeys([*(f"d{x}" for x in tails), *(f"e{x[-ALIKE:]}" for x in tails)]):
+                if key in ended:
+                    self._align(*ended[key], here, groups)
+                ended[key] = here, groups
         assert len(self.start) - first == len(nodes)
 
+    def _align(self, there: int, old: list[str], here: int, new: list[str]) -> None:
+        """Link the groups of two runs that end alike, by the places of their digits from the end."""
+        if len(old) == len(new) == 1:
+            return
+        a, b = "".join(old), "".join(new)
+        same = 0
+        while same < min(len(a), len(b), LONGEST) and a[-1 - same] == b[-1 - same]:
+            same += 1
+        i = j = at_a = at_b = 0
+        while i < len(old) and j < len(new) and max(at_a, at_b) < same and there < here - j:
+            link = (there - i, here - j)
+            if link not in self.aligned:
+                self.aligned.add(link)
+                self.skip.append(link)
+            end_a, end_b = at_a + len(old[-1 - i]), at_b + len(new[-1 - j])
+            if end_a <= end_b:
+                i, at_a = i + 1, end_a
+            if end_b <= end_a:
+                j, at_b = j + 1, end_b
+
     def arrays(self):
         links = lambda x: np.array(x, np.int64).reshape(-1, 2)
         return np.array(self.features, np.int64).reshape(-1, 5), np.array(self.label, np.int64), links(self.chain), links(self.skip)

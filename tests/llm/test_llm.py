@@ -256,6 +256,19 @@ def test_pii_spreads_labels():
     assert base == every == []
 
 
+def test_pii_links_groups_of_digits():
+    def links(text):
+        graph = pii.Graph()
+        graph.add(0, text, [])
+        return {(text[graph.start[a] : graph.end[a]], text[graph.start[b] : graph.end[b]]) for a, b in graph.skip if a < b}
+
+    assert {("+44", "20"), ("+44", "020")}.isdisjoint(links("on +44 20 7946 0958 or 020 7946 0958"))
+    assert {("20", "020"), ("7946", "7946"), ("0958", "0958")} <= links("on +44 20 7946 0958 or 020 7946 0958")
+    assert {("4111", "4111"), ("2222", "2222"), ("3333", "3333"), ("4444", "4444")} <= links("4111 2222 3333 4444 then 4111 2222 3333 4444")
+    assert {("4111222233334444", x) for x in ("4111", "2222", "3333", "4444")} <= links("4111222233334444 then 4111 2222 3333 4444")
+    assert not links("12 34 then 12 35")
+
+
 def test_pii_rows(spark, corpus):
     docs, rows = corpus
     found = pii.personal_data(docs).collect()
