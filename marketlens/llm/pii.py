@@ -32,7 +32,9 @@ HASHED = 1 << 12
 LONGEST, ALIKE = 19, 7
 _LABELS = len(KINDS) + 1
 _HOLD = 12.0
-_SETTLE = 12
+#: Largest change of a message that has settled, and the rounds after which even texts that swing are left.
+_SETTLED = 1e-4
+_LEAST_ROUNDS, _ROUNDS_PER_LINK = 48, 4
 _EDGE = ".,;:!?()[]{}<>\"'"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A run of digits that no address follows would fail from each of its digits: only its first is tried.
@@ -235,8 +237,10 @@ def marginals(graph: Graph, weights: np.ndarray, chain_weights: np.ndarray, skip
     node -= node.max(axis=1, keepdims=True)
     node[label > 0] -= _HOLD
     node[np.flatnonzero(label > 0), label[label > 0]] += 2 * _HOLD
+    # Nodes that share several keys have one link of their joint weight: parallel links would feed messages back.
+    skip, times = np.unique(skip, axis=0, return_counts=True)
     ends = np.concatenate([chain, skip])
-    table = np.concatenate([np.repeat(np.exp(chain_weights)[None], len(chain), 0), np.repeat(np.exp(skip_weights)[None], len(skip), 0)])
+    table = np.concatenate([np.repeat(np.exp(chain_weights)[None], len(chain), 0), np.exp(times[:, None, None] * skip_weights)])
     tail = np.concatenate([ends[:, 0], ends[:, 1]])
     head = np.concatenate([ends[:, 1], ends[:, 0]])
     table = np.concatenate([table, table.transpose(0, 2, 1)])
@@ -244,14 +248,43 @@ def marginals(graph: Graph, weights: np.ndarray, chain_weights: np.ndarray, skip
     back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
     sent = np.zeros((2 * half, _LABELS))
 
+    def settle() -> None:
+        """Rounds over the links of texts whose messages still change."""
+        of_text = np.array(graph.text, np.int64)[tail]
+        depth = np.zeros(len(node), np.int64)
+        for low, high in sorted(map(tuple, np.sort(ends, axis=1).tolist()), key=lambda x: x[1]):
+            depth[high] = max(depth[high], depth[low] + 1)
+        # A message goes one link a round.
+        limit = _LEAST_ROUNDS + _ROUNDS_PER_LINK * int(depth.max())
+        mine, nodes = np.arange(2 * half), np.arange(len(node))
+        own, t, h, back_to, weight, s = node, tail, head, back, table, sent
+        for number in range(1, limit + 1):
+            cavity = (own + np.stack([np.bincount(h, s[:, c], len(own)) for c in range(_LABELS)], axis=1))[t] - s[back_to]
+            cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
+            new = np.log(np.einsum("ij,ijk->ik", cavity, weight) + 1e-300)
+            new = 0.5 * s + 0.5 * (new - new.max(axis=1, keepdims=True))
+            change, s = np.abs(new - s).max(axis=1), new
+            sent[mine] = s
+            if number % 8 and number < limit:
+                continue
+            moved = np.zeros(int(of_text[mine].max()) + 1, bool)
+            moved[of_text[mine[change >= _SETTLED]]] = True
+            stay = moved[of_text[mine]]
+            if not stay.any():
+                return
+            if stay.mean() < 0.8:
+                mine = mine[stay]
+                nodes = np.unique(tail[mine])
+                place = np.full(2 * half, -1)
+                place[mine] = np.arange(len(mine))
+                own, t, h = node[nodes], np.searchsorted(nodes, tail[mine]), np.searchsorted(nodes, head[mine])
+                back_to, weight, s = place[back[mine]], table[mine], s[stay]
+
     def heard() -> np.ndarray:
         return node + np.stack([np.bincount(head, sent[:, c], len(node)) for c in range(_LABELS)], axis=1)
 
-    for _ in range(_SETTLE if half else 0):
-        cavity = heard()[tail] - sent[back]
-        cavity = np.exp(cavity - cavity.max(axis=1, keepdims=True))
-        new = np.log(np.einsum("ij,ijk->ik", cavity, table) + 1e-300)
-        sent = 0.5 * sent + 0.5 * (new - new.max(axis=1, keepdims=True))
+    if half:
+        settle()
     belief = heard()
     belief = np.exp(belief - belief.max(axis=1, keepdims=True))
     return belief / belief.sum(axis=1, keepdims=True)

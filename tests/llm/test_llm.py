@@ -269,6 +269,20 @@ def test_pii_links_groups_of_digits():
     assert not links("12 34 then 12 35")
 
 
+def test_pii_messages_settle():
+    """A label held at one end of a chain of 60 links reaches the other end, as exact sums over the chain have it."""
+    graph = pii.Graph()
+    graph.add(0, " x ".join(["12345678"] * 61), [(2, 0, 8)])
+    near = np.full((pii._LABELS, pii._LABELS), -2.0) + np.diag([2.0] * pii._LABELS)
+    weights = np.zeros((pii.HASHED, pii._LABELS))
+    got = pii.marginals(graph, weights, near, near)
+    step = np.exp(3 * near)  # the tokens share three keys
+    belief = np.eye(pii._LABELS)[graph.label[0]]
+    for _ in range(60):
+        belief = belief @ step
+    assert np.allclose(got[-1], belief / belief.sum(), atol=1e-3) and got[-1, 3] > 0.5
+
+
 def test_pii_rows(spark, corpus):
     docs, rows = corpus
     found = pii.personal_data(docs).collect()
