@@ -10,13 +10,19 @@ from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.selection import product_lookup
 
 
-def keyword_counts(texts: DataFrame, keys=BY_CATEGORY, text: Column | None = None) -> DataFrame:
-    """Counts per group and word; repeats are added up inside each map task before the shuffle."""
+def product_words(reviews: DataFrame, text: Column | None = None) -> DataFrame:
+    """(product_id, word, n). Repeats are added up inside each map task, so no text is shuffled, and the words
+    of one product are dealt out by word: a product with a third of all reviews is no hot key."""
     text = F.col("review_text") if text is None else text
-    return word_rows(texts, keys, text).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    return word_rows(reviews, ["product_id"], text).groupBy("product_id", "word").agg(F.count("*").alias("n"))
 
 
-def branded_texts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """Texts of reviews whose product has a brand: the rows keyword counts are taken from."""
+def words_of_groups(words: DataFrame, lookup: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Counts per group and word from counts per product; ``lookup`` has one row per group and product."""
+    return words.join(lookup, "product_id").groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+
+
+def keyword_counts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Words of reviews whose product has a brand."""
     lookup = product_lookup(products, keys).filter(F.col("brand").isNotNull()).drop("brand")
-    return reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "review_text").join(lookup, "product_id")
+    return words_of_groups(product_words(reviews.filter(F.col("review_text").isNotNull())), lookup, keys)

@@ -7,16 +7,49 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.cells import STARS
 from marketlens.functions.clean import positive
-from marketlens.operators.quantiles import exact_quantiles
+from marketlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 
 BY_CATEGORY = ("category_id",)
 QUARTILES = {"price_p25": 0.25, "price_p50": 0.5, "price_p75": 0.75}
+PRICE, CHANGE, DAY = "price", "change", "day"
+PLACES = {"lowest": 0.0, **QUARTILES, "highest": 1.0}
+LARGEST = (1 << 63) - 1
 
 
 def total(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0))
 
 
+def counted(c: Column) -> Column:
+    """The sum of whole numbers, 0 without any; a sum beyond 64 bits is the largest number."""
+    return F.when(F.count(c) == 0, F.lit(0)).otherwise(F.coalesce(F.try_sum(c), F.lit(LARGEST)))
+
+
+def product_sums() -> list[Column]:
+    """What adds up over products: the summary measures of any part are quotients of these."""
+    n = F.coalesce(F.col("review_count"), F.lit(0.0))
+    rated = F.col("average_rating").isNotNull() & (n > 0)
+    return [
+        F.count("*").alias("product_count"),
+        total(n).alias("review_sum"),
+        total(F.when(rated, F.col("average_rating") * n)).alias("rating_weighted"),
+        total(F.when(rated, n)).alias("rating_weights"),
+        F.count_if(n == 0).alias("zero_products"),
+        *rating_hist_product_measures(),
+    ]
+
+
+def summaries_of_sums() -> list[Column]:
+    """The summary measures from columns of ``product_sums``, under their published names."""
+    return [
+        F.col("product_count"),
+        F.col("review_sum").try_cast("bigint").alias("total_reviews_product"),
+        (F.col("rating_weighted") / F.nullif(F.col("rating_weights"), F.lit(0.0))).alias("weighted_rating"),
+        (F.col("zero_products") / F.col("product_count")).alias("zero_review_ratio"),
+        *[F.col(f"product_stars_{k}") for k in STARS],
+    ]
+
+
 def summary_measures() -> list[Column]:
     """Aggregates of one pass over products: counts, weighted rating, zero-review share, dates, price range."""
     n = F.coalesce(F.col("review_count"), F.lit(0.0))
@@ -35,7 +68,7 @@ def summary_measures() -> list[Column]:
 
 
 def rating_hist_product_measures() -> list[Column]:
-    return [total(F.col("stars")[i]).alias(f"product_stars_{k}") for i, k in enumerate(STARS)]
+    return [counted(F.col("stars")[i]).alias(f"product_stars_{k}") for i, k in enumerate(STARS)]
 
 
 def rating_hist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -46,7 +79,7 @@ def rating_hist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
 def platform_dist_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Sum of the channel counts in the distribution cells."""
     cells = products.select(*keys, F.explode("channels").alias("platform", "_n"))
-    return cells.groupBy(*keys, "platform").agg(total(F.col("_n")).alias("review_count"))
+    return cells.groupBy(*keys, "platform").agg(counted(F.col("_n")).alias("review_count"))
 
 
 def brand_scores_product(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -60,10 +93,21 @@ def tag_counts(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     return products.select(*keys, F.explode("tags").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
+def product_values(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Counts of prices, price changes and update days: everything that is not a sum."""
+    day = F.unix_date(F.col("updated_at").cast("date"))
+    return value_counts(products, keys, {PRICE: positive(F.col("min_price")), CHANGE: F.col("price_change"), DAY: day})
+
+
+def price_stats(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Lowest, highest and quartile prices, from one count of the positive prices."""
+    counts = value_counts(products, keys, {PRICE: positive(F.col("min_price"))})
+    return quantiles_of_counts(counts, keys, {"price_min": 0.0, "price_max": 1.0, **QUARTILES}).drop("measure")
+
+
 def price_quantiles(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Quartiles of the positive prices."""
-    priced = products.select(*keys, positive(F.col("min_price")).alias("_price"))
-    return exact_quantiles(priced, keys, "_price", QUARTILES)
+    return quantiles_of_counts(value_counts(products, keys, {PRICE: positive(F.col("min_price"))}), keys, QUARTILES).drop("measure")
 
 
 def price_change_median(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
@@ -71,13 +115,23 @@ def price_change_median(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     return exact_quantiles(products, keys, "price_change", {"price_change_6m_median": 0.5})
 
 
-def price_measures(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """Price quartiles and the change median from one run of the quantile levels."""
+def value_measures(found: DataFrame, keys) -> DataFrame:
+    """Quantiles of all measures as one row per group."""
     keys = list(keys)
-    both = F.map_from_arrays(F.array(F.lit("price"), F.lit("change")), F.array(positive(F.col("min_price")), F.col("price_change")))
-    found = exact_quantiles(products.select(*keys, F.explode(both).alias("_measure", "_value")), [*keys, "_measure"], "_value", QUARTILES)
-    of_price = F.col("_measure") == "price"
+
+    def of(measure, c):
+        return F.max(F.when(F.col("measure") == measure, F.col(c)))
+
     return found.groupBy(*keys).agg(
-        *[F.max(F.when(of_price, F.col(q))).alias(q) for q in QUARTILES],
-        F.max(F.when(~of_price, F.col("price_p50"))).alias("price_change_6m_median"),
+        *[of(PRICE, q).alias(q) for q in QUARTILES],
+        of(CHANGE, "price_p50").alias("price_change_6m_median"),
+        of(PRICE, "lowest").alias("price_min"),
+        of(PRICE, "highest").alias("price_max"),
+        F.date_from_unix_date(of(DAY, "lowest").cast("int")).alias("period_from"),
+        F.date_from_unix_date(of(DAY, "highest").cast("int")).alias("period_to"),
     )
+
+
+def price_measures(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """Price quartiles and extremes, the change median and the update period from one run of the quantile levels."""
+    return value_measures(quantiles_of_counts(product_values(products, keys), keys, PLACES), keys)

@@ -1,4 +1,4 @@
-"""Top k per group and hash-ranked draws without replacement."""
+"""Top k per group and hash ranks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-SLACK = 16
-
-
 def top_k(df: DataFrame, keys, order, k: int, rank: str = "rn") -> DataFrame:
     """The first ``k`` rows per group in the given order.
 
@@ -27,52 +24,3 @@ def by_score(score: str, name: str):
 def hash_rank(key: Column, seed: Column) -> Column:
     """A reproducible random order that does not depend on partitioning."""
     return F.md5(F.concat(key.cast("string"), F.lit(":"), seed.cast("string")))
-
-
-def hash_draw(df: DataFrame, keys, take: str, order: str, tie: str) -> DataFrame:
-    """Per group, the ``take`` rows (a column, constant in the group) with the smallest ``order`` hash.
-
-    A histogram over the first four hex digits gives the digits at which the draw ends. Rows below are
-    in, rows above are out, and only the rows at those digits are ranked: about one in 65,536. A group
-    with fewer rows than ``take`` has no such digits and is in as a whole.
-    """
-    keys = list(keys)
-    # A row without a hash would fall between the digits: its other values give it one.
-    plain = [f.name for f in df.schema if f.dataType.simpleString() in ("bigint", "int", "double", "string", "timestamp_ntz") and f.name != order]
-    df = df.withColumn(order, F.coalesce(order, F.md5(F.xxhash64(*plain).cast("string"))))
-    digits = df.withColumn("_d", F.substring(order, 1, 4))
-    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_d"))
-    counts = digits.groupBy(*keys, take, "_d").agg(F.count("*").alias("_n")).withColumn("_upto", upto)
-    before = F.col("_upto") - F.col("_n")
-    edge = counts.filter((F.col("_upto") >= F.col(take)) & (before < F.col(take))).select(
-        *keys, F.col("_d").alias("_edge"), (F.col(take) - before).alias("_need")
-    )
-    placed = digits.join(edge, keys, "left")
-    below = placed.filter(F.col("_edge").isNull() | (F.col("_d") < F.col("_edge"))).select(*df.columns)
-    window = Window.partitionBy(*keys).orderBy(order, tie)
-    inside = (
-        placed.filter(F.col("_d") == F.col("_edge"))
-        .withColumn("_rn", F.row_number().over(window))
-        .filter(F.col("_rn") <= F.col("_need"))
-        .select(*df.columns)
-    )
-    return below.unionAll(inside)
-
-
-def hash_first(pool_of, members: DataFrame, keys, sizes: DataFrame, k: int, order: str, tie: str) -> DataFrame:
-    """Per group the ``k`` rows with the smallest hash, out of a pool too large to sort.
-
-    ``pool_of(members)`` gives the rows of the chosen members, each with the row count of its group as
-    ``_size``; ``sizes`` holds that count per group. Only rows with a hash in the lowest
-    ``SLACK * k / _size`` part can be among the first k, as long as k rows are that low. Groups where
-    fewer are (about one in 10^18) are ranked over all their rows.
-    """
-    keys = list(keys)
-    place = F.conv(F.substring(order, 1, 12), 16, 10).cast("double") / 16.0**12
-    near = top_k(pool_of(members).filter(place * F.col("_size") < SLACK * k), keys, [order, tie], k)
-    got = near.groupBy(*keys).agg(F.count("*").alias("_got"))
-    short = sizes.join(got, keys, "left").filter(F.coalesce("_got", F.lit(0)) < F.least("_size", F.lit(k))).select(*keys)
-    shared = [c for c in keys if c in members.columns]
-    rest_pool = pool_of(members.join(short.select(*shared).distinct(), shared, "left_semi"))
-    rest = top_k(rest_pool.join(short, keys, "left_semi"), keys, [order, tie], k)
-    return near.join(short, keys, "left_anti").unionByName(rest)

@@ -41,6 +41,7 @@ def chosen_brand_scores(products: DataFrame, grouped: DataFrame, reviewed: DataF
 
 
 def chosen_platforms(products: DataFrame, grouped: DataFrame, reviewed: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """The full channel distribution of the mode that the metrics row takes."""
     return by_mode(rev.platform_dist_rows(grouped, keys), prod.platform_dist_product(products, keys), reviewed, keys)
 
 
@@ -48,7 +49,19 @@ def named_counts(kind: str, counts: DataFrame, keys, name: str, n: str) -> DataF
     return counts.select(*keys, F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(n).cast("bigint").alias("n"))
 
 
-def count_lists(products: DataFrame, grouped: DataFrame, words: DataFrame, reviewed: DataFrame, keys) -> DataFrame:
+def product_names(products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
+    """(keys, kind, name, n): brands, channels, tags and segments counted from product columns, in one long table."""
+    segments = segment_bag(products, keys).groupBy(*keys, "segment").agg(F.count("*").alias("n"))
+    counts = [
+        named_counts(BRAND, prod.brand_scores_product(products, keys), keys, "brand", "score"),
+        named_counts(CHANNEL, prod.platform_dist_product(products, keys), keys, "platform", "review_count"),
+        named_counts(WORD, prod.tag_counts(products, keys), keys, "word", "n"),
+        named_counts(SEGMENT, segments, keys, "segment", "n"),
+    ]
+    return reduce(DataFrame.unionAll, counts)
+
+
+def count_lists(names: DataFrame, grouped: DataFrame, words: DataFrame, reviewed: DataFrame, keys) -> DataFrame:
     """Top brands, channels, words and segments with the sums of the first two, one row per group.
 
     The four counts share one long table, so that one ranking and one final grouping serve them all.
@@ -58,14 +71,9 @@ def count_lists(products: DataFrame, grouped: DataFrame, words: DataFrame, revie
         named_counts(CHANNEL, rev.platform_dist_rows(grouped, keys), keys, "platform", "review_count"),
         named_counts(WORD, words, keys, "word", "n"),
     ]
-    from_products = [
-        named_counts(BRAND, prod.brand_scores_product(products, keys), keys, "brand", "score"),
-        named_counts(CHANNEL, prod.platform_dist_product(products, keys), keys, "platform", "review_count"),
-        named_counts(WORD, prod.tag_counts(products, keys), keys, "word", "n"),
-    ]
-    chosen = by_mode(reduce(DataFrame.unionAll, from_rows), reduce(DataFrame.unionAll, from_products), reviewed, keys)
-    segments = segment_bag(products, keys).groupBy(*keys, "segment").agg(F.count("*").alias("n"))
-    ranked = top_k(chosen.unionAll(named_counts(SEGMENT, segments, keys, "segment", "n")), [*keys, "kind"], by_score("n", "name"), LIST_SIZE)
+    is_segment = F.col("kind") == SEGMENT
+    chosen = by_mode(reduce(DataFrame.unionAll, from_rows), names.filter(~is_segment), reviewed, keys)
+    ranked = top_k(chosen.unionByName(names.filter(is_segment)), [*keys, "kind"], by_score("n", "name"), LIST_SIZE)
     # Sums need only the cheap kinds: the filter keeps the words out of this branch altogether.
     sums = chosen.filter(F.col("kind").isin(BRAND, CHANNEL)).groupBy(*keys, "kind").agg(F.sum("n").alias("n"))
     rows = ranked.unionByName(sums.withColumns({"name": F.lit(None).cast("string"), "rn": F.lit(None).cast("int")}))
@@ -118,11 +126,17 @@ def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: Da
     the top two.
     """
     keys = list(keys)
+    sums = products.groupBy(*keys).agg(*prod.product_sums(), F.countDistinct("brand").alias("brand_count"))
+    return metrics_of_parts(sums, prod.price_measures(products, keys), product_names(products, keys), grouped, words, paths, keys)
+
+
+def metrics_of_parts(sums: DataFrame, values: DataFrame, names: DataFrame, grouped: DataFrame, words: DataFrame, paths: DataFrame, keys) -> DataFrame:
+    """The metrics row from sums (``product_sums`` and brand_count), value measures, name counts and review facts."""
+    keys = list(keys)
     rows = rev.review_measures(grouped, keys)
-    core = products.groupBy(*keys).agg(*prod.summary_measures(), *prod.rating_hist_product_measures(), F.countDistinct("brand").alias("brand_count"))
+    core = sums.select(*keys, *prod.summaries_of_sums(), "brand_count").join(values, keys, "left")
     wide = core.join(paths, "category_id", "left").join(rows, keys, "left")
-    wide = wide.join(count_lists(products, grouped, words, rows.select(*keys), keys), keys, "left").join(prod.price_measures(products, keys), keys, "left")
-    wide = with_lists(wide)
+    wide = with_lists(wide.join(count_lists(names, grouped, words, rows.select(*keys), keys), keys, "left"))
 
     has_reviews = F.col("total_reviews_rows").isNotNull()
     total = F.when(has_reviews, F.col("total_reviews_rows")).otherwise(F.col("total_reviews_product"))

@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.text import squash_truncate, word_rows
-from marketlens.operators.examples import first_examples, rated_texts
-from marketlens.operators.keywords import keyword_counts
-from marketlens.operators.products import BY_CATEGORY
-from marketlens.operators.ranking import by_score, hash_first, hash_rank, top_k
-from marketlens.operators.reviews import group_facts, review_facts
-from marketlens.operators.selection import category_path, largest_categories, product_lookup, products_of, subsample_products
+from marketlens.functions.clean import sentiment, squash
+from marketlens.functions.text import squash_truncate
+from marketlens.operators import draws
+from marketlens.operators.draws import SAMPLE_KEYS
+from marketlens.operators.examples import fetch_texts, first_examples, with_sentiment
+from marketlens.operators.keywords import product_words, words_of_groups
+from marketlens.operators.products import BY_CATEGORY, PLACES, product_sums, product_values, value_measures
+from marketlens.operators.quantiles import quantiles_of_counts
+from marketlens.operators.ranking import by_score, top_k
+from marketlens.operators.reviews import FACT_SUMS, review_facts
+from marketlens.operators.selection import category_path, largest_categories, product_lookup, products_of
 from marketlens.plans import narrative
-from marketlens.plans.metrics import listed, metrics
+from marketlens.plans.metrics import BRAND, CHANNEL, LIST_SIZE, WORD, listed, metrics_of_parts, product_names
 from marketlens.plans.report import Settings, with_growth
 from marketlens.session import materialise
 
 REPORT_TYPE = "market_report_summary"
 KEYWORDS, POSITIVE, NEGATIVE, EXAMPLE_CHARS = 10, 3, 2, 180
-SAMPLE_KEYS = ["category_id", "sample_idx"]
 JSON = {"ignoreNullFields": "false"}
 
 
@@ -90,55 +93,134 @@ def keep_limits(picked: DataFrame, positive: int, negative: int) -> DataFrame:
     return picked.filter(F.col("rn") <= F.when(F.col("sentiment") == "positive", positive).otherwise(negative))
 
 
-def insights_of_categories(products: DataFrame, reviews: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS) -> DataFrame:
-    """Insights for inference: blank texts dropped, first examples by review id."""
-    keys = list(BY_CATEGORY)
-    short = reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "rating", squash_truncate(F.col("review_text"), chars).alias("review_text"))
-    pool = materialise(short.filter(F.col("review_text") != "").join(product_lookup(products, keys).drop("brand"), "product_id"), "texts")
-    counts = pool.groupBy(*keys).agg(F.count("*").alias("text_count"))
-    words = listed(top_k(keyword_counts(pool, keys), keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
-    picked = first_examples(rated_texts(pool), keys, max(positive, negative)).withColumnRenamed("review_text", "text")
-    return counts.join(words, keys, "left").join(example_lists(keep_limits(picked, positive, negative), keys), keys, "left")
+def with_text(reviews: DataFrame) -> DataFrame:
+    return reviews.filter(F.col("review_text").isNotNull())
 
 
-def insights_of_samples(members: DataFrame, reviews: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS, seed=42) -> DataFrame:
-    """Insights for training, per category and sample: blanks kept, examples drawn by hash.
+def shown(picked: DataFrame, reviews: DataFrame, chars: int) -> DataFrame:
+    """Picked reviews with their text in the short form that examples are shown in."""
+    return fetch_texts(picked, reviews).withColumn("text", squash_truncate(F.col("review_text"), chars))
 
-    Texts are cut once per review and written out; samples then add up counts per product. Examples are
-    drawn on review ids, with the size of each group already in the row, and texts are looked up last.
-    """
-    keys = SAMPLE_KEYS
-    lookup = product_lookup(members, keys).drop("brand")
-    texts = reviews.filter(F.col("review_text").isNotNull()).select("product_id", "review_id", "rating", squash_truncate(F.col("review_text"), chars).alias("review_text"))
-    short = materialise(texts, "texts")
-    rated = rated_texts(short).drop("rating")
 
-    per_product = short.groupBy("product_id").agg(
-        F.count("*").alias("texts"), F.count_if(F.col("rating") >= 4).alias("positive"), F.count_if(F.col("rating") <= 2).alias("negative")
-    )
-    sizes = lookup.join(per_product, "product_id").groupBy(*keys).agg(
-        F.sum("texts").alias("text_count"), F.sum("positive").alias("_positive"), F.sum("negative").alias("_negative")
-    )
+def keyword_text(cut: int | None) -> Column:
+    """What keywords are counted on: whole texts, or their first ``cut`` characters as an example would show them."""
+    return F.col("review_text") if cut is None else squash_truncate(F.col("review_text"), cut)
 
-    product_words = word_rows(short, ["product_id"], F.col("review_text")).groupBy("product_id", "word").agg(F.count("*").alias("n"))
-    counts = product_words.join(lookup, "product_id").groupBy(*keys, "word").agg(F.sum("n").alias("n"))
-    words = listed(top_k(counts, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
 
-    groups = [*keys, "sentiment"]
+def insights_of_categories(
+    products: DataFrame, reviews: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS, keyword_chars: int | None = None
+) -> DataFrame:
+    """Insights for inference: blank texts dropped, first examples by review id, keywords of whole texts.
 
-    def pool_of(chosen):
-        rows = rated.select("product_id", "review_id", "sentiment").join(chosen, "product_id")
-        size = F.when(F.col("sentiment") == "positive", F.col("_positive")).otherwise(F.col("_negative"))
-        return rows.withColumn("_size", size).withColumn("_hash", hash_rank(F.col("review_id"), F.col("sample_idx") + seed))
+    ``keyword_chars`` counts keywords on texts cut to that length instead.
+    """
+    keys = list(BY_CATEGORY)
+    texts = with_text(reviews).filter(squash(F.col("review_text")) != "")
+    lookup = product_lookup(products, keys).drop("brand")
+    # Narrow rows first: texts are counted where they are read and fetched for the picked few.
+    pool = materialise(texts.select("product_id", "review_id", "rating").join(lookup, "product_id"), "rated")
+    counts = pool.groupBy(*keys).agg(F.count("*").alias("text_count"))
+    found = words_of_groups(product_words(texts, keyword_text(keyword_chars)), lookup, keys)
+    words = listed(top_k(found, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
+    picked = first_examples(with_sentiment(pool), keys, max(positive, negative))
+    shorts = shown(keep_limits(picked, positive, negative), texts, chars)
+    return counts.join(words, keys, "left").join(example_lists(shorts, keys), keys, "left")
+
+
+class Samples:
+    """Samples of the chosen categories, known by what they leave out; what their measures share is written once."""
+
+    def __init__(self, products: DataFrame, samples: int, ratio: float, min_products: int, seed: int):
+        self.products = products.withColumn("draw_key", draws.draw_key())
+        self.seed = seed
+        ends = draws.draw_ends(products, samples, ratio, min_products, seed)
+        self.excluded = materialise(draws.left_out(products, ends, seed), "left-out")
+        self.names = products.select("category_id").distinct().withColumn("sample_idx", draws.sample_numbers(samples))
+        lookup = products.filter(F.col("id").isNotNull()).groupBy("category_id", F.col("id").alias("product_id"))
+        self.lookup = lookup.agg(F.max("brand").alias("brand")).withColumn("draw_key", F.col("product_id").cast("string"))
+
+    def gone(self, rows: DataFrame) -> DataFrame:
+        """Rows (category_id, draw_key, ...) of left-out products, once for every sample that leaves them out."""
+        return rows.join(self.excluded.select(*SAMPLE_KEYS, "draw_key"), ["category_id", "draw_key"])
+
+    def sums(self, rows: DataFrame, by: list[str], totals) -> DataFrame:
+        """Aggregates that add up, by further columns: of the whole category, less those of what a sample leaves out."""
+        counts = [c for c in rows.limit(0).groupBy(*by).agg(*totals).columns if c not in by]
+        whole = rows.groupBy("category_id", *by).agg(*totals)
+        gone = self.gone(rows).groupBy(*SAMPLE_KEYS, *by).agg(*totals)
+        return draws.sums_of_samples(whole, gone, self.names, by, counts)
+
+    def facts(self, reviews: DataFrame) -> DataFrame:
+        """What ``group_facts`` gives for every sample."""
+        per_product = materialise(review_facts(reviews), "facts")
+        placed = per_product.join(self.lookup, "product_id")
+        return self.sums(placed, ["brand", "year", "platform"], [F.sum(c).alias(c) for c in FACT_SUMS]).filter(F.col("n") > 0)
+
+    def values(self) -> DataFrame:
+        keys = ["category_id"]
+        less = product_values(self.gone(self.products), SAMPLE_KEYS)
+        return value_measures(quantiles_of_counts(product_values(self.products, keys), keys, PLACES, self.names, less), SAMPLE_KEYS)
+
+    def product_sums(self) -> DataFrame:
+        sums = self.sums(self.products, [], product_sums())
+        brands = self.sums(self.products.filter(F.col("brand").isNotNull()), ["brand"], [F.count("*").alias("n")])
+        return sums.join(brands.filter(F.col("n") > 0).groupBy(*SAMPLE_KEYS).agg(F.count("*").alias("brand_count")), SAMPLE_KEYS, "left").fillna(0, ["brand_count"])
+
+    def names_of_products(self) -> DataFrame:
+        """What ``product_names`` gives for every sample: brands and channels in full, of tags and segments all that can be listed."""
+        per_product = materialise(product_names(self.products, ["category_id", "draw_key"]), "names")
+        in_full = F.col("kind").isin(BRAND, CHANNEL)
+        full = self.sums(per_product.filter(in_full), ["kind", "name"], [F.sum("n").alias("n"), F.count("*").alias("_products")])
+        return full.filter(F.col("_products") > 0).drop("_products").unionByName(self.most_frequent(per_product.filter(~in_full), LIST_SIZE))
+
+    def most_frequent(self, per_product: DataFrame, k: int) -> DataFrame:
+        """Names that can be among a sample's k most frequent, from (category_id, draw_key, kind, name, n)."""
+        totals = materialise(per_product.groupBy("category_id", "kind", "name").agg(F.sum("n").alias("n")), "totals")
+        names = ["category_id", "kind", "name"]
+        return draws.top_candidates(totals, lambda some: per_product.join(some, names), self.excluded, self.names, k)
+
+    def words(self, words: DataFrame, k: int, branded: bool) -> DataFrame:
+        """(sample, word, n) of the words that can be among a sample's k most frequent."""
+        lookup = self.lookup.filter(F.col("brand").isNotNull()) if branded else self.lookup
+        placed = words.join(lookup.drop("brand"), "product_id").select("category_id", "draw_key", F.lit(WORD).alias("kind"), F.col("word").alias("name"), "n")
+        return self.most_frequent(placed, k).select(*SAMPLE_KEYS, F.col("name").alias("word"), "n")
+
+
+def insights_of_samples(
+    samples: Samples, reviews: DataFrame, words: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS
+) -> DataFrame:
+    """Insights for training, per category and sample: blanks kept, examples drawn by hash.
 
-    both = F.create_map(F.lit("positive"), F.col("_positive"), F.lit("negative"), F.col("_negative"))
-    group_sizes = sizes.select(*keys, F.explode(both).alias("sentiment", "_size"))
-    drawn = hash_first(pool_of, lookup.join(sizes.drop("text_count"), keys), groups, group_sizes, max(positive, negative), "_hash", "review_id")
-    picked = keep_limits(drawn, positive, negative)
-    ids = ["product_id", "review_id"]
-    chosen_texts = rated.join(picked.select(*ids).distinct(), ids, "left_semi").dropDuplicates(ids).select(*ids, F.col("review_text").alias("text"))
-    found = picked.select(*ids, *groups, "rn").join(chosen_texts, ids)
-    return sizes.select(*keys, "text_count").join(words, keys, "left").join(example_lists(found, keys), keys, "left")
+    ``words`` are counts per product. Counts are those of the category less what a sample leaves out; examples
+    are drawn on review ids, and only the texts of the drawn are looked up.
+    """
+    keys = SAMPLE_KEYS
+    texts = with_text(reviews)
+    rated = materialise(texts.select("product_id", "review_id", sentiment(F.col("rating")).alias("sentiment")), "rated")
+    per_product = rated.groupBy("product_id").agg(
+        F.count("*").alias("text_count"), F.count_if(F.col("sentiment") == "positive").alias("positive"), F.count_if(F.col("sentiment") == "negative").alias("negative")
+    )
+    placed = materialise(per_product.join(samples.lookup.drop("brand"), "product_id"), "texts-per-product")
+    counts = [F.sum(c).alias(c) for c in ("text_count", "positive", "negative")]
+    sizes = materialise(samples.sums(placed, [], counts).filter(F.col("text_count") > 0), "text-counts")
+
+    def by_sentiment(rows: DataFrame, by) -> DataFrame:
+        both = F.create_map(F.lit("positive"), F.col("positive"), F.lit("negative"), F.col("negative"))
+        return rows.select(*by, F.explode(both).alias("sentiment", "_n"))
+
+    found = samples.words(words, keywords, branded=False)
+    top = listed(top_k(found, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
+    picked = draws.ring_examples(
+        rated.filter(F.col("sentiment").isNotNull()),
+        samples.lookup.drop("brand"),
+        samples.excluded,
+        by_sentiment(sizes, keys),
+        by_sentiment(placed.groupBy("category_id").agg(*counts), ["category_id"]),
+        max(positive, negative),
+        samples.seed,
+    )
+    shorts = shown(keep_limits(picked, positive, negative), texts, chars)
+    return sizes.select(*keys, "text_count").join(top, keys, "left").join(example_lists(shorts, keys), keys, "left")
 
 
 def sample_rows(
@@ -154,24 +236,22 @@ def sample_rows(
 ) -> DataFrame:
     """Metrics, growth, texts and insights per category and sample.
 
-    Reviews are read once into counts per product, whatever the number of samples; a sample is a sum
-    over its member products.
+    Products and reviews are read once for whole categories; a sample is those totals less the products it
+    leaves out, so what is shuffled grows with the left-out share.
     """
-    chosen = products_of(products, largest_categories(products, max_categories, min_products, need_path=False))
-    members = materialise(subsample_products(chosen, samples, ratio, min_products, seed), "members")
-    grouped = materialise(group_facts(review_facts(reviews), members, SAMPLE_KEYS), "facts")
-    lookup = product_lookup(members, SAMPLE_KEYS).filter(F.col("brand").isNotNull()).drop("brand")
-    texts = reviews.filter(F.col("review_text").isNotNull())
-    product_words = word_rows(texts, ["product_id"], F.col("review_text")).groupBy("product_id", "word").agg(F.count("*").alias("n"))
-    words = product_words.join(lookup, "product_id").groupBy(*SAMPLE_KEYS, "word").agg(F.sum("n").alias("n"))
+    chosen = materialise(products_of(products, largest_categories(products, max_categories, min_products, need_path=False)), "chosen")
+    drawn = Samples(chosen, samples, ratio, min_products, seed)
+    grouped = materialise(drawn.facts(reviews), "sample-facts")
+    words = materialise(product_words(with_text(reviews)), "words")
+    top = drawn.words(words, LIST_SIZE, branded=True)
     # The name of a sample is that of its whole category.
-    measured = metrics(members, grouped, words, category_path(chosen), SAMPLE_KEYS)
+    measured = metrics_of_parts(drawn.product_sums(), drawn.values(), drawn.names_of_products(), grouped, top, category_path(chosen), SAMPLE_KEYS)
     rows = materialise(measured, "metrics")
     full = with_growth(rows, grouped, settings, SAMPLE_KEYS).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
     )
     if use_texts:
-        found = insights_of_samples(members, reviews, seed=seed).withColumn("insights", insight_columns())
+        found = insights_of_samples(drawn, reviews, words).withColumn("insights", insight_columns())
         full = full.join(found.select(*SAMPLE_KEYS, "text_count", "top_keywords", "positive_examples", "negative_examples", "insights"), SAMPLE_KEYS, "left")
     return full
 

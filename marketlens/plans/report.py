@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.catalog import canonical_products, canonical_reviews
 from marketlens.functions.numbers import DEFAULT_UNITS_PER_REVIEW
 from marketlens.operators import growth as gr
-from marketlens.operators.keywords import branded_texts, keyword_counts
+from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.reviews import group_facts, review_facts, yearly_review_counts
 from marketlens.operators.selection import category_path, largest_categories, products_of
@@ -54,7 +54,7 @@ def category_rows(products: DataFrame, reviews: DataFrame, settings: Settings =
     The facts and metrics are written out because several branches read them.
     """
     grouped = materialise(group_facts(review_facts(reviews), products), "facts")
-    words = keyword_counts(branded_texts(reviews, products))
+    words = keyword_counts(reviews, products)
     rows = materialise(metrics(products, grouped, words, category_path(products)), "metrics")
     return with_growth(rows, grouped, settings).withColumns(
         {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import cells
 from marketlens.functions.text import tokens, words
-from marketlens.operators import brands, examples, growth as gr, products as prod, reviews as rev, selection as sel
-from marketlens.operators.keywords import branded_texts, keyword_counts
+from marketlens.operators import brands, draws, examples, growth as gr, products as prod, reviews as rev, selection as sel
+from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.ranking import by_score, top_k
 from marketlens.operators.segments import segment_bag, segment_counts, top_segments
 from marketlens.plans.metrics import chosen_brand_scores, metrics
@@ -149,7 +149,7 @@ def a15(spark, d):
 
 @query("a16_keyword_counts", "select category_id, word, n, rn from (select *, row_number() over (partition by category_id order by n desc, word) as rn from word_counts) where rn <= 10")
 def a16(spark, d):
-    counts = keyword_counts(branded_texts(t.reviews(spark, d, texts=True), t.products(spark, d)))
+    counts = keyword_counts(t.reviews(spark, d, texts=True), t.products(spark, d))
     return top_k(counts, ["category_id"], by_score("n", "word"), 10)
 
 
@@ -161,7 +161,7 @@ def a17(spark, d):
 def metrics_rows(spark, d):
     products, reviews = t.stored_products(spark, d), t.reviews(spark, d, texts=True)
     facts = materialise(rev.group_facts(rev.review_facts(reviews), products), "facts")
-    return metrics(products, facts, keyword_counts(branded_texts(reviews, products)), sel.category_path(products))
+    return metrics(products, facts, keyword_counts(reviews, products), sel.category_path(products))
 
 
 @query(
@@ -175,7 +175,7 @@ def a19(spark, d):
 
 @query("a20_price_stats", "select category_id, " + ", ".join(f"round({c}, 6) as {c}" for c in ("price_min", "price_max", "price_p25", "price_p50", "price_p75")) + " from prices")
 def a20(spark, d):
-    return prod.price_quantiles(t.products(spark, d)).join(summary(spark, d, "price_min", "price_max"), "category_id")
+    return prod.price_stats(t.products(spark, d))
 
 
 @query("a21_price_change_6m", "select category_id, round(price_change_6m_median, 6) as price_change_6m_median from changes")
@@ -298,30 +298,35 @@ DRAWS = f"""select category_id, sample_idx, id from (select *, row_number() over
 
 @query("l2_subsample_products", DRAWS)
 def l2(spark, d):
-    return sel.subsample_products(t.products(spark, d), SAMPLES, RATIO).select("category_id", "sample_idx", "id")
+    return draws.subsample_products(t.products(spark, d), SAMPLES, RATIO).select("category_id", "sample_idx", "id")
 
 
 RATED = """select category_id, review_id, review_text, case when rating >= 4 then 'positive' when rating <= 2 then 'negative' end as sentiment from placed where review_text is not null"""
 
 
+EXAMPLE = ["category_id", "sentiment", "review_id", "rn", "md5(review_text) as text_md5"]
+
+
 @query(
     "l3_sample_examples",
-    f"""select category_id, sentiment, review_id, rn from (select *, row_number() over (partition by category_id, sentiment order by md5(concat(review_id, ':42')), review_id) as rn
+    f"""select category_id, sentiment, review_id, rn, md5(review_text) as text_md5 from (select *, row_number() over (partition by category_id, sentiment order by md5(concat(review_id, ':42')), review_id) as rn
  from ({RATED}) where sentiment is not null) where rn <= 3""",
 )
 def l3(spark, d):
-    pool = sel.reviews_with_brand(examples.rated_texts(t.reviews(spark, d, texts=True)), t.products(spark, d))
-    return examples.sample_examples(pool, ["category_id"], 3).select("category_id", "sentiment", "review_id", "rn")
+    reviews = t.reviews(spark, d, texts=True)
+    pool = sel.reviews_with_brand(examples.rated_texts(reviews), t.products(spark, d))
+    return examples.fetch_texts(examples.sample_examples(pool, ["category_id"], 3), reviews).selectExpr(*EXAMPLE)
 
 
 @query(
     "l4_first_examples",
-    f"""select category_id, sentiment, review_id, rn from (select *, row_number() over (partition by category_id, sentiment order by review_id) as rn
+    f"""select category_id, sentiment, review_id, rn, md5(review_text) as text_md5 from (select *, row_number() over (partition by category_id, sentiment order by review_id) as rn
  from ({RATED}) where sentiment is not null and review_text <> '') where rn <= 3""",
 )
 def l4(spark, d):
-    pool = sel.reviews_with_brand(examples.rated_texts(t.reviews(spark, d, texts=True)), t.products(spark, d))
-    return examples.first_examples(pool, ["category_id"], 3).select("category_id", "sentiment", "review_id", "rn")
+    reviews = t.reviews(spark, d, texts=True)
+    pool = sel.reviews_with_brand(examples.rated_texts(reviews, blank=False), t.products(spark, d))
+    return examples.fetch_texts(examples.first_examples(pool, ["category_id"], 3), reviews).selectExpr(*EXAMPLE)
 
 
 # Set-like combinations

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import functions as F
 
 from marketlens.operators import growth as gr
-from marketlens.operators.selection import subsample_products
+from marketlens.operators.draws import RING_DIGITS, SAMPLE_KEYS
+from marketlens.operators.keywords import product_words
 from marketlens.plans import narrative, records
 from marketlens.plans.metrics import listed
 from marketlens.plans.phrases import BULLETS, ENTRY, GROWTH, OVERVIEW
@@ -15,6 +16,7 @@ from marketlens.plans.report import category_report, category_rows, growth_point
 from marketlens.registry import base, tables as t
 from marketlens.registry.base import ORACLES, SETTINGS, int_sql, pct_sql, query, strip_sql, text_sql
 from marketlens.registry.measures import DRAWS, RATIO, SAMPLES, brand_top, growth, metrics_rows
+from marketlens.session import materialise
 
 
 def rows(spark, d):
@@ -201,7 +203,7 @@ FLAT = base.squash_sql("review_text")
 SHORT = f"case when length({FLAT}) > 180 then ({FLAT})[1:179] || '…' else {FLAT} end"
 # Insight lists as rows: keywords with counts, then example texts.
 INSIGHTS = """select {keys}, 'keyword' as kind, rn as place, word as text, n from (select *, row_number() over (partition by {keys} order by n desc, word) as rn
- from (select {keys}, lower(w) as word, count(*) as n from (select {keys}, unnest(regexp_extract_all(short, '[가-힣]{{2,}}|[a-zA-Z]{{2,}}')) as w from shorts) group by all)) where rn <= 10
+ from (select {keys}, lower(w) as word, count(*) as n from (select {keys}, unnest(regexp_extract_all({words}, '[가-힣]{{2,}}|[a-zA-Z]{{2,}}')) as w from shorts) group by all)) where rn <= 10
  union all select {keys}, sentiment, rn, short, text_count from (select *, row_number() over (partition by {keys}, sentiment order by {order}) as rn
  from (select *, count(*) over (partition by {keys}) as text_count from shorts) where sentiment is not null) where rn <= case sentiment when 'positive' then 3 else 2 end"""
 SENTIMENT = "case when rating >= 4 then 'positive' when rating <= 2 then 'negative' end as sentiment"
@@ -215,12 +217,18 @@ def insight_rows(found, keys):
     return out.withColumn("place", F.col("place") + 1)
 
 
-base.STEPS["shorts"] = f"select category_id, review_id, {SENTIMENT}, {SHORT} as short from placed where review_text is not null and {FLAT} <> ''"
+base.STEPS["shorts"] = f"select category_id, review_id, review_text, {SENTIMENT}, {SHORT} as short from placed where review_text is not null and {FLAT} <> ''"
 
 
-@query("r10_review_insights", INSIGHTS.format(keys="category_id", order="review_id"))
+@query("r10_review_insights", INSIGHTS.format(keys="category_id", order="review_id", words="review_text"))
 def r10(spark, d):
-    found = records.insights_of_categories(t.products(spark, d), t.reviews(spark, d, texts=True))
+    found = records.insights_of_categories(t.stored_products(spark, d), t.reviews(spark, d, texts=True))
+    return insight_rows(found, ["category_id"])
+
+
+@query("r10_insights_of_cut_texts", INSIGHTS.format(keys="category_id", order="review_id", words="short"))
+def r10_cut(spark, d):
+    found = records.insights_of_categories(t.stored_products(spark, d), t.reviews(spark, d, texts=True), keyword_chars=180)
     return insight_rows(found, ["category_id"])
 
 
@@ -231,7 +239,7 @@ MEMBERS = {
     "draws": re.sub(r"\bproducts\b", "base_products", DRAWS),
     "products": "select * replace (b.category_id * 1000 + draws.sample_idx as category_id) from base_products b join draws using (id, category_id)",
 }
-SAMPLE_SHORTS = f"select category_id, category_id // 1000 as real_id, category_id % 1000 as sample_idx, review_id, {SENTIMENT}, {SHORT} as short from placed where review_text is not null"
+SAMPLE_SHORTS = f"select category_id, category_id // 1000 as real_id, category_id % 1000 as sample_idx, review_id, review_text, {SENTIMENT}, {SHORT} as short from placed where review_text is not null"
 
 
 def sample_sql(body: str) -> str:
@@ -245,15 +253,20 @@ def sample_sql(body: str) -> str:
         base.STEPS.update(kept)
 
 
+# The reviews that follow the sample's place on a ring of hashes.
+RING_PLACE = f"cast(concat('0x', left(md5({{x}}), {RING_DIGITS})) as bigint)"
+AFTER = f"(({RING_PLACE.format(x="concat(review_id, ':42')")} - {RING_PLACE.format(x="concat('sample ', sample_idx, ':42')")}) + {16**RING_DIGITS}) % {16**RING_DIGITS}"
 SAMPLE_INSIGHTS = "select category_id // 1000 as category_id, category_id % 1000 as sample_idx, kind, place, text, n from (" + INSIGHTS.format(
-    keys="category_id", order="md5(concat(review_id, ':', sample_idx + 42)), review_id"
+    keys="category_id", order=f"{AFTER}, review_id", words="review_text"
 ) + ")"
 
 
 @query("r10_sample_insights")
 def r10_samples(spark, d):
-    members = subsample_products(t.stored_products(spark, d), SAMPLES, RATIO)
-    return insight_rows(records.insights_of_samples(members, t.reviews(spark, d, texts=True)), records.SAMPLE_KEYS)
+    reviews = t.reviews(spark, d, texts=True)
+    samples = records.Samples(t.stored_products(spark, d), SAMPLES, RATIO, 10, 42)
+    words = materialise(product_words(records.with_text(reviews)), "words")
+    return insight_rows(records.insights_of_samples(samples, reviews, words), SAMPLE_KEYS)
 
 
 ORACLES["r10_sample_insights"] = sample_sql(SAMPLE_INSIGHTS)

@@ -3,15 +3,16 @@
 import hashlib
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
-from marketlens.operators import brands, examples, growth, products as prod, ranking, reviews as rev, selection as sel
-from marketlens.operators.keywords import branded_texts, keyword_counts
-from marketlens.operators.quantiles import exact_quantiles
+from marketlens.operators import brands, draws, examples, growth, products as prod, ranking, reviews as rev, selection as sel
+from marketlens.operators.keywords import keyword_counts
+from marketlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from marketlens.operators.segments import top_segments
 
 
@@ -38,27 +39,85 @@ def md5(x):
     return hashlib.md5(x.encode()).hexdigest()
 
 
-def test_hash_draw_is_the_smallest_hashes(spark):
-    rows = [("big", i, 40) for i in range(500)] + [("small", i, 40) for i in range(7)] + [("exact", i, 40) for i in range(40)]
-    df = spark.createDataFrame(rows, "k string, id bigint, take int").withColumn("h", ranking.hash_rank(F.col("id"), F.lit(5)))
-    got = {(r.k, r.id) for r in ranking.hash_draw(df, ["k"], "take", "h", "id").collect()}
-    for k, n in [("big", 500), ("small", 7), ("exact", 40)]:
-        want = sorted(range(n), key=lambda i: md5(f"{i}:5"))[:40]
-        assert {i for kk, i in got if kk == k} == set(want)
-
-
-def test_hash_first_falls_back_when_too_few_rows_are_low(spark, monkeypatch):
-    rows = [("a", i) for i in range(300)] + [("b", 1)]
-    df = spark.createDataFrame(rows, "k string, id bigint")
-    sizes = df.groupBy("k").agg(F.count("*").alias("_size"))
-    members = sizes.select("k", "_size")
-    pool = lambda m: df.join(m, "k").withColumn("h", ranking.hash_rank(F.col("id"), F.lit(1)))
-    want = sorted(range(300), key=lambda i: md5(f"{i}:1"))[:3]
-    for slack in (16, 0.01):
-        monkeypatch.setattr(ranking, "SLACK", slack)
-        got = ranking.hash_first(pool, members, ["k"], sizes, 3, "h", "id").collect()
-        assert [r.id for r in sorted(got, key=lambda r: r.rn) if r.k == "a"] == want
-        assert [r.id for r in got if r.k == "b"] == [1]
+def catalog_of(spark, rows):
+    plain = [(i, c, "All", "b", None) for i, c in rows]
+    return canonical_products(spark.createDataFrame(plain, "id bigint, category_id bigint, category string, manufacturer string, min_price double"))
+
+
+def test_draws_are_the_smallest_hashes(spark):
+    products = catalog_of(spark, [(i, 1) for i in range(500)] + [(1000 + i, 2) for i in range(7)] + [(2000 + i, 3) for i in range(40)])
+    got = {(r.category_id, r.sample_idx, r.id) for r in draws.subsample_products(products, 3, 0.1, 20).collect()}
+    ends = draws.draw_ends(products, 3, 0.1, 20)
+    gone = {(r.category_id, r.sample_idx, r.id) for r in draws.left_out(products, ends).collect()}
+    for c, first, n, take in [(1, 0, 500, 50), (2, 1000, 7, 7), (3, 2000, 40, 20)]:
+        for s in range(3):
+            order = sorted(range(first, first + n), key=lambda i: md5(f"{i}:{42 + s}"))
+            assert {i for cc, ss, i in got if (cc, ss) == (c, s)} == set(order[:take])
+            assert {i for cc, ss, i in gone if (cc, ss) == (c, s)} == set(order[take:])
+
+
+def test_rows_of_one_id_are_drawn_together(spark):
+    products = catalog_of(spark, [(i // 3, 1) for i in range(90)])
+    for s, ids in Counter((r.sample_idx, r.id) for r in draws.subsample_products(products, 2, 0.5, 10).collect()).items():
+        assert ids == 3
+    assert Counter(r.sample_idx for r in draws.subsample_products(products, 2, 0.5, 10).collect()) == {0: 45, 1: 45}
+
+
+def test_sums_and_tops_of_samples_by_what_they_leave_out(spark):
+    rnd = random.Random(4)
+    rows = [(1 if i % 3 else 2, str(i), "word", rnd.choice("abcdefghijklmnopqrst") * rnd.choice([1, 1, 2]), rnd.randint(1, 5)) for i in range(400)]
+    per_product = spark.createDataFrame(rows, "category_id bigint, draw_key string, kind string, name string, n bigint")
+    members = {(c, s): {k for cc, k, *_ in rows if cc == c and rnd.random() < 0.8} for c in (1, 2) for s in range(3)}
+    members[1, 2] = set()
+    gone = [(c, s, k) for (c, s), kept in members.items() for cc, k, *_ in rows if cc == c and k not in kept]
+    excluded = spark.createDataFrame(gone, "category_id bigint, sample_idx int, draw_key string")
+    samples = spark.createDataFrame(list(members), "category_id bigint, sample_idx int")
+    totals = per_product.groupBy("category_id", "kind", "name").agg(F.sum("n").alias("n"))
+    names = ["category_id", "kind", "name"]
+    for k in (1, 3, 100):
+        found = draws.top_candidates(totals, lambda some: per_product.join(some, names), excluded, samples, k).collect()
+        for (c, s), kept in members.items():
+            want = Counter()
+            for cc, key, _, name, n in rows:
+                if cc == c and key in kept:
+                    want[name] += n
+            got = {r.name: r.n for r in found if (r.category_id, r.sample_idx) == (c, s)}
+            order = lambda counts: sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:k]
+            assert order(got) == order(want)
+
+
+@pytest.mark.parametrize("many", [5, 4000])
+def test_ring_examples(spark, many):
+    """The first reviews after the sample's place, also where a sample leaves out nearly all of a group."""
+    rated = spark.createDataFrame([(i % 10, str(i), "positive") for i in range(many)], "product_id bigint, review_id string, sentiment string")
+    lookup = spark.createDataFrame([(1, p, str(p)) for p in range(10)], "category_id bigint, product_id bigint, draw_key string")
+    out = {0: {"3"}, 1: {str(p) for p in range(9)}, 2: {str(p) for p in range(10)}}
+    excluded = spark.createDataFrame([(1, s, p) for s, ps in out.items() for p in ps], "category_id bigint, sample_idx int, draw_key string")
+    left = {s: [i for i in range(many) if str(i % 10) not in ps] for s, ps in out.items()}
+    available = spark.createDataFrame([(1, s, "positive", len(ids)) for s, ids in left.items()], "category_id bigint, sample_idx int, sentiment string, _n bigint")
+    totals = spark.createDataFrame([(1, "positive", many)], "category_id bigint, sentiment string, _n bigint")
+    found = draws.ring_examples(rated, lookup, excluded, available, totals, 3).collect()
+    place = lambda x: int(md5(f"{x}:42")[:13], 16)
+    for s, ids in left.items():
+        start = place(f"sample {s}")
+        want = sorted(ids, key=lambda i: ((place(i) - start) % 16**13, str(i)))[:3]
+        assert [int(r.review_id) for r in sorted(found, key=lambda r: r.rn) if r.sample_idx == s] == want
+
+
+def test_quantiles_of_parts_by_what_they_leave_out(spark):
+    rnd = random.Random(5)
+    rows = [(g, float(rnd.choice([rnd.randint(1, 30), rnd.randint(1, 10**6)])), rnd.random() * 10 - 5) for g in (1, 2) for _ in range(700)]
+    gone = {(g, s): [r for r in rows if r[0] == g and rnd.random() < (0.1, 0.9, 1.0)[s]] for g in (1, 2) for s in range(3)}
+    measures = {"x": F.col("x"), "y": F.col("y")}
+    counts = value_counts(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], measures)
+    less = value_counts(spark.createDataFrame([(g, s, *r[1:]) for (g, s), rs in gone.items() for r in rs], "g int, s int, x double, y double"), ["g", "s"], measures)
+    parts = spark.createDataFrame(list(gone), "g int, s int")
+    got = {(r.g, r.s, r.measure): r for r in quantiles_of_counts(counts, ["g"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 1.0}, parts, less).collect()}
+    assert {k[:2] for k in got} == {(g, s) for g in (1, 2) for s in (0, 1)}
+    for (g, s, m), r in got.items():
+        left = list((Counter(x for x in rows if x[0] == g) - Counter(gone[g, s])).elements())
+        want = np.quantile([x["xy".index(m) + 1] for x in left], [0, 0.25, 0.5, 1])
+        assert [r.a, r.b, r.c, r.d] == pytest.approx(list(want), rel=1e-12)
 
 
 def test_top_k_cuts_before_the_shuffle(spark):
@@ -118,8 +177,7 @@ def test_review_measures_ignore_strangers_and_repeated_ids(catalog):
 
 def test_keywords_leave_out_brandless_reviews(catalog):
     products, reviews = catalog
-    texts = branded_texts(reviews, products)
-    got = {(r.word, r.n) for r in keyword_counts(texts).collect()}
+    got = {(r.word, r.n) for r in keyword_counts(reviews, products).collect()}
     assert got == {("좋아요", 1), ("soft", 2), ("나빠요", 1), ("hard", 1)}
 
 
@@ -140,11 +198,11 @@ def test_selection(catalog):
 def test_subsample_sizes(spark):
     rows = [(i, 1, None, None) for i in range(45)] + [(100 + i, 2, None, None) for i in range(8)]
     products = canonical_products(spark.createDataFrame(rows, "id bigint, category_id bigint, category string, manufacturer string"))
-    drawn = sel.subsample_products(products, 3, 0.9)
+    drawn = draws.subsample_products(products, 3, 0.9)
     got = {(r.category_id, r.sample_idx): r["count"] for r in drawn.groupBy("category_id", "sample_idx").count().collect()}
     assert got == {**{(1, i): 40 for i in range(3)}, **{(2, i): 8 for i in range(3)}}
     assert drawn.filter("category_id = 1").select("sample_idx", "id").distinct().count() == 120
-    assert sel.subsample_products(products, 1, 0.5).count() == 53
+    assert draws.subsample_products(products, 1, 0.5).count() == 53
 
 
 def test_published_brand_shares(spark):

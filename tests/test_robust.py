@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import cells, clean
-from marketlens.functions.catalog import canonical_reviews
-from marketlens.operators.ranking import hash_draw, hash_rank
+from marketlens.functions.catalog import canonical_products, canonical_reviews
+from marketlens.operators import products as prod
+from marketlens.operators.draws import subsample_products
 from marketlens.operators.reviews import review_facts
 from marketlens.sources.catalog import read_catalog_csv
 
@@ -24,10 +25,18 @@ def test_years_have_four_digits(spark):
 
 
 def test_draws_take_rows_without_an_id(spark):
-    ids = [None] * 35 + list(range(5))
-    df = spark.createDataFrame([(1, i, float(k)) for k, i in enumerate(ids)], "g int, id bigint, v double")
-    drawn = hash_draw(df.withColumn("take", F.lit(20)).withColumn("h", hash_rank(F.col("id"), F.lit(42))), ["g"], "take", "h", "id")
-    assert drawn.count() == 20
+    rows = [(None if k < 35 else k, 1, "All", "b", float(k)) for k in range(40)]
+    products = canonical_products(spark.createDataFrame(rows, "id bigint, category_id bigint, category string, manufacturer string, min_price double"))
+    assert subsample_products(products, 2, 0.5, 10).groupBy("sample_idx").count().collect() == [(0, 20), (1, 20)]
+
+
+def test_star_and_channel_sums_beyond_64_bits(spark):
+    rows = [(1, 1, "{'5': 9000000000000000000}", "{'a': 9000000000000000000}"), (2, 1, "{'5': 9000000000000000000}", "{'a': 9000000000000000000}"), (3, 2, "{'5': 3}", "{'a': 4}")]
+    raw = spark.createDataFrame(rows, "id bigint, category_id bigint, review_rating_distribution string, review_platform_distribution string")
+    products = canonical_products(raw.withColumns({"category": F.lit("c"), "manufacturer": F.lit("m")}))
+    largest = 2**63 - 1
+    assert {r.category_id: (r.product_stars_5, r.product_stars_1) for r in prod.rating_hist_product(products).collect()} == {1: (largest, 0), 2: (3, 0)}
+    assert {r.category_id: r.review_count for r in prod.platform_dist_product(products).collect()} == {1: largest, 2: 4}
 
 
 def test_csv_columns_go_by_name(spark, tmp_path):

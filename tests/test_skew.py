@@ -6,9 +6,10 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
-from marketlens.operators import products as prod, reviews as rev
-from marketlens.operators.keywords import branded_texts, keyword_counts
+from marketlens.operators import examples, products as prod, reviews as rev
+from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.ranking import by_score, top_k
+from marketlens.operators.selection import reviews_with_brand
 from marketlens.session import materialise, shared_dir
 
 N = 30000
@@ -38,7 +39,7 @@ def test_hot_product(spark):
     assert want[(1, "b1")] > N / 3
 
     words = Counter((category[product_of(i)], w) for i in range(N) for w in ("common", "even" if i % 2 == 0 else "odd"))
-    counts = keyword_counts(branded_texts(reviews, products))
+    counts = keyword_counts(reviews, products)
     assert {(r.category_id, r.word): r.n for r in counts.collect()} == words
     first = {r.category_id: r.word for r in top_k(counts, ["category_id"], by_score("n", "word"), 1).collect()}
     assert set(first.values()) == {"common"}
@@ -61,3 +62,31 @@ def test_stages_go_to_the_named_folder(spark):
     before = set(os.listdir(folder))
     assert materialise(spark.range(5), "probe").count() == 5
     assert any(n.startswith("probe-") for n in set(os.listdir(folder)) - before)
+
+
+def test_texts_are_neither_shuffled_nor_sorted(spark, tmp_path):
+    """One product with a third of all reviews: words are counted where texts are read, examples ranked without them."""
+    raw = spark.range(3000).select(
+        F.col("id").cast("string").alias("review_id"),
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 50).alias("product_id"),
+        F.lit(5.0).alias("rating"),
+        F.lit("2022-01-01").alias("review_date"),
+        F.concat(F.lit("word "), F.col("id").cast("string")).alias("review_text"),
+    )
+    raw.write.parquet(str(tmp_path / "reviews"))
+    reviews = canonical_reviews(spark.read.parquet(str(tmp_path / "reviews")))
+    products = canonical_products(spark.range(50).select("id", (F.col("id") % 3).alias("category_id"), F.lit("c").alias("category"), F.lit("b").alias("manufacturer")))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pool = reviews_with_brand(examples.rated_texts(reviews), products)
+        for df in (keyword_counts(reviews, products), examples.first_examples(pool, ["category_id"], 3), examples.sample_examples(pool, ["category_id"], 3)):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            joins = plan.split("Join")
+            assert len(joins) > 1
+            moved = [c for c in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in c or "Sort" in c or "Window" in c]
+            assert moved and not any("review_text" in line for line in moved)
+            assert "review_text" not in "".join(line for line in plan.splitlines() if line.lstrip(" +-:").startswith(("Join", "Window", "Aggregate [product_id")))
+        found = examples.fetch_texts(examples.first_examples(pool, ["category_id"], 3), reviews)
+        assert found.count() == 9 and found.filter(F.col("review_text") == F.concat(F.lit("word "), F.col("review_id"))).count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
