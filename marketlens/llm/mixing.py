@@ -2,14 +2,17 @@
 
 A softmax classifier fitted on labelled rows gives every document a probability for each domain. The
 expected tokens of a domain are the sum over documents of rate * tokens * probability. Rates are at
-least 0 and minimise the squared, share-weighted distance of those totals from the targets, plus a
-small pull towards rate 1, by projected gradient steps. A step needs one number per domain from all
-documents; a document's rate follows from those numbers and its own probabilities, so no table of
-rates is kept or collected.
-
-Empty cases: null and empty texts have no tokens and get the rate their probabilities give; an empty
-table gives an empty result; a domain without labelled rows has probability 0; null ids are carried
-along; equal rows get equal rates.
+least 0, or lie between bounds that a document's likeliest domain sets, and minimise the squared,
+share-weighted distance of those totals from the targets, plus a small pull towards rate 1, by projected
+gradient steps. A step needs one number per domain from all documents; a document's rate follows from
+those numbers and its own probabilities, so no table of rates is kept or collected. Steps end where the
+optimality conditions hold: no document's rate would move any more. What then is left between totals
+and targets is returned as the residual.
+
+Defined cases: null and empty texts have no tokens and get the rate their probabilities give; an empty
+table gives an empty result; without labels all domains are alike likely; a domain without labelled rows has
+probability 0; null ids are carried along; equal rows get equal rates (in ties of probability the first domain
+counts as the likeliest); further columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,23 +25,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Remembered, stage, texts, words_of
+from marketlens.llm.common import Remembered, sliced, stage, texts, words_of
 from marketlens.llm.quality import statistics
 
-BUCKETS, ROUNDS, BATCH, STEP, DECAY, BEGINNING = 1 << 15, 12, 128, 0.02, 1e-3, 5
-PULL, MOST_STEPS, CLOSE = 1e-3, 60, 1e-4
+BUCKETS, ROUNDS, BATCH, STEP, DECAY = 1 << 15, 12, 128, 0.02, 1e-3
+PULL, SETTLED = 1e-3, 2e-4
 
 
 class Classifier:
-    """Domain probabilities from hashed beginnings of words, present or not, and standardised text statistics."""
+    """Domain probabilities from hashed words, present or not, and standardised text statistics."""
 
     def __init__(self, weights: np.ndarray, mean: np.ndarray, spread: np.ndarray, known: np.ndarray):
         self.weights, self.mean, self.spread, self.known = weights, mean, spread, known
-        self.bucket = Remembered(lambda word: xxhash.xxh32_intdigest(word) % BUCKETS, 700_000)
+        self.bucket = Remembered(lambda word: xxhash.xxh32_intdigest(word) % BUCKETS)
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         words = words_of(text)
-        some = {word[:BEGINNING] for word in words}
+        some = set(words)
         return np.fromiter(map(self.bucket.__getitem__, some), np.int64, len(some)), np.array(statistics(text, words, len(text))), len(words)
 
     def probabilities(self, columns: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -55,9 +58,7 @@ def fit(rows: list[tuple[int, str]], domains: int) -> tuple:
         known[:] = True
     blank = Classifier(np.zeros((0, domains)), np.zeros(0), np.ones(0), known)
     coded = [blank.encode((text or "").encode()) for _, text in rows]
-    found = np.array([c[1] for c in coded]).reshape(len(rows), -1)
-    if not len(rows):
-        found = np.zeros((1, len(blank.encode(b"")[1])))
+    found = np.array([c[1] for c in coded] or [blank.encode(b"")[1]])
     mean, spread = found.mean(axis=0), found.std(axis=0) + 1e-6
     weights = np.zeros((BUCKETS + found.shape[1] + 1, domains))
     if len(rows):
@@ -100,17 +101,31 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, domain, usable, per_dom
     return [(domain, text) for _, domain, text in rows]
 
 
-def rate_of(probabilities, steps: list[np.ndarray], step: float):
-    """A document's rate after all steps, as a column: 1 at first, then each step's pull, never below 0."""
+def bounds_of(keep: int | None):
+    """Lowest and highest rate of a row, as columns. With a domain to keep, rows of which it is the likeliest are
+    never dropped and all others never copied."""
+    if keep is None:
+        return F.lit(0.0), F.lit(float("inf"))
+    mine = F.array_position("p", F.array_max("p")) == keep + 1
+    return F.when(mine, 1.0).otherwise(0.0), F.when(mine, float("inf")).otherwise(1.0)
+
+
+def rate_of(steps: list[np.ndarray], step: float, keep: int | None = None):
+    """A document's rate after all steps, as a column: 1 at first, then each step's pull, kept between its bounds."""
     if not steps:
         return F.lit(1.0)
+    low, high = bounds_of(keep)
     listed = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in steps])
-    along = lambda e: sum((probabilities[k] * e[k] for k in range(len(steps[0]))), F.lit(0.0))
-    return F.aggregate(listed, F.lit(1.0), lambda r, e: F.greatest(F.lit(0.0), r - F.lit(step) * (along(e) + PULL * (r - 1))))
+    return F.aggregate(listed, F.lit(1.0), lambda r, e: F.greatest(low, F.least(high, r - F.lit(step) * slope_of(e, r, len(steps[0])))))
+
 
+def slope_of(e, rate, domains: int):
+    along = sum((F.col("p")[k] * e[k] for k in range(domains)), F.lit(0.0))
+    return along + PULL * (rate - 1)
 
-def fitted_steps(found: DataFrame, targets: list[float]) -> tuple[list[np.ndarray], float]:
-    """Residuals of all steps and the step size, from (n_tokens, p)."""
+
+def fitted_steps(found: DataFrame, targets: list[float], keep: int | None = None) -> tuple[list[np.ndarray], float, np.ndarray]:
+    """The gradients of all steps, the step size, and targets less totals as shares of all tokens, from (n_tokens, p)."""
     domains = range(len(targets))
     at = lambda k: F.col("p")[k]
     sums = found.agg(
@@ -119,34 +134,40 @@ def fitted_steps(found: DataFrame, targets: list[float]) -> tuple[list[np.ndarra
         *[F.sum(F.col("n_tokens") * at(j) * at(k)).alias(f"g{j}_{k}") for j in domains for k in domains],
     ).first()
     if not sums.n:
-        return [], 1.0
+        return [], 1.0, np.zeros(len(targets))
     share = np.maximum(np.array([sums[f"s{k}"] for k in domains]) / sums.n, 1e-6)
     gram = np.array([[sums[f"g{j}_{k}"] for k in domains] for j in domains]) / sums.n
     root = np.sqrt(share)
     step = 1 / (float(np.linalg.eigvalsh(gram / np.outer(root, root))[-1]) + PULL)
     wanted = np.array(targets, float)
     wanted = wanted / wanted.sum()
+    low, high = bounds_of(keep)
     steps: list[np.ndarray] = []
     totals = share
-    while len(steps) < MOST_STEPS and np.abs(totals - wanted).max() > CLOSE:
-        steps.append((totals - wanted) / share)
-        row = found.agg(*[F.sum(F.col("n_tokens") * rate_of(F.col("p"), steps, step) * at(k)).alias(f"s{k}") for k in domains]).first()
-        now = np.array([row[f"s{k}"] for k in domains]) / sums.n
-        if np.abs(now - totals).max() < CLOSE / 100:
-            break
-        totals = now
-    return steps, step
+    while True:
+        e = (totals - wanted) / share
+        rate = F.col("rate")
+        slope = slope_of(F.array(*[F.lit(float(x)) for x in e]), rate, len(targets))
+        # Where a bound stops the rate, a slope beyond it is none. The rest is the token-weighted mean square.
+        moves = F.when((rate <= low) & (slope > 0), 0.0).when((rate >= high) & (slope < 0), 0.0).otherwise(slope)
+        rated = found.withColumn("rate", rate_of(steps, step, keep)).withColumn("moves", moves)
+        row = rated.agg(F.sum(F.col("n_tokens") * F.col("moves") * F.col("moves")).alias("left")).first()
+        if row["left"] / sums.n <= SETTLED**2:
+            return steps, step, wanted - totals
+        steps.append(e)
+        after = found.withColumn("rate", rate_of(steps, step, keep))
+        row = after.agg(*[F.sum(F.col("n_tokens") * rate * at(k)).alias(f"s{k}") for k in domains]).first()
+        totals = np.array([row[f"s{k}"] for k in domains]) / sums.n
 
 
 def _posteriors(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(*model.value)
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text"))
-            coded = [classifier.encode(x) for x in texts(text)]
+        for batch in sliced(batches):
+            coded = [classifier.encode(x) for x in texts(batch.column(1))]
             sizes = pa.array([c[2] for c in coded], pa.int64())
             found = pa.array([classifier.probabilities(c[0], c[1]).tolist() for c in coded], pa.list_(pa.float64()))
-            yield batch.append_column("n_tokens", sizes).append_column("p", found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, found], names=["row", "chance", "n_tokens", "p"])
 
     return run
 
@@ -160,36 +181,35 @@ def _chance():
     return F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def _model(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int):
+def _with_rates(docs: DataFrame, kept: list[str], labels: DataFrame, domain, targets: list[float], usable, per_domain: int, keep: int | None) -> DataFrame:
+    """(row, n_tokens, p, rate, copies, residual): each row's kept columns as one struct, so that no name can clash."""
     rows = labelled_domains(docs, labels, domain, usable, per_domain, len(targets))
-    return docs.sparkSession.sparkContext.broadcast(fit(rows, len(targets)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, len(targets)))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "text", _chance().alias("chance"))
+    schema = f"row {packed.schema['row'].dataType.simpleString()}, chance double, n_tokens bigint, p array<double>"
+    found = stage(packed.mapInArrow(_posteriors(model), schema), "posteriors")
+    model.destroy()
+    steps, step, left = fitted_steps(found.select("n_tokens", "p"), targets, keep)
+    rated = found.withColumn("rate", rate_of(steps, step, keep))
+    return rated.withColumn("copies", _copies(F.col("rate"), F.col("chance"))).withColumn("residual", F.lit(float(np.abs(left).max())))
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500) -> DataFrame:
-    """doc_id, n_tokens, p (probability of each domain), rate and copies (a whole number with the rate as its mean) of every row.
+def mixing_rates(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500, keep: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, p (probability of each domain), rate and copies (a whole number with the rate as its mean) of
+    every row, and the residual: the largest share of all tokens by which a domain's total misses its target.
 
     domain: a column over labels with the domain's number, 0 and up; targets: a weight for each domain, the
-    expected tokens of all domains together stay what they are; usable: whose labels may be learned.
+    expected tokens of all domains together stay what they are; usable: whose labels may be learned; keep: a domain
+    whose rows have rates of at least 1, while those of all others have at most 1.
     """
-    run = _posteriors(_model(docs, labels, domain, targets, usable, per_domain))
-    rows = docs.select("doc_id", "text", _chance().alias("chance"))
-    found = rows.mapInArrow(run, "doc_id bigint, text string, chance double, n_tokens bigint, p array<double>").drop("text")
-    found = stage(found, "posteriors")
-    steps, step = fitted_steps(found, targets)
-    rated = found.withColumn("rate", rate_of(F.col("p"), steps, step))
-    return rated.select("doc_id", "n_tokens", "p", "rate", _copies(F.col("rate"), F.col("chance")).alias("copies"))
-
-
-def mixed_rows(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500) -> DataFrame:
-    """docs with each row as often as it is to be copied. Probabilities are computed again beside the texts, not joined to them."""
-    run = _posteriors(_model(docs, labels, domain, targets, usable, per_domain))
-    few = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, n_tokens bigint, p array<double>")
-    steps, step = fitted_steps(stage(few.select("n_tokens", "p"), "posteriors"), targets)
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    copies = _copies(rate_of(F.col("p"), steps, step), F.col("chance"))
-    added = docs.select(*docs.columns, _chance().alias("chance")).mapInArrow(run, names + ", chance double, n_tokens bigint, p array<double>")
-    repeated = added.withColumn("copies", copies).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return repeated.select(*docs.columns)
+    rated = _with_rates(docs, ["doc_id"], labels, domain, targets, usable, per_domain, keep)
+    return rated.select("row.doc_id", "n_tokens", "p", "rate", "copies", "residual")
+
+
+def mixed_rows(docs: DataFrame, labels: DataFrame, domain, targets: list[float], usable, per_domain: int = 1500, keep: int | None = None) -> DataFrame:
+    """docs with each row as often as it is to be copied."""
+    rated = _with_rates(docs, docs.columns, labels, domain, targets, usable, per_domain, keep)
+    return rated.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
 
 
 def label_domain():

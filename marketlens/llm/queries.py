@@ -86,7 +86,7 @@ def op8_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read_table(spark, sf_dir, name) for name in ("documents", "labels"))
     found = mixing_rates(docs, labels, label_domain(), [0.7, 0.1, 0.15, 0.05], crc_mod("doc_id", 5) != 0)
-    return found.select("doc_id", "n_tokens", F.col("p").alias("domain_probabilities"), "rate", "copies")
+    return found.select("doc_id", "n_tokens", F.col("p").alias("domain_probabilities"), "rate", "copies", "residual")
 
 
 @query
