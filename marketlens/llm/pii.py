@@ -3,9 +3,10 @@
 Nodes are the blank-separated tokens that hold a digit or an at sign; a text without any has no
 entities. Neighbouring nodes are linked as a chain. A node is also linked to the last earlier node
 that repeats or resembles it (same digits, same last seven digits, same local part of an address),
-however far away; runs of neighbouring groups of digits are compared as one number, and their groups
-linked by the places of their digits from the end. So an entity keeps one label through a document. Sum-product messages run along
-both kinds of links until they settle. Node weights are fitted to the labels the patterns give in a
+however far away, if a pattern labels any node that can be reached by such links; runs of neighbouring
+groups of digits are compared as one number, and their groups linked by the places of their digits
+from the end. So an entity keeps one label through a document. Sum-product messages run along both
+kinds of links until they settle. Node weights are fitted to the labels the patterns give in a
 bounded sample of texts; link weights are the sample's logarithmic label associations. Nodes under a
 pattern's span are held to its label; other nodes whose marginal reaches `SURE` add a span.
 
@@ -25,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.common import sliced
+
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9
 HASHED = 1 << 12
@@ -41,7 +44,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NODE = re.compile(r"\S*[0-9@]\S*")
+_BLANK = re.compile(r"\s")
 _SIGN = re.compile(r"[0-9@]")
 _GROUP = re.compile(r"[^\W\d]|@")
 
@@ -87,9 +90,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def _tokens(text: str) -> list[tuple[int, int]]:
+    """Blank-separated tokens that hold a digit or an at sign; found from their signs, so other long words cost nothing."""
+    found, free, sign = [], 0, _SIGN.search(text)
+    while sign:
+        start = sign.start()
+        while start > free and not text[start - 1].isspace():
+            start -= 1
+        blank = _BLANK.search(text, sign.end())
+        free = blank.start() if blank else len(text)
+        found.append((start, free))
+        sign = _SIGN.search(text, free)
+    return found
+
+
 def _shape(token: str) -> str:
-    runs = re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 20)}", token[:200]))
-    return runs[:60]
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m.group()), 20)}", token))
+
+
+def _check(token: str) -> str:
+    """Whether a number of a card's length passes its check."""
+    digits = _digits(token)
+    return str(_luhn(digits)) if 13 <= len(digits) <= 19 else "-"
 
 
 def _keys(token: str) -> list[str]:
@@ -130,7 +152,7 @@ class Graph:
 
     def add(self, number: int, text: str, spans: list[tuple[int, int, int]]) -> None:
         first = len(self.start)
-        nodes = [m.span() for m in _NODE.finditer(text)]
+        nodes = _tokens(text)
         shapes = ["^", *(_shape(text[s:e]) for s, e in nodes), "$"]
         met: dict[str, int] = {}
         ended: dict[str, tuple[int, list[str]]] = {}
@@ -140,7 +162,10 @@ class Graph:
         for k, (s, e) in enumerate(nodes):
             while at < len(by_start) and by_start[at][2] <= s:
                 at += 1
-            label = next((kind + 1 for kind, x, y in by_start[at : at + 4] if x < e and s < y), 0)
+            label, near = 0, at
+            while not label and near < len(by_start) and by_start[near][1] < e:
+                label = by_start[near][0] + 1 if s < by_start[near][2] else 0
+                near += 1
             before = k > 0 and nodes[k - 1][1] + 1 >= s
             after = k + 1 < len(nodes) and e + 1 >= nodes[k + 1][0]
             token = text[s:e]
@@ -152,6 +177,7 @@ class Graph:
                     _hash("b" + (shapes[k] if before else "-")),
                     _hash("a" + (shapes[k + 2] if after else "-")),
                     _hash(f"n{min(len(_digits(plain)), 20)}{'@' in plain}{plain[:1] == '+'}{min(plain.count('.'), 4)}"),
+                    _hash("c" + _check(plain)),
                 ]
             )
             here = len(self.start)
@@ -198,7 +224,7 @@ class Graph:
 
     def arrays(self):
         links = lambda x: np.array(x, np.int64).reshape(-1, 2)
-        return np.array(self.features, np.int64).reshape(-1, 5), np.array(self.label, np.int64), links(self.chain), links(self.skip)
+        return np.array(self.features, np.int64).reshape(-1, 6), np.array(self.label, np.int64), links(self.chain), links(self.skip)
 
 
 def fit(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,6 +256,22 @@ def fit(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weights, association(chain), association(skip)
 
 
+def _heard_of(label: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """The skip links of groups of linked nodes in which a pattern labels at least one: repetition alone is no evidence."""
+    group = np.arange(len(label))
+    while True:
+        least = group.copy()
+        np.minimum.at(least, skip[:, 0], group[skip[:, 1]])
+        np.minimum.at(least, skip[:, 1], group[skip[:, 0]])
+        least = least[least]
+        if (least == group).all():
+            break
+        group = least
+    known = np.zeros(len(label), bool)
+    known[group[label > 0]] = True
+    return skip[known[group[skip[:, 0]]]]
+
+
 def marginals(graph: Graph, weights: np.ndarray, chain_weights: np.ndarray, skip_weights: np.ndarray) -> np.ndarray:
     """Label probabilities of all nodes, by damped sum-product messages over all links."""
     features, label, chain, skip = graph.arrays()
@@ -237,6 +279,7 @@ def marginals(graph: Graph, weights: np.ndarray, chain_weights: np.ndarray, skip
     node -= node.max(axis=1, keepdims=True)
     node[label > 0] -= _HOLD
     node[np.flatnonzero(label > 0), label[label > 0]] += 2 * _HOLD
+    skip = _heard_of(label, skip)
     # Nodes that share several keys have one link of their joint weight: parallel links would feed messages back.
     skip, times = np.unique(skip, axis=0, return_counts=True)
     ends = np.concatenate([chain, skip])
@@ -340,7 +383,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     schema = "doc_id bigint, " + "".join(f"{c} bigint, " for c in counts) + "base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in sliced(batches):
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 parts = [x or "" for x in batch.column(1).to_pylist()]
@@ -363,7 +406,7 @@ def redacted_rows(docs: DataFrame, sample: int = 4000) -> DataFrame:
     length_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in sliced(batches):
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 raw = batch.column(text_at).to_pylist()
