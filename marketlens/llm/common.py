@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,14 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def sliced(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of about `most` bytes, one row at least: what a task holds besides its batch stays small."""
+    for batch in batches:
+        rows = max(1, int(most * batch.num_rows / max(batch.nbytes, 1)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def words_of(text: bytes) -> list[bytes]:
     """Words between the six ASCII white-space bytes, A-Z lowered."""
     return text.translate(LOWER).split()
@@ -47,7 +56,7 @@ def words_of(text: bytes) -> list[bytes]:
 class Remembered(dict):
     """Values of a function of words, kept until `limit` words are held, then started anew: bounded and exact."""
 
-    def __init__(self, of, limit: int = 400_000):
+    def __init__(self, of, limit: int = 200_000):
         super().__init__()
         self.of, self.limit = of, limit
 
@@ -58,7 +67,7 @@ class Remembered(dict):
         return value
 
 
-def word_hashes(limit: int = 400_000) -> Remembered:
+def word_hashes(limit: int = 200_000) -> Remembered:
     return Remembered(xxhash.xxh64_intdigest, limit)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import U64, components, hashed, mixed, stage, texts, word_hashes, words_of
+from marketlens.llm.common import U64, components, hashed, mixed, sliced, stage, texts, word_hashes, words_of
 
 WIDTH = 5
 CHUNKS, LANES = 10, 4
@@ -65,7 +65,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = word_hashes()
-    for batch in batches:
+    for batch in sliced(batches):
         sizes, digests, signatures = [], [], []
         for text in texts(batch.column(1)):
             shingles = shingle_set(text, memory)
@@ -104,7 +104,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memory = word_hashes()
-    for batch in batches:
+    for batch in sliced(batches):
         found = [shingle_set(text, memory).tobytes() for text in texts(batch.column(1))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "shingles"])
 

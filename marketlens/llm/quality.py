@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import Remembered, texts, words_of
+from marketlens.llm.common import Remembered, sliced, texts, words_of
 from marketlens.llm.labelled import labelled_sample
 
 BUCKETS, RANK, BINS = 1 << 15, 8, 10
@@ -58,7 +58,7 @@ class Machine:
 
     def __init__(self, edges: np.ndarray, bias: float, linear: np.ndarray, factors: np.ndarray):
         self.edges, self.bias, self.linear, self.factors = edges, bias, linear, factors
-        self.bucket = Remembered(lambda word: xxhash.xxh32_intdigest(word) % BUCKETS, 700_000)
+        self.bucket = Remembered(lambda word: xxhash.xxh32_intdigest(word) % BUCKETS)
 
     def encode(self, text: bytes, stated: int) -> tuple[np.ndarray, np.ndarray]:
         """Columns and values: words by the root of their number at unit length, then one bin of each statistic."""
@@ -129,7 +129,7 @@ def quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*model.value)
-        for batch in batches:
+        for batch in sliced(batches):
             stated = [x or 0 for x in batch.column(2).to_pylist()]
             z = np.array([machine.raw(*machine.encode(text, n)) for text, n in zip(texts(batch.column(1)), stated)], float)
             yield pa.RecordBatch.from_arrays(
@@ -149,7 +149,7 @@ def good_rows(docs: DataFrame, labels: DataFrame, held_out, least: float = 0.3,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*model.value)
-        for batch in batches:
+        for batch in sliced(batches):
             stated = [x or 0 for x in batch.column(length_at).to_pylist()]
             keep = [machine.raw(*machine.encode(text, n)) >= limit for text, n in zip(texts(batch.column(text_at)), stated)]
             yield batch.filter(pa.array(keep, pa.bool_()))
