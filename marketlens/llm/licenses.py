@@ -76,7 +76,7 @@ def pieces(notice: Notice) -> list[tuple[int, str]]:
 class Search:
     def __init__(self, notices: list[Notice]):
         self.notices = notices
-        self.patterns = [regex.compile(f"(?b)(?<![^ ])(?:{regex.escape(n.words)}){{e<={n.errors}}}(?![^ ])") for n in notices]
+        self.patterns = [regex.compile(f"(?b)(?<![^ ])(?=[^ ])(?:{regex.escape(n.words)}){{e<={n.errors}}}(?<=[^ ])(?![^ ])") for n in notices]
         places: dict[str, list[tuple[int, int]]] = {}
         for k, notice in enumerate(notices):
             if len(notice.words) <= notice.errors:

@@ -4,10 +4,11 @@ A softmax classifier fitted on labelled rows gives every document a probability
 expected tokens of a domain are the sum over documents of rate * tokens * probability. Rates are at
 least 0, or lie between bounds that a document's likeliest domain sets, and minimise the squared,
 share-weighted distance of those totals from the targets, plus a small pull towards rate 1, by projected
-gradient steps. A step needs one number per domain from all documents; a document's rate follows from
-those numbers and its own probabilities, so no table of rates is kept or collected. Steps end where the
-optimality conditions hold: no document's rate would move any more. What then is left between totals
-and targets is returned as the residual.
+gradient steps with momentum. Probabilities are multiples of a thousandth, so the steps run on a table of
+distinct ones with their tokens, which hardly grows with the documents. A step needs two numbers per domain
+from it; a rate follows from those numbers and the probabilities, so no table of rates is kept or collected.
+Steps end where the optimality conditions hold: a projected step would move no rate any more, in the
+token-weighted mean. What then is left between totals and targets is returned as the residual.
 
 Defined cases: null and empty texts have no tokens and get the rate their probabilities give; an empty
 table gives an empty result; without labels all domains are alike likely; a domain without labelled rows has
@@ -29,7 +30,9 @@ from marketlens.llm.common import Remembered, sliced, stage, texts, words_of
 from marketlens.llm.quality import statistics
 
 BUCKETS, ROUNDS, BATCH, STEP, DECAY = 1 << 15, 12, 128, 0.02, 1e-3
-PULL, SETTLED = 1e-3, 2e-4
+PULL, SETTLED = 1e-2, 2e-4
+#: Probabilities are whole multiples of 1 / PARTS, so documents fall into classes of equal ones, however many there are.
+PARTS = 1000
 
 
 class Classifier:
@@ -110,25 +113,34 @@ def bounds_of(keep: int | None):
     return F.when(mine, 1.0).otherwise(0.0), F.when(mine, float("inf")).otherwise(1.0)
 
 
-def rate_of(steps: list[np.ndarray], step: float, keep: int | None = None):
-    """A document's rate after all steps, as a column: 1 at first, then each step's pull, kept between its bounds."""
-    if not steps:
-        return F.lit(1.0)
+def state_of(steps: list[np.ndarray], size: float, keep: int | None = None):
+    """A column with a document's state after all steps: its rate r, the one before q, and the point y the last step left from."""
     low, high = bounds_of(keep)
-    listed = F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in steps])
-    return F.aggregate(listed, F.lit(1.0), lambda r, e: F.greatest(low, F.least(high, r - F.lit(step) * slope_of(e, r, len(steps[0])))))
+    root = float(np.sqrt(PULL * size))
+    momentum = (1 - root) / (1 + root)
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("q"), F.lit(1.0).alias("y"))
+    if not steps:
+        return start
+
+    def step(a, e):
+        y = next_point(a, momentum)
+        along = sum((F.col("p")[k] * e[k] for k in range(len(steps[0]))), F.lit(0.0))
+        r = F.greatest(low, F.least(high, y - F.lit(size) * (along + PULL * (y - 1))))
+        return F.struct(r.alias("r"), a["r"].alias("q"), y.alias("y"))
 
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in e]) for e in steps]), start, step)
 
-def slope_of(e, rate, domains: int):
-    along = sum((F.col("p")[k] * e[k] for k in range(domains)), F.lit(0.0))
-    return along + PULL * (rate - 1)
+
+def next_point(state, momentum: float):
+    return state["r"] + momentum * (state["r"] - state["q"])
 
 
 def fitted_steps(found: DataFrame, targets: list[float], keep: int | None = None) -> tuple[list[np.ndarray], float, np.ndarray]:
     """The gradients of all steps, the step size, and targets less totals as shares of all tokens, from (n_tokens, p)."""
+    classes = stage(found.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).filter("n_tokens > 0").coalesce(8), "posterior-classes")
     domains = range(len(targets))
     at = lambda k: F.col("p")[k]
-    sums = found.agg(
+    sums = classes.agg(
         F.sum("n_tokens").alias("n"),
         *[F.sum(F.col("n_tokens") * at(k)).alias(f"s{k}") for k in domains],
         *[F.sum(F.col("n_tokens") * at(j) * at(k)).alias(f"g{j}_{k}") for j in domains for k in domains],
@@ -138,26 +150,31 @@ def fitted_steps(found: DataFrame, targets: list[float], keep: int | None = None
     share = np.maximum(np.array([sums[f"s{k}"] for k in domains]) / sums.n, 1e-6)
     gram = np.array([[sums[f"g{j}_{k}"] for k in domains] for j in domains]) / sums.n
     root = np.sqrt(share)
-    step = 1 / (float(np.linalg.eigvalsh(gram / np.outer(root, root))[-1]) + PULL)
+    size = 1 / (float(np.linalg.eigvalsh(gram / np.outer(root, root))[-1]) + PULL)
     wanted = np.array(targets, float)
     wanted = wanted / wanted.sum()
-    low, high = bounds_of(keep)
+    momentum = (1 - np.sqrt(PULL * size)) / (1 + np.sqrt(PULL * size))
     steps: list[np.ndarray] = []
     totals = share
     while True:
-        e = (totals - wanted) / share
-        rate = F.col("rate")
-        slope = slope_of(F.array(*[F.lit(float(x)) for x in e]), rate, len(targets))
-        # Where a bound stops the rate, a slope beyond it is none. The rest is the token-weighted mean square.
-        moves = F.when((rate <= low) & (slope > 0), 0.0).when((rate >= high) & (slope < 0), 0.0).otherwise(slope)
-        rated = found.withColumn("rate", rate_of(steps, step, keep)).withColumn("moves", moves)
-        row = rated.agg(F.sum(F.col("n_tokens") * F.col("moves") * F.col("moves")).alias("left")).first()
-        if row["left"] / sums.n <= SETTLED**2:
-            return steps, step, wanted - totals
-        steps.append(e)
-        after = found.withColumn("rate", rate_of(steps, step, keep))
-        row = after.agg(*[F.sum(F.col("n_tokens") * rate * at(k)).alias(f"s{k}") for k in domains]).first()
-        totals = np.array([row[f"s{k}"] for k in domains]) / sums.n
+        steps.append((totals - wanted) / share)
+        state = F.col("state")
+        n = F.col("n_tokens")
+        row = classes.withColumn("state", state_of(steps, size, keep)).agg(
+            F.sum(n * F.pow(state["r"] - state["y"], F.lit(2.0))).alias("moved"),
+            *[F.sum(n * state["r"] * at(k)).alias(f"r{k}") for k in domains],
+            *[F.sum(n * next_point(state, momentum) * at(k)).alias(f"y{k}") for k in domains],
+        ).first()
+        if row.moved / sums.n <= (SETTLED * size) ** 2:
+            return steps, size, wanted - np.array([row[f"r{k}"] for k in domains]) / sums.n
+        totals = np.array([row[f"y{k}"] for k in domains]) / sums.n
+
+
+def in_parts(p: np.ndarray) -> list[float]:
+    """Probabilities as multiples of 1 / PARTS; what rounding leaves goes to the largest."""
+    parts = np.rint(p * PARTS)
+    parts[parts.argmax()] += PARTS - parts.sum()
+    return (parts / PARTS).tolist()
 
 
 def _posteriors(model):
@@ -166,7 +183,7 @@ def _posteriors(model):
         for batch in sliced(batches):
             coded = [classifier.encode(x) for x in texts(batch.column(1))]
             sizes = pa.array([c[2] for c in coded], pa.int64())
-            found = pa.array([classifier.probabilities(c[0], c[1]).tolist() for c in coded], pa.list_(pa.float64()))
+            found = pa.array([in_parts(classifier.probabilities(c[0], c[1])) for c in coded], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, found], names=["row", "chance", "n_tokens", "p"])
 
     return run
@@ -190,7 +207,7 @@ def _with_rates(docs: DataFrame, kept: list[str], labels: DataFrame, domain, tar
     found = stage(packed.mapInArrow(_posteriors(model), schema), "posteriors")
     model.destroy()
     steps, step, left = fitted_steps(found.select("n_tokens", "p"), targets, keep)
-    rated = found.withColumn("rate", rate_of(steps, step, keep))
+    rated = found.withColumn("rate", state_of(steps, step, keep)["r"])
     return rated.withColumn("copies", _copies(F.col("rate"), F.col("chance"))).withColumn("residual", F.lit(float(np.abs(left).max())))
 
 
