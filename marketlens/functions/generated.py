@@ -25,6 +25,9 @@ SHORTEST_SENTENCE = 10
 REPEAT_PREFIX = 50
 MOST_SENTENCES = 12
 FIRST_PART = 500
+#: JSON as the standard has it: Spark's parser would take more.
+STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def drop_token(c: Column) -> Column:
     return strip(F.replace(strip(c), F.lit(END_TOKEN), F.lit("")))
@@ -48,16 +51,23 @@ def closed_part(pieces: Column) -> Column:
     return let(end, lambda n: F.when(n > 0, F.array_join(F.slice(pieces, F.lit(1), n), "")))
 
 
+def is_object(c: Column) -> Column:
+    """Whether a text is a JSON object. Keys may repeat in it."""
+    parsed = F.from_json(c, "_any string, _broken string", {**STRICT, "columnNameOfCorruptRecord": "_broken"})
+    return F.coalesce(c.startswith("{") & c.endswith("}") & parsed.isNotNull() & parsed["_broken"].isNull(), F.lit(False))
+
+
 def first_json_object(c: Column, drop_end_token: bool = True) -> Column:
     """Text of the first balanced object when it is valid JSON with at least one key, else null."""
     text = balanced_object(drop_token(c) if drop_end_token else strip(c))
-    return let(text, lambda x: F.when(F.try_parse_json(x).isNotNull() & (strip(F.substr(x, F.lit(2))) != "}"), x))
+    return let(text, lambda x: F.when(is_object(x) & (strip(F.substr(x, F.lit(2))) != "}"), x))
 
 
 def json_text(obj: Column, key: str) -> Column:
-    """A key's value when it is a string, else null."""
-    value = F.try_variant_get(F.try_parse_json(obj), f"$.{key}", "variant")
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(F.try_parse_json(obj), f"$.{key}", "string"))
+    """A key's value when it is a string, else null; of a repeated key the last value."""
+    # Only the one key is read as a variant, in the order of the text: a later value replaces an earlier one.
+    value = F.from_json(obj, f"{key} variant", STRICT)[key]
+    return let(value, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
 
 
 def bare_tail(c: Column) -> Column:
@@ -67,7 +77,7 @@ def bare_tail(c: Column) -> Column:
 
 def nested_object(c: Column) -> Column:
     """The value as JSON object text when it is one, else null."""
-    return let(bare_tail(c), lambda x: F.when(x.startswith("{") & F.try_parse_json(x).isNotNull(), x))
+    return let(bare_tail(c), lambda x: F.when(is_object(x), x))
 
 
 def unwrap_nested(overview: Column, growth: Column, levels: int = 3) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import generated as g
 from marketlens.functions.text import key_number_count, mentions_proxy, sentence_count, token_jaccard
+from marketlens.session import materialise
 
 
 def repaired(generations: DataFrame, text: str = "raw") -> DataFrame:
@@ -82,3 +83,14 @@ def evaluation_summary(scores: DataFrame) -> DataFrame:
         mean("contains_key_numbers").alias("avg_key_numbers"),
         mean("template_similarity").alias("avg_template_similarity"),
     )
+
+
+def evaluation(generations: DataFrame, templates: DataFrame, keys, text: str = "raw") -> tuple[DataFrame, DataFrame]:
+    """From raw generated texts to a quality row each and their summary: extraction, pairing with the template, scores.
+
+    ``generations`` holds the keys, category_id and the raw text.
+    """
+    found = scored_texts(generations, text)
+    pairs = pair_template_generated(templates, found, extra=[k for k in keys if k != "category_id"])
+    rows = materialise(quality_rows(pairs, keys), "quality")
+    return rows, evaluation_summary(rows)

@@ -130,7 +130,7 @@ STEPS: dict[str, str] = {
  (select min(g2.year) from growth g2 where g2.category_id = g.category_id and g2.growth_rate = max(g.growth_rate)) as max_growth_year,
  count(*) filter (where year >= 1999) as recent_years, count(*) filter (where year >= 1999 and growth_rate is not null) as recent_rates,
  avg(growth_rate) filter (where year >= 1999) as recent_mean_growth from growth g group by category_id""",
-    "first_texts": plain(tables.FIRST_TEXTS),
+    "turn_texts": plain(tables.TURN_TEXTS),
 }
 
 

@@ -355,9 +355,9 @@ def words_sql(x: str) -> str:
 
 @query(
     "u3_word_sets",
-    f"""select category_id, len(list_intersect(a, b)) as n_shared, len(list_distinct(list_concat(a, b))) as n_union
- from (select category_id, {words_sql('first_user')} as a, {words_sql('first_answer')} as b from first_texts)""",
+    f"""select conv_id, turn, len(list_intersect(a, b)) as n_shared, len(list_distinct(list_concat(a, b))) as n_union
+ from (select conv_id, turn, {words_sql('question')} as a, {words_sql('answer')} as b from turn_texts)""",
 )
 def u3(spark, d):
-    a, b = words(F.col("first_user")), words(F.col("first_answer"))
-    return t.first_texts(spark, d).select("category_id", F.size(F.array_intersect(a, b)).alias("n_shared"), F.size(F.array_union(a, b)).alias("n_union"))
+    a, b = words(F.col("question")), words(F.col("answer"))
+    return t.turn_texts(spark, d).select("conv_id", "turn", F.size(F.array_intersect(a, b)).alias("n_shared"), F.size(F.array_union(a, b)).alias("n_union"))

@@ -327,17 +327,16 @@ def r12(spark, d):
 
 
 # Generated texts per category: several conversations fall on one category; the overlay takes the last.
-GENERATION_CATEGORY = "100 * (1 + cast(floor(category_id / 8) as bigint) % 6) + 1 + category_id % 8"
-base.STEPS["generations"] = f"select category_id as generation_id, {GENERATION_CATEGORY} as category_id, coalesce(first_user, '') as market_overview, coalesce(first_answer, '') as growth_summary from first_texts"
+GENERATION_CATEGORY = "100 * (1 + cast(floor(conv_id / 8) as bigint) % 6) + 1 + conv_id % 8"
+base.STEPS["generations"] = f"select generation_id, {GENERATION_CATEGORY} as category_id, coalesce(question, '') as market_overview, coalesce(answer, '') as growth_summary from turn_texts"
 
 
 def generations(spark, d):
-    texts = t.first_texts(spark, d)
-    return texts.select(
-        F.col("category_id").alias("generation_id"),
+    return t.turn_texts(spark, d).select(
+        "generation_id",
         F.expr(GENERATION_CATEGORY).alias("category_id"),
-        F.coalesce("first_user", F.lit("")).alias("market_overview"),
-        F.coalesce("first_answer", F.lit("")).alias("growth_summary"),
+        F.coalesce("question", F.lit("")).alias("market_overview"),
+        F.coalesce("answer", F.lit("")).alias("growth_summary"),
     )
 
 

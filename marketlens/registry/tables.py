@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
+from marketlens.operators.turns import exchanges
 from marketlens.session import configure, materialise
 
 Q = "chr(39)"
@@ -100,10 +102,14 @@ RAW_REVIEWS = """select concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-
 REVIEWS_WITH_TEXT = RAW_REVIEWS.replace("$text", "text") + " left join @documents on doc_id = l_orderkey"
 REVIEWS_WITHOUT_TEXT = RAW_REVIEWS.replace("$text", "cast(null as varchar(1))")
 
-# Generated summaries: the first user text is the overview, the first assistant text the growth part.
-FIRST_TEXTS = """select conv_id as category_id, min_by(case when role = 'user' then text end, case when role = 'user' then turn end) as first_user,
- min_by(case when role = 'assistant' then text end, case when role = 'assistant' then turn end) as first_answer
- from @conversations group by conv_id"""
+# Generated summaries, one per user message with the assistant message right after it: the first is the overview, the second
+# the growth part. An assistant message after no user message has no overview. Conversation and turn make one number.
+TURNS = 1000000
+TURN_TEXTS = f"""select conv_id * {TURNS} + turn as generation_id, conv_id, turn, case when role = 'user' then text end as question,
+ case when role = 'assistant' then text when next_role = 'assistant' then next_text end as answer
+ from (select *, lead(role) over (partition by conv_id order by turn) as next_role, lead(text) over (partition by conv_id order by turn) as next_text,
+ lag(role) over (partition by conv_id order by turn) as role_before from @conversations)
+ where role = 'user' or (role = 'assistant' and coalesce(role_before, '') <> 'user')"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,20 +117,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, as of one small file, dealt out to all cores.
-
-    Work on texts and cells is bound by the processor; a table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     text = re.sub(r"varchar\(\d+\)", "string", sql).replace("{", "{{").replace("}", "}}")
     frames = {n: table(spark, sf_dir, n) for n in names}
-    for name in {"part", "documents", "conversations"} & set(frames):
-        frames[name] = spread(frames[name])
     return spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **frames)
 
 
@@ -151,5 +146,6 @@ def reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFrame:
     return canonical_reviews(raw_reviews(spark, sf_dir, texts))
 
 
-def first_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, sf_dir, FIRST_TEXTS, "conversations")
+def turn_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = exchanges(table(spark, sf_dir, "conversations"))
+    return pairs.select((F.col("conv_id") * TURNS + F.col("turn")).alias("generation_id"), "*")
