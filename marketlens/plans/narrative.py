@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import bands
 from marketlens.functions.clean import strip
 from marketlens.functions.numbers import fixed, fmt_int, pct
+from marketlens.operators.growth import END_YEAR, START_YEAR
 from marketlens.plans.phrases import BULLETS, ENTRY, GROWTH, OVERVIEW
 
 
@@ -76,13 +77,13 @@ def market_overview() -> Column:
     )
 
 
-def growth_summary() -> Column:
-    """Text over the columns of ``growth_extremes``; those are null for a group without a series."""
+def growth_summary(start_year: int = START_YEAR, end_year: int = END_YEAR) -> Column:
+    """Text over the columns of ``growth_extremes``, of a series over the given years; those are null for a group without one."""
     moving = F.col("max_growth").isNotNull()
     text = F.array_join(
         present(
             F.lit(GROWTH["premise"]),
-            F.when(moving, F.lit(GROWTH["flow"])),
+            F.when(moving, F.lit(GROWTH["flow"] % (start_year, end_year))),
             F.when(moving, say(GROWTH["best_year"], F.col("max_growth_year").cast("string"))),
             F.when(F.col("min_growth") < 0, F.lit(GROWTH["decline"])),
             F.when(moving & (F.col("recent_years") >= 2) & (F.col("recent_rates") >= 1), F.lit(GROWTH["momentum"])),

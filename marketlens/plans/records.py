@@ -248,7 +248,7 @@ def sample_rows(
     measured = metrics_of_parts(drawn.product_sums(), drawn.values(), drawn.names_of_products(), grouped, top, category_path(chosen), SAMPLE_KEYS)
     rows = materialise(measured, "metrics")
     full = with_growth(rows, grouped, settings, SAMPLE_KEYS).withColumns(
-        {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
+        {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary(settings.start_year, settings.end_year)}
     )
     if use_texts:
         found = insights_of_samples(drawn, reviews, words).withColumn("insights", insight_columns())

@@ -13,7 +13,7 @@ from marketlens.operators import growth as gr
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.reviews import group_facts, review_facts, yearly_review_counts
-from marketlens.operators.selection import category_path, largest_categories, products_of
+from marketlens.operators.selection import category_path, largest_categories, pick_category, products_of, reviews_of
 from marketlens.plans import narrative
 from marketlens.plans.metrics import metrics
 from marketlens.session import materialise
@@ -57,7 +57,7 @@ def category_rows(products: DataFrame, reviews: DataFrame, settings: Settings =
     words = keyword_counts(reviews, products)
     rows = materialise(metrics(products, grouped, words, category_path(products)), "metrics")
     return with_growth(rows, grouped, settings).withColumns(
-        {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary()}
+        {"market_overview": narrative.market_overview(), "growth_summary": narrative.growth_summary(settings.start_year, settings.end_year)}
     )
 
 
@@ -119,6 +119,14 @@ def reports_of_largest(products: DataFrame, reviews: DataFrame, n: int | None =
     return category_report(category_rows(chosen, reviews, settings), settings)
 
 
+def report_of_category(
+    products: DataFrame, reviews: DataFrame, category_id: int | None = None, needle: str | None = None, settings: Settings = Settings()
+) -> DataFrame:
+    """The report of one category, picked by id or by a pattern of its path; an error when there is none."""
+    chosen = pick_category(products, category_id, needle)
+    return category_report(category_rows(chosen, reviews_of(reviews, chosen), settings), settings)
+
+
 def reports(products: DataFrame, reviews: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Reports of all categories from raw tables."""
     return category_report(category_rows(canonical_products(products), canonical_reviews(reviews), settings), settings)

@@ -8,6 +8,7 @@ from marketlens.functions import cells
 from marketlens.functions.catalog import canonical_reviews
 from marketlens.functions.clean import brand_of, positive, sentiment, to_number, to_timestamp_lenient
 from marketlens.operators import selection as sel
+from marketlens.plans.export import export_largest
 from marketlens.plans.metrics import price_reference
 from marketlens.operators.products import price_quantiles
 from marketlens.plans.records import split_prompt_answer, validate_chat_records
@@ -15,7 +16,7 @@ from marketlens.plans.report import category_report, category_rows
 from marketlens.registry import tables as t
 from marketlens.registry.base import SETTINGS, json_sql, query, strip_sql
 from marketlens.session import scratch_path
-from marketlens.sources.catalog import read_catalog_csv, write_catalog_csv
+from marketlens.sources.catalog import csv_by_headers, read_catalog_csv, write_catalog_csv
 from marketlens.sources.documents import read_sft_jsonl, write_report_json, write_sft_jsonl
 
 RAW_TEXT_COLUMNS = ["category", "manufacturer", "price_trend", "specifications", "unit_price", "review_tags", "review_rating_distribution", "review_platform_distribution", "updated_at"]
@@ -76,24 +77,66 @@ def s5_s6(spark, d):
     )
 
 
-@query(
-    "s7_report_json",
-    """select m.category_id, category_name, (select count(*) from brand_top b where b.category_id = m.category_id) as n_items,
- (select count(*) from growth g where g.category_id = m.category_id) as n_points, round(price_ref, 6) as price_ref from metrics m""",
-)
+# Every entry of the documents; its SQL needs the texts of the reports and is registered with them.
+REPORT_ENTRIES = """select m.category_id, category_name, 'brand' as part, rn as place, brand as name, cast(score as double) as value, round(share, 6) as rate, round(price_ref, 6) as price_ref from metrics m join brand_top using (category_id)
+ union all select m.category_id, category_name, 'year', year - 1995, cast(year as varchar), round(estimated_revenue, 6), round(growth_rate, 6), round(m.price_ref, 6) from metrics m join growth using (category_id)
+ union all select m.category_id, category_name, 'overview', 1, market_overview, null, null, round(price_ref, 6) from metrics m join overview_texts using (category_id)
+ union all select m.category_id, category_name, 'growth', 1, growth_summary, null, null, round(price_ref, 6) from metrics m join growth_texts using (category_id)"""
+
+
+@query("s7_report_json")
 def s7(spark, d):
     path = scratch_path(spark, "reports")
     rows = category_rows(t.stored_products(spark, d), t.reviews(spark, d, texts=True), SETTINGS)
     write_report_json(category_report(rows, SETTINGS), path)
-    body = "categoryName string, charts struct<brandTop10Donut:struct<items:array<struct<name:string>>>,growthLine:struct<points:array<struct<year:int>>>>, assumptions struct<priceRef:double>"
+    body = """categoryName string, charts struct<brandTop10Donut:struct<items:array<struct<name:string,value:bigint,share:double>>>,growthLine:struct<points:array<struct<year:int,estimatedRevenue:double,growthRate:double>>>>,
+ summaries struct<marketOverviewSummary:string,growthSummary:string>, assumptions struct<priceRef:double>"""
     back = spark.read.text(path).select(F.col("category_id").cast("bigint").alias("category_id"), F.from_json("value", body).alias("r"))
-    return back.select(
-        "category_id",
-        F.col("r.categoryName").alias("category_name"),
-        F.size("r.charts.brandTop10Donut.items").alias("n_items"),
-        F.size("r.charts.growthLine.points").alias("n_points"),
-        F.col("r.assumptions.priceRef").alias("price_ref"),
+    none = F.lit(None).cast("double")
+
+    def entries(part, items, name, value, rate):
+        fields = [F.lit(part).alias("part"), F.transform(items, lambda x: F.struct(name(x).alias("name"), value(x).alias("value"), rate(x).alias("rate"))).alias("items")]
+        return F.struct(*fields)
+
+    parts = F.array(
+        entries("brand", F.col("r.charts.brandTop10Donut.items"), lambda x: x["name"], lambda x: x["value"].cast("double"), lambda x: x["share"]),
+        entries("year", F.col("r.charts.growthLine.points"), lambda x: x["year"].cast("string"), lambda x: x["estimatedRevenue"], lambda x: x["growthRate"]),
+        entries("overview", F.array("r.summaries.marketOverviewSummary"), lambda x: x, lambda x: none, lambda x: none),
+        entries("growth", F.array("r.summaries.growthSummary"), lambda x: x, lambda x: none, lambda x: none),
     )
+    each = back.select("category_id", "r", F.inline(parts))
+    items = each.select("category_id", F.col("r.categoryName").alias("category_name"), "part", F.posexplode("items").alias("place", "x"), F.col("r.assumptions.priceRef").alias("price_ref"))
+    return items.select("category_id", "category_name", "part", (F.col("place") + 1).alias("place"), "x.name", "x.value", "x.rate", "price_ref")
+
+
+MIXED = ["id", "category_id", "category", "manufacturer", "review_count", "average_rating", "min_price"]
+
+
+@query("s1_csv_mixed_headers", "select cast(id as varchar) as id, cast(category_id as varchar) as category_id, category, nullif(manufacturer, '') as manufacturer, case when (id % 3 + 3) % 3 < 2 then min_price end as min_price, case when (id % 3 + 3) % 3 = 2 then 'x' end as note from raw_products")
+def s1_mixed(spark, d):
+    root = scratch_path(spark, "mixed")
+    products = t.raw_products(spark, d).select(*MIXED)
+    # Three kinds of file in one folder: other orders, a missing column, a further one.
+    kinds = [MIXED, MIXED[::-1], [*MIXED[2:6], "note", *MIXED[:2]]]
+    for k, columns in enumerate(kinds):
+        part = products.withColumn("note", F.lit("x")).filter(F.pmod(F.col("id"), F.lit(3)) == k)
+        part.select(*columns).write.mode("append").options(header="true", escape='"', ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false", emptyValue='""').csv(root)
+    found = csv_by_headers(spark, root)
+    return found.select("id", "category_id", "category", F.nullif("manufacturer", F.lit("")).alias("manufacturer"), to_number(F.col("min_price")).alias("min_price"), "note")
+
+
+@query(
+    "e1_export_largest",
+    """select p.category_id, count(distinct p.id) as n_products, count(r.review_id) as n_reviews, sum(length(r.review_text)) as n_chars
+ from raw_products p join (select category_id from raw_products where category is not null and category_id is not null group by 1 having count(*) >= 10 order by count(*) desc, category_id limit 5) using (category_id) left join raw_reviews r on r.product_id = p.id group by 1""",
+)
+def e1(spark, d):
+    root = scratch_path(spark, "export")
+    export_largest(t.raw_products(spark, d), t.raw_reviews(spark, d, texts=True), root, 5)
+    products, reviews = read_catalog_csv(spark, f"{root}/products", f"{root}/reviews")
+    sizes = reviews.groupBy(F.col("product_id").alias("id")).agg(F.count("*").alias("n"), F.sum(F.length("review_text")).alias("chars"))
+    joined = products.join(sizes, "id", "left").groupBy(F.col("category_id").cast("bigint").alias("category_id"))
+    return joined.agg(F.count("*").alias("n_products"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_reviews"), F.sum("chars").alias("n_chars"))
 
 
 # Number text of three kinds: padded, with a unit, plain.

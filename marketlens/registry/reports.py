@@ -10,11 +10,13 @@ from marketlens.operators import growth as gr
 from marketlens.operators.draws import RING_DIGITS, SAMPLE_KEYS
 from marketlens.operators.keywords import product_words
 from marketlens.plans import narrative, records
-from marketlens.plans.metrics import listed
+from marketlens.operators.reviews import group_facts, review_facts
+from marketlens.plans.metrics import chosen_platforms, listed
 from marketlens.plans.phrases import BULLETS, ENTRY, GROWTH, OVERVIEW
-from marketlens.plans.report import category_report, category_rows, growth_points, overlay_summaries, reports_of_largest, template_summary
+from marketlens.plans.report import category_report, category_rows, growth_points, overlay_summaries, report_of_category, reports_of_largest, template_summary
 from marketlens.registry import base, tables as t
 from marketlens.registry.base import ORACLES, SETTINGS, int_sql, pct_sql, query, strip_sql, text_sql
+from marketlens.registry.cleaning import REPORT_ENTRIES
 from marketlens.registry.measures import DRAWS, RATIO, SAMPLES, brand_top, growth, metrics_rows
 from marketlens.session import materialise
 
@@ -52,13 +54,16 @@ base.STEPS.update(
         "overview_texts": f"""select category_id, array_to_string(list_filter([{text_sql(OVERVIEW['premise_named'], 'category_name')}, {text_sql(OVERVIEW['conclusion'], LEADERS, MATURITY)},
  {text_sql(OVERVIEW['competition'], STRUCTURE)}, {RATING}, {DECISION}, {text_sql(OVERVIEW['action'], FIRST_STEP, SECOND_STEP)}], lambda x: x is not null), ' ') as market_overview from labelled""",
         "growth_texts": f"""select category_id, case when coalesce(n_points, 0) = 0 then {text_sql(GROWTH['no_data'])} else array_to_string(list_filter([{text_sql(GROWTH['premise'])},
- case when max_growth is not null then {text_sql(GROWTH['flow'])} end, case when max_growth is not null then {text_sql(GROWTH['best_year'], 'cast(max_growth_year as varchar)')} end,
+ case when max_growth is not null then {text_sql(GROWTH['flow'], *(f"'{y}'" for y in (SETTINGS.start_year, SETTINGS.end_year)))} end, case when max_growth is not null then {text_sql(GROWTH['best_year'], 'cast(max_growth_year as varchar)')} end,
  case when min_growth < 0 then {text_sql(GROWTH['decline'])} end, case when max_growth is not null and recent_years >= 2 and recent_rates >= 1 then {text_sql(GROWTH['momentum'])} end,
  case when max_growth is not null then {text_sql(GROWTH['caveat'])} end], lambda x: x is not null), ' ') end as growth_summary from core left join extremes using (category_id)""",
     }
 )
 
 
+ORACLES["s7_report_json"] = base.with_steps(REPORT_ENTRIES)
+
+
 @query("r1_market_overview", "select category_id, market_overview from overview_texts")
 def r1(spark, d):
     return metrics_rows(spark, d).select("category_id", narrative.market_overview().alias("market_overview"))
@@ -68,7 +73,7 @@ def r1(spark, d):
 def r2(spark, d):
     groups = t.products(spark, d).select("category_id").distinct()
     extremes = gr.growth_extremes(growth(spark, d), recent_year=SETTINGS.recent_year)
-    return groups.join(extremes, "category_id", "left").select("category_id", narrative.growth_summary().alias("growth_summary"))
+    return groups.join(extremes, "category_id", "left").select("category_id", narrative.growth_summary(SETTINGS.start_year, SETTINGS.end_year).alias("growth_summary"))
 
 
 def lines(*items: str) -> str:
@@ -162,6 +167,45 @@ def r7(spark, d):
     return report_columns(category_report(rows(spark, d), SETTINGS))
 
 
+# Every entry of the ranked lists of a metrics row; segments under two products and channels after the second are not shown.
+LISTS = """select category_id, 'brand' as kind, rn as place, brand as name, score as n, round(share, 6) as share from brand_top
+ union all select category_id, 'tag', rn, word, n, null from word_top union all select category_id, 'segment', rn, segment, n, null from segment_top"""
+CHANNEL_LIST = """ union all select category_id, 'channel', rn, platform, review_count, null from (select *, row_number() over (partition by category_id order by review_count desc, platform) as rn from platforms) where rn <= 2"""
+
+
+def list_rows(found, lists: dict[str, str], fields: dict[str, tuple[str, str]]):
+    out = None
+    for kind, name in lists.items():
+        share = F.col("x.share") if kind == "brand" else F.lit(None).cast("double")
+        items = found.select("category_id", F.lit(kind).alias("kind"), F.posexplode(name).alias("place", "x"))
+        label, n = fields[kind]
+        part = items.select("category_id", "kind", (F.col("place") + 1).alias("place"), F.col(f"x.{label}").alias("name"), F.col(f"x.{n}").alias("n"), share.alias("share"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+FIELDS = {"brand": ("name", "reviewCount"), "tag": ("tag", "count"), "segment": ("segment", "count"), "channel": ("platform", "count")}
+
+
+@query("a30_lists", LISTS + CHANNEL_LIST)
+def a30_lists(spark, d):
+    found = materialise(metrics_rows(spark, d).select("category_id", "top_brands", "top_tags", "top_segments", "top_platforms"), "lists")
+    return list_rows(found, {"brand": "top_brands", "tag": "top_tags", "segment": "top_segments", "channel": "top_platforms"}, FIELDS)
+
+
+@query("r9_lists", LISTS)
+def r9_lists(spark, d):
+    found = materialise(records.model_input(rows(spark, d)).select("category_id", "input.metrics.*"), "lists")
+    return list_rows(found, {"brand": "topBrands", "tag": "topTags", "segment": "topSegments"}, FIELDS)
+
+
+@query("a30_platforms", "select category_id, platform, review_count from platforms")
+def a30_platforms(spark, d):
+    products = t.stored_products(spark, d)
+    facts = materialise(group_facts(review_facts(t.reviews(spark, d)), products), "facts")
+    return chosen_platforms(products, facts, facts.select("category_id").distinct())
+
+
 @query(
     "r8_template_summary",
     "select category_id, category_name, market_overview, growth_summary from metrics join overview_texts using (category_id) join growth_texts using (category_id)",
@@ -320,10 +364,23 @@ ORACLES["r11_sft_records"] = sample_sql(
 LARGEST = "(select category_id from products where category is not null group by 1 having count(*) >= 10 order by count(*) desc, category_id limit 20)"
 
 
-@query("r12_reports_of_largest", REPORT_SQL.format(texts="", join=f"where m.category_id in {LARGEST}"))
+@query("r12_reports_of_largest", f"{REPORT_TEXTS} where m.category_id in {LARGEST}")
 def r12(spark, d):
-    found = reports_of_largest(t.stored_products(spark, d), t.reviews(spark, d, texts=True), 20, 10, SETTINGS)
-    return report_columns(found).drop("market_overview", "growth_summary")
+    return report_columns(reports_of_largest(t.stored_products(spark, d), t.reviews(spark, d, texts=True), 20, 10, SETTINGS))
+
+
+@query("r7_report_by_id", f"{REPORT_TEXTS} where m.category_id = 104")
+def r7_by_id(spark, d):
+    return report_columns(report_of_category(t.stored_products(spark, d), t.reviews(spark, d, texts=True), category_id=104, settings=SETTINGS))
+
+
+# Every product of a supplier category has its path, so the pattern takes whole categories.
+MATCHING = "(select category_id from products where regexp_matches(category, 'Services > r') group by 1 order by count(*) desc, 1 limit 1)"
+
+
+@query("r7_report_by_pattern", f"{REPORT_TEXTS} where m.category_id = {MATCHING}")
+def r7_by_pattern(spark, d):
+    return report_columns(report_of_category(t.stored_products(spark, d), t.reviews(spark, d, texts=True), needle="Services > r", settings=SETTINGS))
 
 
 # Generated texts per category: several conversations fall on one category; the overlay takes the last.

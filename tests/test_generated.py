@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import generated as g
+from marketlens.operators import turns
 from marketlens.plans import quality
 from marketlens.plans.phrases import NO_GROWTH_TEXT
 
@@ -100,3 +101,42 @@ def test_repair_and_scores(spark):
     assert total.total_categories == 2 and total.json_valid_rate == 1.0 and total.avg_template_similarity == pytest.approx(got[1].template_similarity)
     empty = quality.evaluation_summary(scores.filter("false")).first()
     assert empty.total_categories == 0 and empty.avg_template_similarity == 0.0
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ('{"a": "x", "a": "y"}', "y"),
+        ('{"a": "x", "a": 3}', None),
+        ('{"a": 3, "b": {"c": 1, "c": 2}, "a": "z"}', "z"),
+        ('{"b": "x"}', None),
+        ('{"a": "x", }', None),
+        ("{'a': 'x'}", None),
+        ('{"a": NaN}', None),
+    ],
+)
+def test_repeated_keys_take_the_last_value(value_of_key, text, value):
+    assert value_of_key(text) == value
+
+
+@pytest.fixture
+def value_of_key(spark):
+    return lambda text: spark.createDataFrame([(text,)], "x string").select(g.json_text(g.first_json_object(F.col("x")), "a").alias("y")).first().y
+
+
+def test_exchanges_pair_neighbours_across_spans(spark, monkeypatch):
+    rows = [(1, k, role, f"{role}{k}") for k, role in enumerate(["system", "assistant", "user", "assistant", "user", "user", "assistant", "assistant", "user"])]
+    rows += [(2, 5 * k, role, f"{role}{k}") for k, role in enumerate(["user", "assistant"] * 4)] + [(3, 1, "assistant", "only")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    for span in (1000, 2):
+        monkeypatch.setattr(turns, "SPAN", span)
+        got = {(r.conv_id, r.turn): (r.question, r.answer) for r in turns.exchanges(df).collect()}
+        assert {k: v for k, v in got.items() if k[0] == 1} == {
+            (1, 1): (None, "assistant1"),
+            (1, 2): ("user2", "assistant3"),
+            (1, 4): ("user4", None),
+            (1, 5): ("user5", "assistant6"),
+            (1, 7): (None, "assistant7"),
+            (1, 8): ("user8", None),
+        }
+        assert [got[2, 10 * k] for k in range(4)] == [(f"user{2 * k}", f"assistant{2 * k + 1}") for k in range(4)] and got[3, 1] == (None, "only")

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
 from marketlens.plans import narrative, records, report
+from marketlens.plans.export import export_largest
 from marketlens.plans.phrases import BULLETS, ENTRY, GROWTH, OVERVIEW
 from marketlens.registry.cleaning import conversation_records  # noqa: F401
-from marketlens.sources.catalog import jdbc_options, read_catalog_csv, write_catalog_csv
+from marketlens.sources.catalog import bounds_query, key_predicates, read_catalog_csv, write_catalog_csv
 from marketlens.sources.documents import read_sft_jsonl, write_report_json, write_sft_jsonl
 
 PRODUCT_TYPES = "id bigint, category_id bigint, category string, manufacturer string, review_count bigint, average_rating double, min_price double, price_trend string, specifications string, unit_price string, review_tags string, review_rating_distribution string, review_platform_distribution string, updated_at string"
@@ -159,6 +160,34 @@ def test_csv_round_trip_keeps_quotes_and_line_breaks(spark, tmp_path, catalog):
     assert left == right
 
 
-def test_jdbc_reads_are_split_by_id():
-    got = jdbc_options("jdbc:postgresql://h/d", "s.reviews", "product_id", 0, 10, 4, user="u")
-    assert got["partitionColumn"] == "product_id" and got["numPartitions"] == "4" and got["user"] == "u"
+@pytest.mark.parametrize("keys", [list(range(100)), [5] * 60 + list(range(40)), ["b", "a'b", "c", "a"] * 5, [7], []])
+def test_jdbc_parts_hold_every_row_once(spark, keys):
+    """Bounds as the database would measure them deal all rows, also those without a key."""
+    kind = "string" if keys and isinstance(keys[0], str) else "bigint"
+    table = spark.createDataFrame([(k,) for k in [*keys, None, None]], f"k {kind}")
+    table.createOrReplaceTempView("measured")
+    query = bounds_query("measured", "k", 8)
+    bounds = [row.lower_bound for row in spark.sql(f"select * from {query}").collect()]
+    parts = [table.filter(p).count() for p in key_predicates("k", bounds)]
+    assert sum(parts) == len(keys) + 2 and len(parts) == max(1, len(set(bounds)))
+    if keys == list(range(100)):
+        assert max(parts) <= 15
+
+
+def test_report_of_a_picked_category(catalog):
+    products, reviews = catalog[0], catalog[1]
+    assert [r.categoryId for r in report.report_of_category(products, reviews, category_id=2).collect()] == [2]
+    with pytest.raises(ValueError, match="no product"):
+        report.report_of_category(products, reviews, needle="nowhere")
+
+
+def test_growth_text_names_the_years_of_the_series(spark):
+    row = spark.range(1).selectExpr("3 as n_points", "0.5 as max_growth", "1999 as max_growth_year", "-0.1 as min_growth", "2 as recent_years", "1 as recent_rates")
+    assert row.select(narrative.growth_summary(1996, 2001)).first()[0].count("1996년부터 2001년까지") == 1
+
+
+def test_export_of_the_largest(spark, catalog, tmp_path):
+    export_largest(*catalog[2], str(tmp_path), n=1)
+    products, reviews = read_catalog_csv(spark, f"{tmp_path}/products", f"{tmp_path}/reviews")
+    assert {r.category_id for r in products.select("category_id").distinct().collect()} == {"1"}
+    assert {r.product_id for r in reviews.select("product_id").collect()} <= {r.id for r in products.select("id").collect()}
