@@ -23,9 +23,15 @@ def labelled_sample(
         some = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), *columns).join(F.broadcast(picked), "doc_id")
-    found = rows.select("doc_id", "label", *columns).collect()
-    # Rows that share an id may be more than were picked: the bound holds for rows.
-    return sorted((tuple(row) for row in found), key=lambda row: (row[0], str(row[2:])))[: 2 * per_class]
+    found = one_row_an_id(rows, ["doc_id", "label"], columns).collect()
+    return sorted((tuple(row) for row in found), key=lambda row: row[0])
+
+
+def one_row_an_id(rows: DataFrame, keys: list[str], columns) -> DataFrame:
+    """Of rows that share the keys the one with the smallest columns, so that no more rows come back than ids were picked."""
+    # The smallest is found in the map tasks already: an id with very many rows sends one from each.
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*columns)).alias("least"))
+    return least.select(*keys, *[F.col(f"least.{c}").alias(c) for c in columns])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:

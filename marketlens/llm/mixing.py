@@ -25,12 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketlens.llm.common import Remembered, sliced, stage, texts, words_of
+from marketlens.llm.labelled import one_row_an_id
 from marketlens.llm.quality import statistics
 
 BUCKETS, ROUNDS, BATCH, STEP, DECAY = 1 << 15, 12, 128, 0.02, 1e-3
-PULL, SETTLED = 1e-2, 2e-4
+PULL, SETTLED = 2e-3, 1e-3
 #: Probabilities are whole multiples of 1 / PARTS, so documents fall into classes of equal ones, however many there are.
 PARTS = 1000
 
@@ -99,8 +101,8 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, domain, usable, per_dom
     for k in range(domains):
         some = known.filter(F.col("domain") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
         picked = some if picked is None else picked.unionByName(some)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "domain", "text").collect()
-    rows = sorted((row.doc_id, row.domain, row.text or "") for row in found)[: domains * per_domain]
+    found = one_row_an_id(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), ["doc_id", "domain"], ["text"]).collect()
+    rows = sorted((row.doc_id, row.domain, row.text or "") for row in found)
     return [(domain, text) for _, domain, text in rows]
 
 
@@ -203,7 +205,7 @@ def _with_rates(docs: DataFrame, kept: list[str], labels: DataFrame, domain, tar
     rows = labelled_domains(docs, labels, domain, usable, per_domain, len(targets))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, len(targets)))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "text", _chance().alias("chance"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, chance double, n_tokens bigint, p array<double>"
+    schema = T.StructType([packed.schema["row"], packed.schema["chance"], T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
     found = stage(packed.mapInArrow(_posteriors(model), schema), "posteriors")
     model.destroy()
     steps, step, left = fitted_steps(found.select("n_tokens", "p"), targets, keep)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.llm import common, lattice, mixing, near_dup, neighbours, packing, pii, quality, repeats, rules, toxicity
+from marketlens.llm import common, labelled, lattice, mixing, near_dup, neighbours, packing, pii, quality, repeats, rules, toxicity
 from marketlens.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -384,7 +384,8 @@ def test_mixing_meets_targets(spark, corpus):
     rows = found.withColumn("rate", mixing.state_of(steps, size)["r"]).collect()
     rate = np.array([r.rate for r in rows])
     tokens, q = np.array([r.n_tokens for r in rows]), np.array([r.p for r in rows])
-    assert rate.min() >= 0 and np.abs((rate * tokens) @ q / tokens.sum() - targets - -left).max() < 1e-9 and np.abs(left).max() < 5e-3
+    assert rate.min() >= 0 and np.abs((rate * tokens) @ q / tokens.sum() - targets).max() < 2e-3
+    assert np.allclose((rate * tokens) @ q / tokens.sum() + left, targets)
 
 
 def test_pipeline_stages(spark, corpus):
@@ -447,18 +448,19 @@ def test_mixing_without_rows_labels_or_free_names(spark, corpus):
 
 
 def test_pii_links_add_labelled_twins_and_nothing_else(spark):
-    """A mention that no pattern finds takes its twin's label; numbers that only repeat each other stay."""
+    """A mention that the pattern misses takes its twin's label; numbers that only repeat each other stay."""
     random = np.random.default_rng(6)
-    digits = lambda n: "".join(map(str, random.integers(0, 10, n)))
-    phones = ["2" + digits(10) for _ in range(200)]
-    rows = [(k, f"call +{x} now or {x} later, call {x} again") for k, x in enumerate(phones)]
-    bad = [x for x in (digits(16) for _ in range(400)) if not pii._luhn(x)][:200]
-    rows += [(1000 + k, f"number {x} and {x} and again {x}") for k, x in enumerate(bad)]
+    numbers = ["4" + "".join(map(str, random.integers(0, 10, 15))) for _ in range(6000)]
+    good = [x for x in numbers if pii._luhn(x) and not pii._luhn("12" + x)][:200]
+    bad = [x for x in numbers if not pii._luhn(x) and not pii._luhn("12" + x)][:200]
+    rows = [(k, f"card {x} paid; order 12 {x} again") for k, x in enumerate(good)]
+    rows += [(1000 + k, f"number {x} paid; order 12 {x} and again {x}") for k, x in enumerate(bad)]
     found = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert all(found[1000 + k].spans == "" for k in range(200))
-    assert all(found[k].n_phone == 1 for k in range(200))
-    added = sum(found[k].spans.count("phone") - 1 for k in range(200))
-    assert added > 0 and "card" not in "".join(r.spans for r in found.values())
+    assert all(found[k].n_card == 1 for k in range(200))
+    twins = sum("card:37:53" in found[k].spans.split(",") for k in range(200))
+    print("twins", twins)
+    assert twins >= 100
 
 
 def test_pii_long_words_take_linear_time():
@@ -470,3 +472,10 @@ def test_pii_long_words_take_linear_time():
     assert perf_counter() - start < 2
     words = "a 1b é2 3 x@y ..4\n5"
     assert [words[s:e] for s, e in pii._tokens(words)] == [m.group() for m in re.finditer(r"\S*[0-9@]\S*", words)]
+
+
+def test_a_repeated_id_sends_one_row_to_the_sample(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None)] + [(3, f"t{k:04}") for k in range(3000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert labelled.labelled_sample(docs, labels, "quality", F.lit(True), 10) == [(1, 1, "a"), (2, 0, None), (3, 0, "t0000")]
+    assert mixing.labelled_domains(docs, labels, mixing.label_domain(), F.lit(True), 10, 4) == [(0, "a"), (3, ""), (2, "t0000")]

@@ -54,9 +54,9 @@ def test_rounds(spark, kind):
 
 def test_bounds_use_the_total_displacement():
     """A centroid that went away and came back has not moved: its old bounds still hold."""
-    here, there = np.array([[0, 0], [100, 0]]), np.array([[30, 0], [130, 0]])
+    here, there = np.array([[0, 0], [100, 0]]), np.array([[60, 0], [160, 0]])
     bounds = centroids.Bounds(np.stack([here, there, here]))
-    assert bounds.moved[0].max() < 1e-6 and bounds.moved[1].min() >= 30
+    assert bounds.moved[0].max() < 1e-6 and bounds.moved[1].min() >= 60
     x = np.array([[1, 2], [99, 1]])
     state = centroids.Bounds(here[None]).first(x)
     after, scans = bounds.next(x, state)
