@@ -128,5 +128,6 @@ def report_of_category(
 
 
 def reports(products: DataFrame, reviews: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Reports of all categories from raw tables."""
-    return category_report(category_rows(canonical_products(products), canonical_reviews(reviews), settings), settings)
+    """Reports of all categories from raw tables. Cells are parsed once: several branches read the canonical catalog."""
+    catalog = materialise(canonical_products(products), "catalog")
+    return category_report(category_rows(catalog, canonical_reviews(reviews), settings), settings)
