@@ -22,25 +22,36 @@ from marketlens.llm.quality import good_rows
 #: never dropped and no others copied, so where fewer than these shares are toxic the rest goes to clean ones.
 TARGETS = [0.96, 0.04, 0.0, 0.0]
 CLEAN = 0
+#: Rows of an Arrow batch. Rows hold whole texts, and a task holds its batch several times over, on both sides of Arrow.
+BATCH_ROWS = "500"
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return good_rows(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return unrepeated_rows(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return redacted_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixed_rows(docs, read_table(spark, sf_dir, "labels"), label_domain(), TARGETS, crc_mod("doc_id", 5) != 0, keep=CLEAN)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=2)
 
 
