@@ -46,6 +46,8 @@ def sliced(batches: Iterator[pa.RecordBatch], most: int = 1 << 23) -> Iterator[p
         rows = max(1, int(most * batch.num_rows / max(batch.nbytes, 1)))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    # A worker goes on to tasks of other stages: what Arrow keeps for later goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(text: bytes) -> list[bytes]:
