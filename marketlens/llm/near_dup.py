@@ -9,10 +9,12 @@ At a similarity of exactly 0.75 a chunk has at most one differing lane with prob
 pair misses all ten with 1.5e-6; the chance falls quickly above 0.75.
 
 Groups of copies never turn into all their pairs. Equal sets are one class. In each bucket the
-smallest class is held against the others; links found make components. Classes that share buckets
-with other components, and have enough of their shingles there, make families; a family is cut into
-blocks, and each pair of blocks looks for links between components with an inverted list of
-shingles. Only links leave such a task, never the pairs that were looked at.
+smallest class is held against the others; links found make components. What then is left to look at
+are classes whose buckets hold several components. A link needs 3/7 of both sizes together in common,
+so by the prefix filter two linked sets share one of their rarest shingles, of which each has few
+enough to lie before the last three quarters of its set. Sets are dealt by those shingles; in the list
+of one, only sets outside its commonest component meet the others, and only pairs whose places in both
+sets leave room for a link come out and are confirmed.
 
 Empty cases: documents without words have no shingles and no links; an empty table gives an empty
 result. A null id is its own component (null) and kept. Rows that share an id count as one document.
@@ -23,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,8 +34,6 @@ from marketlens.llm.common import U64, components, hashed, mixed, sliced, stage,
 
 WIDTH = 5
 CHUNKS, LANES = 10, 4
-#: Shingles of one block of a family.
-BLOCK_SHINGLES = 1_000_000
 _RANDOM = np.random.default_rng(20240229)
 _PLACE = _RANDOM.integers(0, 2**63, WIDTH, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _FACTORS = _RANDOM.integers(0, 2**63, CHUNKS * LANES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -114,11 +113,11 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 64):
             batch = whole.slice(at, 64)
-            found = batch.column(3).to_pylist()
+            found = batch.column(2).to_pylist()
             sizes = [len(x) // 8 for x in found]
-            repeated = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(3)]
+            repeated = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(2)]
             shingles = pa.array(np.frombuffer(b"".join(found), np.int64))
-            yield pa.RecordBatch.from_arrays([*repeated, shingles], names=["node", "n", "component", "shingle"])
+            yield pa.RecordBatch.from_arrays([*repeated, shingles], names=["set", "component", "shingle"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +166,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = stage(components(links), "components")
     # Classes of one bucket that are in different components and were not held against each other.
     labelled = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = stage(
-        labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"),
-        "split",
-    )
-    rest = stage(labelled.join(split, "key"), "rest")
-    rest = able(sets, rest)
-    extra = stage(links_of_families(sets, rest), "extra")
+    split = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    rest = stage(labelled.join(split, "key", "left_semi").select("node", "component").distinct(), "rest")
+    extra = links_between(sets, rest)
     if extra.limit(1).count():
         found = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(extra)), "components")
     of_class = classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
@@ -193,69 +188,56 @@ def sets_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     return stage(found.filter("length(shingles) > 0"), "sets")
 
 
-def able(sets: DataFrame, rest: DataFrame) -> DataFrame:
-    """Bucket rows whose class can still be linked to another component.
+def links_between(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All links (a, b) between sets of different components, from (node, component)."""
+    sets = sets.withColumn("set", F.xxhash64("node", "shingles"))
+    size = (F.length("shingles") / 8).cast("bigint").alias("n")
+    known = stage(sets.select("set", "node", size).join(nodes, "node").distinct(), "nodes")
+    listed = _listed_sets(sets, known)
+    # Three quarters of a linked set occur in some other component; without sets that fall short others may fall short too.
+    abroad = stage(_abroad(listed), "abroad")
+    able = listed.join(abroad.select("shingle"), "shingle").groupBy("set").agg(F.count("*").alias("m"))
+    known = stage(able.join(known, "set").filter("100 * m >= 75 * n").drop("m"), "able")
+    held = stage(postings(sets, known), "postings")
+    return confirmed(sets, stage(candidates(held), "candidates"))
+
+
+def _listed_sets(sets: DataFrame, known: DataFrame) -> DataFrame:
+    found = sets.join(known.select("set", "component"), "set").select("set", "component", "shingles")
+    return found.mapInArrow(_listed, "set bigint, component bigint, shingle bigint")
+
+
+def _abroad(listed: DataFrame) -> DataFrame:
+    """Shingles that occur in several components, and in how many sets."""
+    found = listed.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("uses"))
+    return found.filter("x < y").select("shingle", "uses")
+
 
-    A link needs three quarters of the class's shingles in one class elsewhere, so in particular
-    three quarters of them must occur in some other component that shares buckets. Classes that
-    fall short cannot link; without them others may fall short too: two rounds drop nearly all that can be dropped.
+def postings(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(shingle, at, node, n, component): the shingles of each set that come before the last three quarters of it, rarest first.
+
+    Shingles of one component only are the rarest of all and need no row. `at` is a shingle's place in its whole set, from 1.
     """
-    nodes = stage(rest.select("node", "n", "component").distinct(), "nodes")
-    for _ in range(2):
-        here = sets.join(nodes, "node").select("node", "n", "component", "shingles")
-        here = here.mapInArrow(_listed, "node bigint, n bigint, component bigint, shingle bigint")
-        abroad = stage(
-            here.groupBy("shingle").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("shingle"),
-            "abroad",
-        )
-        left = stage(
-            here.join(abroad, "shingle").groupBy("node", "n", "component").agg(F.count_distinct("shingle").alias("m")).filter("100 * m >= 75 * n"),
-            "able",
-        ).drop("m")
-        nodes = left
-    return rest.join(nodes.select("node"), "node", "left_semi")
-
-
-def links_of_families(sets: DataFrame, rest: DataFrame) -> DataFrame:
-    """All links (a, b) between classes of different components that share buckets, directly or through others."""
-    first = stage(rest.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last"), "first")
-    joined = stage(rest.join(first, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "joined")
-    families = components(joined).select("node", F.col("component").alias("family"))
-    nodes = rest.select("node", "n", "component").distinct().join(families, "node")
-    sizes = nodes.groupBy("family").agg(F.sum("n").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    nodes = stage(
-        nodes.join(sizes.select("family", F.ceil(F.col("size") / BLOCK_SHINGLES).cast("int").alias("blocks")), "family")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .select("node", "component", "family", "block", "blocks"),
-        "families",
+    listed = _listed_sets(sets, known)
+    shared = listed.join(stage(_abroad(listed), "uses"), "shingle")
+    ranked = shared.groupBy("set").agg(F.sort_array(F.collect_list(F.struct("uses", "shingle"))).alias("rare")).join(known, "set")
+    ranked = ranked.withColumn("m", F.size("rare")).withColumn("most", F.expr("cast(m - (3 * n + 3) div 4 + 1 as int)")).filter("most > 0")
+    return ranked.select("node", "n", "m", "component", F.posexplode(F.slice("rare", 1, F.col("most"))).alias("place", "x")).select(
+        "x.shingle", (F.col("n") - F.col("m") + F.col("place") + 1).alias("at"), "node", "n", "component"
+    )
+
+
+def candidates(held: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, from postings."""
+    counted = held.groupBy("shingle", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("shingle").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("several"))
+    outside = held.join(main.filter("several > 1").drop("several"), "shingle").filter("component <> main")
+    met = outside.alias("x").join(held.alias("y"), "shingle").filter(
+        "x.component <> y.component and (y.component = main or x.node < y.node) "
+        "and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) "
+        "and 7 * (1 + least(x.n - x.at, y.n - y.at)) >= 3 * (x.n + y.n)"
     )
-    copies = sets.join(nodes, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = copies.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "shingles")
-    return pairs.groupBy("family", "i", "j").applyInPandas(_family_links, "a bigint, b bigint")
-
-
-def _family_links(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between the two blocks of a group, or within its only one, by counting shared shingles through inverted lists."""
-    frame = frame.sort_values("node")
-    sets = [np.frombuffer(x, U64) for x in frame["shingles"]]
-    node, component, block = (frame[c].to_numpy() for c in ("node", "component", "block"))
-    cross = frame["i"].iloc[0] != frame["j"].iloc[0]
-    sizes = np.array([len(x) for x in sets])
-    shingle, place = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(place, kind="stable")
-    listed, edge = owner[order], np.searchsorted(place[order], np.arange(len(shingle) + 1))
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for x in range(len(sets)):
-        lists = place[starts[x] : starts[x + 1]]
-        shared = np.bincount(np.concatenate([listed[edge[k] : edge[k + 1]] for k in lists.tolist()]), minlength=len(sets))
-        union = sizes[x] + sizes - shared
-        good = (100 * shared >= 75 * union) & (component != component[x]) & (node > node[x])
-        if cross:
-            good &= block != block[x]
-        out += [(node[x], node[y]) for y in np.flatnonzero(good)]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -87,24 +87,36 @@ def _alike(a: str, b: str) -> bool:
     return 100 * len(x & y) >= 75 * len(x | y)
 
 
-def test_families_lose_no_link():
-    """Blocks of a family give every link between components that comparing all sets gives."""
+def test_rare_shingles_lose_no_link(spark, corpus):
+    """Sets that share a shingle list give every link between components that comparing all sets gives, and few other pairs."""
     random = np.random.default_rng(3)
-    sets = [np.sort(random.choice(60, 52, replace=False)).astype(np.uint64) for _ in range(60)]
-    import pandas as pd
-
-    rows = [(1, 0, k % 2, k % 2, k, k % 5, s.tobytes()) for k, s in enumerate(sets)]
-    columns = ["family", "i", "j", "block", "node", "component", "shingles"]
-    whole = pd.DataFrame(rows, columns=columns).assign(i=0, j=0, block=0)
-    got = {tuple(x) for x in near_dup._family_links(whole).to_numpy()}
+    sets = [np.sort(random.choice(60, random.integers(44, 56), replace=False)).astype(np.uint64) * np.uint64(2**40 + 1) for _ in range(60)]
+    sets += [np.concatenate([np.arange(80), 1000 * k + np.arange(20)]).astype(np.uint64) for k in range(1, 80)]
+    held = spark.createDataFrame([(k, s.tobytes()) for k, s in enumerate(sets)], "node bigint, shingles binary")
+    nodes = spark.createDataFrame([(k, k % 5 if k < 60 else k) for k in range(len(sets))], "node bigint, component bigint")
+    got = {tuple(x) for x in near_dup.links_between(held, nodes).collect()}
     want = set()
-    for a in range(60):
-        for b in range(a + 1, 60):
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
             both = len(np.intersect1d(sets[a], sets[b]))
-            if a % 5 != b % 5 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            if (a % 5 != b % 5 if b < 60 else True) and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 want.add((a, b))
     assert got == want and want
 
+    # 79 sets with 80 of 100 shingles in common are no links, and no pair of them comes out to be looked at.
+    family = held.filter("node >= 60").withColumn("set", F.col("node"))
+    known = family.select("set", "node", F.lit(100).cast("bigint").alias("n"), F.col("node").alias("component"))
+    lists = near_dup.postings(family, known)
+    assert lists.count() > 0 and near_dup.candidates(lists).count() == 0
+
+
+def test_one_component_in_a_list_meets_nobody(spark):
+    """A hot list costs what lies outside its commonest component."""
+    rows = [(7, 1, k, 10, 1 if k < 900 else k) for k in range(902)]
+    held = spark.createDataFrame(rows, "shingle bigint, at bigint, node bigint, n bigint, component bigint")
+    assert near_dup.candidates(held).count() == 2 * 900 + 1
+    assert near_dup.candidates(held.filter("node < 900")).count() == 0
+
 
 def test_packing_is_whole(spark, corpus):
     import public_tokenizers
