@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from marketlens.functions.text import word_rows
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.selection import product_lookup
+from marketlens.session import materialise
+
+#: Rows of a lookup that may be sent to all tasks, two numbers each; with more, both sides are shuffled by product.
+SENT_PRODUCTS = 2_000_000
 
 
 def product_words(reviews: DataFrame, text: Column | None = None) -> DataFrame:
@@ -17,12 +21,22 @@ def product_words(reviews: DataFrame, text: Column | None = None) -> DataFrame:
     return word_rows(reviews, ["product_id"], text).groupBy("product_id", "word").agg(F.count("*").alias("n"))
 
 
-def words_of_groups(words: DataFrame, lookup: DataFrame, keys=BY_CATEGORY) -> DataFrame:
-    """Counts per group and word from counts per product; ``lookup`` has one row per group and product."""
-    return words.join(lookup, "product_id").groupBy(*keys, "word").agg(F.sum("n").alias("n"))
+def words_of_groups(reviews: DataFrame, lookup: DataFrame, keys=BY_CATEGORY, text: Column | None = None) -> DataFrame:
+    """Counts per group and word; ``lookup`` has one row per group and product.
+
+    Groups and their words are far fewer than products and theirs: repeats are added up where texts are read, and what a
+    task holds or shuffles is bounded by the words of all groups. The lookup is counted, and sent to all tasks up to
+    SENT_PRODUCTS. Beyond that texts meet it by a hash of the product, without a sort, where the skew-join rule splits
+    a product with a third of all reviews.
+    """
+    lookup = materialise(lookup.select(*keys, "product_id"), "lookup")
+    lookup = F.broadcast(lookup) if lookup.count() <= SENT_PRODUCTS else lookup.hint("shuffle_hash")
+    text = F.col("review_text") if text is None else text
+    placed = reviews.select("product_id", text.alias("review_text")).join(lookup, "product_id")
+    return word_rows(placed, list(keys), F.col("review_text")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
 def keyword_counts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """Words of reviews whose product has a brand."""
     lookup = product_lookup(products, keys).filter(F.col("brand").isNotNull()).drop("brand")
-    return words_of_groups(product_words(reviews.filter(F.col("review_text").isNotNull())), lookup, keys)
+    return words_of_groups(reviews.filter(F.col("review_text").isNotNull()), lookup, keys)

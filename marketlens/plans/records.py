@@ -120,7 +120,7 @@ def insights_of_categories(
     # Narrow rows first: texts are counted where they are read and fetched for the picked few.
     pool = materialise(texts.select("product_id", "review_id", "rating").join(lookup, "product_id"), "rated")
     counts = pool.groupBy(*keys).agg(F.count("*").alias("text_count"))
-    found = words_of_groups(product_words(texts, keyword_text(keyword_chars)), lookup, keys)
+    found = words_of_groups(texts, lookup, keys, keyword_text(keyword_chars))
     words = listed(top_k(found, keys, by_score("n", "word"), keywords), keys, "top_keywords", {"tag": "word", "count": "n"})
     picked = first_examples(with_sentiment(pool), keys, max(positive, negative))
     shorts = shown(keep_limits(picked, positive, negative), texts, chars)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
 from marketlens.operators import brands, draws, examples, growth, products as prod, ranking, reviews as rev, selection as sel
+from marketlens.operators import keywords
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
 from marketlens.operators.segments import top_segments
@@ -181,6 +182,22 @@ def test_keywords_leave_out_brandless_reviews(catalog):
     assert got == {("좋아요", 1), ("soft", 2), ("나빠요", 1), ("hard", 1)}
 
 
+@pytest.mark.parametrize("sent", [keywords.SENT_PRODUCTS, 0])
+def test_keywords_are_added_up_per_group(spark, monkeypatch, sent):
+    """Neither way counts words per product first, of which there are nearly as many as words in all texts."""
+    monkeypatch.setattr(keywords, "SENT_PRODUCTS", sent)
+    rows = [(1, 10, "c", "b"), (1, 20, "c", "b"), (1, 10, "c", "b"), (2, 10, "c", ""), (3, 20, "c", "x"), (None, 20, "c", "x")]
+    products = canonical_products(spark.createDataFrame(rows, "id bigint, category_id bigint, category string, manufacturer string"))
+    texts = [(1, "Ab ab 가나cd"), (1, "ab"), (2, "ab"), (3, "cd cd"), (3, None), (4, "ab"), (None, "ab")]
+    reviews = canonical_reviews(spark.createDataFrame(texts, "product_id bigint, review_text string"))
+    counts = keyword_counts(reviews, products)
+    got = {(r.category_id, r.word): r.n for r in counts.collect()}
+    assert got == {(10, "ab"): 3, (10, "가나"): 1, (10, "cd"): 1, (20, "ab"): 3, (20, "가나"): 1, (20, "cd"): 3}
+    plan = counts._jdf.queryExecution().executedPlan().toString().splitlines()
+    grouped = [line.split("functions=")[0] for line in plan if "Aggregate(" in line and "word" in line]
+    assert grouped and all("category_id" in line and "product_id" not in line for line in grouped)
+
+
 def test_selection(catalog):
     products, _ = catalog
     assert sel.filter_category_contains(products, "X|Y").select("category_id").distinct().first()[0] == 10
