@@ -10,30 +10,28 @@ from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.selection import product_lookup
 from marketlens.session import materialise
 
-#: Rows of a lookup that may be sent to all tasks, two numbers each; with more, both sides are shuffled by product.
+#: Rows of a lookup that may be sent to all tasks, a few short values each; with more, both sides are shuffled.
 SENT_PRODUCTS = 2_000_000
 
 
-def product_words(reviews: DataFrame, text: Column | None = None) -> DataFrame:
-    """(product_id, word, n). Repeats are added up inside each map task, so no text is shuffled, and the words
-    of one product are dealt out by word: a product with a third of all reviews is no hot key."""
-    text = F.col("review_text") if text is None else text
-    return word_rows(reviews, ["product_id"], text).groupBy("product_id", "word").agg(F.count("*").alias("n"))
+def sent(rows: DataFrame) -> DataFrame:
+    """A stored table with the hint for a join: to all tasks up to SENT_PRODUCTS rows, else by a hash of the keys."""
+    return F.broadcast(rows) if rows.count() <= SENT_PRODUCTS else rows.hint("shuffle_hash")
 
 
-def words_of_groups(reviews: DataFrame, lookup: DataFrame, keys=BY_CATEGORY, text: Column | None = None) -> DataFrame:
+def words_of_groups(reviews: DataFrame, lookup: DataFrame, keys=BY_CATEGORY, text: Column | None = None, only: DataFrame | None = None) -> DataFrame:
     """Counts per group and word; ``lookup`` has one row per group and product.
 
     Groups and their words are far fewer than products and theirs: repeats are added up where texts are read, and what a
     task holds or shuffles is bounded by the words of all groups. The lookup is counted, and sent to all tasks up to
     SENT_PRODUCTS. Beyond that texts meet it by a hash of the product, without a sort, where the skew-join rule splits
-    a product with a third of all reviews.
+    a product with a third of all reviews. ``only``, a stored table of distinct words with some of the keys, leaves out all others.
     """
-    lookup = materialise(lookup.select(*keys, "product_id"), "lookup")
-    lookup = F.broadcast(lookup) if lookup.count() <= SENT_PRODUCTS else lookup.hint("shuffle_hash")
     text = F.col("review_text") if text is None else text
-    placed = reviews.select("product_id", text.alias("review_text")).join(lookup, "product_id")
-    return word_rows(placed, list(keys), F.col("review_text")).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    placed = reviews.select("product_id", text.alias("review_text")).join(sent(materialise(lookup.select(*keys, "product_id"), "lookup")), "product_id")
+    words = word_rows(placed, list(keys), F.col("review_text"))
+    words = words if only is None else words.join(sent(only), only.columns)
+    return words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
 
 
 def keyword_counts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:

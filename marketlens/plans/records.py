@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from marketlens.functions.text import squash_truncate
 from marketlens.operators import draws
 from marketlens.operators.draws import SAMPLE_KEYS
 from marketlens.operators.examples import fetch_texts, first_examples, with_sentiment
-from marketlens.operators.keywords import product_words, words_of_groups
+from marketlens.operators.keywords import words_of_groups
 from marketlens.operators.products import BY_CATEGORY, PLACES, product_sums, product_values, value_measures
 from marketlens.operators.quantiles import quantiles_of_counts
 from marketlens.operators.ranking import by_score, top_k
@@ -23,6 +26,8 @@ from marketlens.session import materialise
 
 REPORT_TYPE = "market_report_summary"
 KEYWORDS, POSITIVE, NEGATIVE, EXAMPLE_CHARS = 10, 3, 2, 180
+#: Words of a category that are counted per product before it is known which can come first in a sample; any others are counted then.
+FIRST_WORDS = 3 * LIST_SIZE
 JSON = {"ignoreNullFields": "false"}
 
 
@@ -127,6 +132,16 @@ def insights_of_categories(
     return counts.join(words, keys, "left").join(example_lists(shorts, keys), keys, "left")
 
 
+@dataclass(frozen=True)
+class WordCounts:
+    """Words as (category_id, branded, word, n); the first of each category, with counts per left-out product; how to count others."""
+
+    totals: DataFrame
+    first: DataFrame
+    of_first: DataFrame
+    per_product: Callable[[DataFrame], DataFrame]
+
+
 class Samples:
     """Samples of the chosen categories, known by what they leave out; what their measures share is written once."""
 
@@ -179,19 +194,44 @@ class Samples:
         names = ["category_id", "kind", "name"]
         return draws.top_candidates(totals, lambda some: per_product.join(some, names), self.excluded, self.names, k)
 
-    def words(self, words: DataFrame, k: int, branded: bool) -> DataFrame:
+    def word_counts(self, reviews: DataFrame) -> WordCounts:
+        """Words of texts summed per category; per left-out product only those that come first in their category."""
+        keys = ["category_id", "word"]
+        texts = with_text(reviews)
+        lookup = self.lookup.withColumn("branded", F.col("brand").isNotNull()).drop("brand")
+        totals = materialise(words_of_groups(texts, lookup, ["category_id", "branded"]), "words")
+        first = [top_k(rows.groupBy(*keys).agg(F.sum("n").alias("n")), ["category_id"], by_score("n", "word"), FIRST_WORDS) for rows in (totals, totals.filter("branded"))]
+        first = materialise(first[0].unionByName(first[1]).select(*keys).distinct(), "first-words")
+        left_out = materialise(lookup.join(self.excluded.select("category_id", "draw_key"), ["category_id", "draw_key"], "left_semi"), "left-out-lookup")
+
+        def per_product(some: DataFrame) -> DataFrame:
+            return materialise(words_of_groups(texts, left_out, ["category_id", "draw_key", "branded"], only=some), "product-words")
+
+        return WordCounts(totals, first, per_product(first), per_product)
+
+    def words(self, words: WordCounts, k: int, branded: bool) -> DataFrame:
         """(sample, word, n) of the words that can be among a sample's k most frequent."""
-        lookup = self.lookup.filter(F.col("brand").isNotNull()) if branded else self.lookup
-        placed = words.join(lookup.drop("brand"), "product_id").select("category_id", "draw_key", F.lit(WORD).alias("kind"), F.col("word").alias("name"), "n")
-        return self.most_frequent(placed, k).select(*SAMPLE_KEYS, F.col("name").alias("word"), "n")
+
+        def of_kind(rows: DataFrame, *by: str) -> DataFrame:
+            kept = rows.filter("branded") if branded else rows
+            return kept.groupBy("category_id", *by, F.lit(WORD).alias("kind"), F.col("word").alias("name")).agg(F.sum("n").alias("n"))
+
+        def rows_of(some: DataFrame) -> DataFrame:
+            wanted = materialise(some.select("category_id", F.col("name").alias("word")), "wanted-words")
+            rest = materialise(wanted.join(words.first, ["category_id", "word"], "left_anti"), "other-words")
+            rows = words.of_first if rest.isEmpty() else words.of_first.unionByName(words.per_product(rest))
+            return of_kind(rows.join(wanted, ["category_id", "word"], "left_semi"), "draw_key")
+
+        totals = materialise(of_kind(words.totals), "totals")
+        return draws.top_candidates(totals, rows_of, self.excluded, self.names, k).select(*SAMPLE_KEYS, F.col("name").alias("word"), "n")
 
 
 def insights_of_samples(
-    samples: Samples, reviews: DataFrame, words: DataFrame, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS
+    samples: Samples, reviews: DataFrame, words: WordCounts, keywords=KEYWORDS, positive=POSITIVE, negative=NEGATIVE, chars=EXAMPLE_CHARS
 ) -> DataFrame:
     """Insights for training, per category and sample: blanks kept, examples drawn by hash.
 
-    ``words`` are counts per product. Counts are those of the category less what a sample leaves out; examples
+    ``words`` are those of ``word_counts``. Counts are those of the category less what a sample leaves out; examples
     are drawn on review ids, and only the texts of the drawn are looked up.
     """
     keys = SAMPLE_KEYS
@@ -242,7 +282,7 @@ def sample_rows(
     chosen = materialise(products_of(products, largest_categories(products, max_categories, min_products, need_path=False)), "chosen")
     drawn = Samples(chosen, samples, ratio, min_products, seed)
     grouped = materialise(drawn.facts(reviews), "sample-facts")
-    words = materialise(product_words(with_text(reviews)), "words")
+    words = drawn.word_counts(reviews)
     top = drawn.words(words, LIST_SIZE, branded=True)
     # The name of a sample is that of its whole category.
     measured = metrics_of_parts(drawn.product_sums(), drawn.values(), drawn.names_of_products(), grouped, top, category_path(chosen), SAMPLE_KEYS)

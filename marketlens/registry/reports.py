@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import growth as gr
 from marketlens.operators.draws import RING_DIGITS, SAMPLE_KEYS
-from marketlens.operators.keywords import product_words
 from marketlens.plans import narrative, records
 from marketlens.operators.reviews import group_facts, review_facts
 from marketlens.plans.metrics import chosen_platforms, listed
@@ -309,8 +308,7 @@ SAMPLE_INSIGHTS = "select category_id // 1000 as category_id, category_id % 1000
 def r10_samples(spark, d):
     reviews = t.reviews(spark, d, texts=True)
     samples = records.Samples(t.stored_products(spark, d), SAMPLES, RATIO, 10, 42)
-    words = materialise(product_words(records.with_text(reviews)), "words")
-    return insight_rows(records.insights_of_samples(samples, reviews, words), SAMPLE_KEYS)
+    return insight_rows(records.insights_of_samples(samples, reviews, samples.word_counts(reviews)), SAMPLE_KEYS)
 
 
 ORACLES["r10_sample_insights"] = sample_sql(SAMPLE_INSIGHTS)

@@ -1,6 +1,7 @@
 """Metrics rows, texts, reports and training records end to end on a small catalog."""
 
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,31 @@ def test_training_records(catalog, spark, tmp_path):
             assert "reviewInsights" not in user and user["growthData"] == []
 
 
+@pytest.mark.parametrize("first", [records.FIRST_WORDS, 1])
+def test_words_of_samples(spark, monkeypatch, first):
+    """Words come first in a sample as by plain counting; per product only a few words of left-out products are counted."""
+    monkeypatch.setattr(records, "FIRST_WORDS", first)
+    brand = lambda i: None if i % 4 == 0 else "b"
+    products = canonical_products(spark.createDataFrame([(i, i % 2, "c", brand(i)) for i in range(60)], "id bigint, category_id bigint, category string, manufacturer string"))
+    word = lambda n: "w" + "abcdefghijkl"[n]
+    texts = [(i, " ".join(word(n) for n in range(12) if (i * 7 + n * 5 + j) % (n + 2) == 0)) for i in range(61) for j in range(2)]
+    reviews = canonical_reviews(spark.createDataFrame([*texts, (1, None)], "product_id bigint, review_text string"))
+    samples = records.Samples(products, 3, 0.7, 10, 42)
+    words = samples.word_counts(reviews)
+    gone = {(r.category_id, r.sample_idx, r.id) for r in samples.excluded.collect()}
+    assert gone
+    some = {(r.category_id, int(r.draw_key)) for r in words.of_first.collect()}
+    assert some and some <= {(c, i) for c, _, i in gone}
+    assert words.of_first.select("category_id", "word").distinct().count() <= 2 * 2 * first
+    for branded in (True, False):
+        got = {}
+        for r in samples.words(words, 4, branded).collect():
+            got.setdefault((r.category_id, r.sample_idx), []).append((-r.n, r.word))
+        for c, s in [(c, s) for c in range(2) for s in range(3)]:
+            want = Counter(w for i, t in texts if i < 60 and i % 2 == c and (c, s, i) not in gone and not (branded and brand(i) is None) for w in t.split())
+            assert sorted(got[c, s])[:4] == sorted((-n, w) for w, n in want.items())[:4]
+
+
 def test_insights_for_inference(catalog):
     row = records.insights_of_categories(catalog[0], catalog[1]).withColumn("i", records.insight_columns()).collect()
     assert [r.category_id for r in row] == [1]
