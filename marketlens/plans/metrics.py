@@ -120,7 +120,7 @@ def with_lists(wide: DataFrame) -> DataFrame:
 def metrics(products: DataFrame, grouped: DataFrame, words: DataFrame, paths: DataFrame, keys=BY_CATEGORY) -> DataFrame:
     """The metrics row of every group.
 
-    ``grouped`` is the result of ``group_facts``, ``words`` the keyword counts per group,
+    ``grouped`` is the result of ``facts_of_groups`` or ``group_facts``, ``words`` the keyword counts per group,
     ``paths`` the path per category. A group without review rows takes every value from product columns.
     The full channel distribution stays a long table (``chosen_platforms``); the row holds its total and
     the top two.

@@ -12,7 +12,7 @@ from marketlens.functions.numbers import DEFAULT_UNITS_PER_REVIEW
 from marketlens.operators import growth as gr
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.products import BY_CATEGORY
-from marketlens.operators.reviews import group_facts, review_facts, yearly_review_counts
+from marketlens.operators.reviews import facts_of_groups, yearly_review_counts
 from marketlens.operators.selection import category_path, largest_categories, pick_category, products_of, reviews_of
 from marketlens.plans import narrative
 from marketlens.plans.metrics import metrics
@@ -53,7 +53,7 @@ def category_rows(products: DataFrame, reviews: DataFrame, settings: Settings =
     Reviews are read twice at most: the numeric columns once into the facts table, the texts once.
     The facts and metrics are written out because several branches read them.
     """
-    grouped = materialise(group_facts(review_facts(reviews), products), "facts")
+    grouped = materialise(facts_of_groups(reviews, products), "facts")
     words = keyword_counts(reviews, products)
     rows = materialise(metrics(products, grouped, words, category_path(products)), "metrics")
     return with_growth(rows, grouped, settings).withColumns(

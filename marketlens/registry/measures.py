@@ -160,7 +160,7 @@ def a17(spark, d):
 
 def metrics_rows(spark, d):
     products, reviews = t.stored_products(spark, d), t.reviews(spark, d, texts=True)
-    facts = materialise(rev.group_facts(rev.review_facts(reviews), products), "facts")
+    facts = materialise(rev.facts_of_groups(reviews, products), "facts")
     return metrics(products, facts, keyword_counts(reviews, products), sel.category_path(products))
 
 

@@ -271,3 +271,20 @@ def test_examples(catalog):
     drawn = examples.sample_examples(pool, ["category_id"], 1).collect()
     want = min(["r2", "r3"], key=lambda r: md5(f"{r}:42"))
     assert {(r.sentiment, r.review_id) for r in drawn} == {("positive", "r1"), ("negative", want)}
+
+
+@pytest.mark.parametrize("sent", [keywords.SENT_PRODUCTS, 0])
+def test_facts_are_grouped_where_reviews_are_read(spark, monkeypatch, sent):
+    """A sent lookup leaves no grouping by product; both ways give the rows of the facts per product."""
+    monkeypatch.setattr(keywords, "SENT_PRODUCTS", sent)
+    rows = [(1, 10, "c", "b"), (1, 20, "c", "b"), (1, 10, "c", "b"), (2, 10, "c", ""), (3, 20, "c", "x"), (None, 20, "c", "x")]
+    products = canonical_products(spark.createDataFrame(rows, "id bigint, category_id bigint, category string, manufacturer string"))
+    texts = [(1, 5.0, "p", "2022-01-02"), (1, None, None, "2022-03-04"), (2, 7.0, "p", None), (3, 0.5, "q", "2021-01-01"), (3, 2.5, "q", "2021-05-01"), (4, 1.0, "p", "2021-05-01"), (None, 1.0, "p", "2021-05-01")]
+    reviews = canonical_reviews(spark.createDataFrame(texts, "product_id bigint, rating double, platform string, review_date string"))
+    found = rev.facts_of_groups(reviews, products)
+    got = sorted(map(str, found.collect()))
+    assert got == sorted(map(str, rev.group_facts(rev.review_facts(reviews), products).select(*found.columns).collect())) and len(got) == 6
+    assert {r.brand: r.rating_sum for r in found.filter("category_id = 20").groupBy("brand").agg(F.sum("rating_sum").alias("rating_sum")).collect()} == {"b": 5.0, "x": 3.0}
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    by_product = [line for line in plan if "Aggregate(" in line and "product_id" in line.split("functions=")[0]]
+    assert bool(by_product) == (sent == 0)
