@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from marketlens.functions.text import word_rows
+from marketlens.functions.text import HANGUL_WORD, LATIN_WORD, word_rows
 from marketlens.operators.products import BY_CATEGORY
 from marketlens.operators.selection import product_lookup
 from marketlens.session import materialise
@@ -13,25 +20,113 @@ from marketlens.session import materialise
 #: Rows of a lookup that may be sent to all tasks, a few short values each; with more, both sides are shuffled.
 SENT_PRODUCTS = 2_000_000
 
+#: Bytes of texts whose words a task adds up at a time.
+PIECE = 1 << 24
+
+#: Bytes with Latin letters in lower case and all other ASCII blank.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 
 def sent(rows: DataFrame) -> DataFrame:
     """A stored table with the hint for a join: to all tasks up to SENT_PRODUCTS rows, else by a hash of the keys."""
     return F.broadcast(rows) if rows.count() <= SENT_PRODUCTS else rows.hint("shuffle_hash")
 
 
+def letters(raw: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 in lower case belong to a Latin letter or a Hangul syllable."""
+    found = (raw != 32) & (raw < 128)
+    at = np.flatnonzero((raw[:-2] >= 0xEA) & (raw[:-2] <= 0xED))
+    code = (raw[at].astype(np.int32) & 15) << 12 | (raw[at + 1].astype(np.int32) & 63) << 6 | raw[at + 2] & 63
+    at = at[(code >= ord("가")) & (code <= ord("힣"))]
+    for k in range(3):
+        found[at + k] = True
+    return found
+
+
+def runs(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Runs of letters in lower case, single Latin ones left out, and how many each text has. No word goes beyond a run."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(bytes(memoryview(texts.buffers()[2] or b"")[bounds[0] : bounds[-1]]).translate(LOWER), np.uint8)
+    bounds = bounds - bounds[0]
+    inside = letters(raw)
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    first, last = bounds[:-1][bounds[:-1] < len(raw)], bounds[1:][bounds[1:] > 0] - 1
+    begins[first], ends[last] = inside[first], inside[last]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    long = end - start > 1
+    inside[start[~long]] = False
+    start, end = start[long], end[long]
+    places = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(places), pa.py_buffer(raw[inside])])
+    return words, np.diff(np.searchsorted(start, bounds))
+
+
+def counted(rows: pa.Table) -> pa.RecordBatch:
+    """Keys, word and count from keys and texts."""
+    *keys, texts = rows.combine_chunks().to_batches()[0].columns
+    number: dict[tuple, int] = {}
+    group = np.array([number.setdefault(key, len(number)) for key in zip(*(k.to_pylist() for k in keys))])
+    first = np.unique(group, return_index=True)[1]
+    found, n = runs(texts)
+    found = found.dictionary_encode()
+    pairs, counts = np.unique(found.indices.to_numpy().astype(np.int64) * len(number) + np.repeat(group, n), return_counts=True)
+    run, group = pairs // len(number), pairs % len(number)
+    # A run of ASCII is a word; any other is searched as the text would be.
+    plain = pc.string_is_ascii(found.dictionary).to_numpy(zero_copy_only=False)
+    pattern = re.compile(f"{HANGUL_WORD}|{LATIN_WORD}")
+    others = found.dictionary.filter(pa.array(~plain)).cast(pa.binary()).to_pylist()
+    searched = [pattern.findall(x.decode("utf-8", "replace")) for x in others]
+    size = np.ones(len(plain), np.int64)
+    size[~plain] = [len(x) for x in searched]
+    place = np.cumsum(plain) - 1
+    place[~plain] = plain.sum() + np.cumsum(size[~plain]) - size[~plain]
+    words = pa.concat_arrays([found.dictionary.filter(pa.array(plain)), pa.array([w for x in searched for w in x], pa.string())])
+    each = size[run]
+    place = np.repeat(place[run] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    columns = [k.take(pa.array(np.repeat(first[group], each))) for k in keys]
+    columns += [words.take(pa.array(place)), pa.array(np.repeat(counts, each))]
+    return pa.RecordBatch.from_arrays(columns, names=[*rows.column_names[:-1], "word", "n"])
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows whose last column, a text, has about PIECE bytes in all; a longer text comes alone."""
+    held, size = [], 0
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1)
+        upto = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff((upto[1:] - upto[0]) // PIECE)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            held.append(batch.slice(a, b - a))
+            size += upto[b] - upto[a]
+            if size >= PIECE:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held)
+
+
+def added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of keys and a text as rows of keys, word and count, added up over about PIECE bytes of texts at a time."""
+    return map(counted, pieces(batches))
+
+
 def words_of_groups(reviews: DataFrame, lookup: DataFrame, keys=BY_CATEGORY, text: Column | None = None, only: DataFrame | None = None) -> DataFrame:
     """Counts per group and word; ``lookup`` has one row per group and product.
 
     Groups and their words are far fewer than products and theirs: repeats are added up where texts are read, and what a
     task holds or shuffles is bounded by the words of all groups. The lookup is counted, and sent to all tasks up to
     SENT_PRODUCTS. Beyond that texts meet it by a hash of the product, without a sort, where the skew-join rule splits
-    a product with a third of all reviews. ``only``, a stored table of distinct words with some of the keys, leaves out all others.
+    a product with a third of all reviews. Words are found and added up in Arrow batches, a piece of the texts at a time, so
+    that Spark adds up sums and not single words. ``only``, a stored table of distinct words with some of the keys, leaves out all others.
     """
     text = F.col("review_text") if text is None else text
     placed = reviews.select("product_id", text.alias("review_text")).join(sent(materialise(lookup.select(*keys, "product_id"), "lookup")), "product_id")
-    words = word_rows(placed, list(keys), F.col("review_text"))
-    words = words if only is None else words.join(sent(only), only.columns)
-    return words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    if only is not None:
+        return word_rows(placed, list(keys), F.col("review_text")).join(sent(only), only.columns).groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    texts = placed.select(*keys, F.col("review_text").cast("binary")).filter(F.col("review_text").isNotNull())
+    schema = T.StructType([*(texts.schema[k] for k in keys), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+    return texts.mapInArrow(added_up, schema).groupBy(*keys, "word").agg(F.sum("n").alias("n"))
 
 
 def keyword_counts(reviews: DataFrame, products: DataFrame, keys=BY_CATEGORY) -> DataFrame:

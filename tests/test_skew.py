@@ -1,12 +1,15 @@
 """One product, category and word with a third of all rows: same numbers as plain counting."""
 
 import os
+import re
 from collections import Counter
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions.catalog import canonical_products, canonical_reviews
-from marketlens.operators import examples, products as prod, reviews as rev
+from marketlens.operators import examples, keywords, products as prod, reviews as rev
 from marketlens.operators.keywords import keyword_counts
 from marketlens.operators.ranking import by_score, top_k
 from marketlens.operators.selection import reviews_with_brand
@@ -90,3 +93,33 @@ def test_texts_are_neither_shuffled_nor_sorted(spark, tmp_path):
         assert found.count() == 9 and found.filter(F.col("review_text") == F.concat(F.lit("word "), F.col("review_id"))).count() == 9
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+ODD = ["", " ", "a", "ab", "Ab cD", "가", "가나 ab가나cd", "x가y나z", "ñandú ésta", "K İİ ſs", "漢字ab漢字", "각곀힣힤ꯍ가가", "no_it-is 3rd\tone\n", "😀ok😀", "AB" * 40]
+
+
+@pytest.mark.parametrize("piece", [1, 20, 1 << 24])
+def test_words_added_up_in_pieces(monkeypatch, piece):
+    """Sums of a task, however texts fall into batches and pieces, are those of the words searched one by one."""
+    monkeypatch.setattr(keywords, "PIECE", piece)
+    texts = ODD * 3
+    groups = [None if i % 7 == 0 else i % 3 for i in range(len(texts))]
+    rows = pa.record_batch({"category_id": pa.array(groups, pa.int64()), "text": pa.array([x.encode() for x in texts], pa.binary())})
+    want = Counter((g, w.lower()) for g, x in zip(groups, texts) for w in re.findall("[가-힣]{2,}|[a-zA-Z]{2,}", x))
+    for size in (1, 4, len(texts)):
+        got = Counter()
+        for batch in keywords.added_up(rows.slice(k, size) for k in range(0, len(texts), size)):
+            for g, w, n in zip(*(c.to_pylist() for c in batch.columns)):
+                got[g, w] += n
+        assert got == want
+
+
+def test_words_reach_spark_as_sums(spark):
+    """A task passes on each word of a group once a piece, not once a place."""
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(ODD * 20)] + [(1, None)], "product_id bigint, review_text string").coalesce(1)
+    lookup = spark.range(len(ODD) * 20).select(F.col("id").alias("product_id"), (F.col("id") % 2).alias("category_id"))
+    found = keywords.words_of_groups(texts, lookup)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    want = Counter((i % 2, w.lower()) for i, x in enumerate(ODD * 20) for w in re.findall("[가-힣]{2,}|[a-zA-Z]{2,}", x))
+    assert {(r.category_id, r.word): r.n for r in found.collect()} == want
