@@ -123,3 +123,25 @@ def test_words_reach_spark_as_sums(spark):
     assert "MapInArrow" in plan and "Generate" not in plan
     want = Counter((i % 2, w.lower()) for i, x in enumerate(ODD * 20) for w in re.findall("[가-힣]{2,}|[a-zA-Z]{2,}", x))
     assert {(r.category_id, r.word): r.n for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("held, held_bytes, once", [(1 << 23, 1 << 26, True), (40, 1 << 26, False), (1, 1, False), (1 << 23, 60, False)])
+def test_words_added_up_over_pieces(monkeypatch, held, held_bytes, once):
+    """A task passes on a word of a group once for all its pieces, and earlier where it would hold too much; sums stay the same."""
+    monkeypatch.setattr(keywords, "PIECE", 20)
+    monkeypatch.setattr(keywords, "HELD", held)
+    monkeypatch.setattr(keywords, "HELD_BYTES", held_bytes)
+    monkeypatch.setattr(keywords, "BATCH", 7)
+    # Groups that come late are numbered anew after each passing on.
+    rows = [((i // 15, None if i % 4 == 0 else str(i % 4)), x) for i, x in enumerate([x for x in ODD if not re.search("[가-힣]", x)] * 3 + ODD * 3)]
+    batch = pa.record_batch({"a": pa.array([g[0] for g, _ in rows], pa.int32()), "b": pa.array([g[1] for g, _ in rows]), "text": pa.array([x.encode() for _, x in rows], pa.binary())})
+    got, seen = Counter(), Counter()
+    for found in keywords.added_up(iter([batch])):
+        assert found.num_rows <= 7 and found.schema.field("a").type == pa.int32()
+        for a, b, w, n in zip(*(c.to_pylist() for c in found.columns)):
+            got[(a, b), w] += n
+            seen[(a, b), w] += 1
+    assert got == Counter((g, w.lower()) for g, x in rows for w in re.findall("[가-힣]{2,}|[a-zA-Z]{2,}", x))
+    # ASCII runs come once; a word that also stands in a longer run may come again.
+    plain = {w for x in ODD for w in re.split("[^a-z]+", x.lower()) if x.isascii()}
+    assert not once or max(n for (_, w), n in seen.items() if w in plain and not any(w in x.lower() for x in ODD if not x.isascii())) == 1
