@@ -32,7 +32,7 @@ from marketlens.llm.labelled import one_row_an_id
 from marketlens.llm.quality import statistics
 
 BUCKETS, ROUNDS, BATCH, STEP, DECAY = 1 << 15, 12, 128, 0.02, 1e-3
-PULL, SETTLED = 2e-3, 1e-3
+PULL, SETTLED = 2e-3, 2e-4
 #: Probabilities are whole multiples of 1 / PARTS, so documents fall into classes of equal ones, however many there are.
 PARTS = 1000
 
