@@ -22,15 +22,22 @@ from marketlens.sources.documents import read_sft_jsonl, write_report_json, writ
 RAW_TEXT_COLUMNS = ["category", "manufacturer", "price_trend", "specifications", "unit_price", "review_tags", "review_rating_distribution", "review_platform_distribution", "updated_at"]
 
 
+def catalog_through_csv(spark, d):
+    """Both raw tables written as compressed CSV folders and read back. Whole texts come once a line item, so plain
+    files would be several times the input."""
+    root = scratch_path(spark, "catalog")
+    write_catalog_csv(t.raw_products(spark, d), f"{root}/products", "gzip")
+    for k, part in enumerate(t.raw_review_slices(spark, d)):
+        write_catalog_csv(part, f"{root}/reviews", "gzip", "append" if k else "overwrite")
+    return read_catalog_csv(spark, f"{root}/products", f"{root}/reviews")
+
+
 @query(
     "s1_s4_catalog_csv",
     f"""select cast(id as varchar) as id, cast(category_id as varchar) as category_id, category, nullif(manufacturer, '') as manufacturer, specifications, review_tags, review_rating_distribution, updated_at from raw_products""",
 )
 def s1_s4(spark, d):
-    root = scratch_path(spark, "catalog")
-    write_catalog_csv(t.raw_products(spark, d), f"{root}/products")
-    write_catalog_csv(t.raw_reviews(spark, d, texts=True), f"{root}/reviews")
-    products, _ = read_catalog_csv(spark, f"{root}/products", f"{root}/reviews")
+    products, _ = catalog_through_csv(spark, d)
     blank = F.nullif(F.col("manufacturer"), F.lit(""))
     return products.select("id", "category_id", "category", blank.alias("manufacturer"), "specifications", "review_tags", "review_rating_distribution", "updated_at")
 
@@ -40,10 +47,7 @@ def s1_s4(spark, d):
     "select review_id, cast(product_id as varchar) as product_id, rating, nullif(trim(platform), '') as platform, nullif(review_text, '') as review_text from raw_reviews",
 )
 def s1_s4_reviews(spark, d):
-    root = scratch_path(spark, "catalog")
-    write_catalog_csv(t.raw_products(spark, d), f"{root}/products")
-    write_catalog_csv(t.raw_reviews(spark, d, texts=True), f"{root}/reviews")
-    _, reviews = read_catalog_csv(spark, f"{root}/products", f"{root}/reviews")
+    _, reviews = catalog_through_csv(spark, d)
     text = F.nullif(F.col("review_text"), F.lit(""))
     return reviews.select("review_id", "product_id", to_number(F.col("rating")).alias("rating"), F.nullif(F.trim("platform"), F.lit("")).alias("platform"), text.alias("review_text"))
 

@@ -17,6 +17,9 @@ from marketlens.session import configure, materialise
 
 Q = "chr(39)"
 
+#: Tables whose files hold as much together are joined in so many slices, where each is written by itself.
+LARGE, SLICES = 256 << 20, 4
+
 
 def pairs(*items: tuple[str, str]) -> str:
     """SQL text of a Python dict literal with quoted keys and bare values."""
@@ -117,9 +120,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_bytes(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """What the tables' files hold together; the files are listed, not read."""
+    files = spark.read.format("binaryFile").load([f"{sf_dir}/{name}.parquet" for name in names])
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    return run_over(spark, sql, {n: table(spark, sf_dir, n) for n in names})
+
+
+def run_over(spark: SparkSession, sql: str, frames: dict[str, DataFrame]) -> DataFrame:
     text = re.sub(r"varchar\(\d+\)", "string", sql).replace("{", "{{").replace("}", "}}")
-    frames = {n: table(spark, sf_dir, n) for n in names}
     return spark.sql(re.sub(r"@(\w+)", r"{\1}", text), **frames)
 
 
@@ -133,6 +145,19 @@ def raw_reviews(spark: SparkSession, sf_dir: str, texts: bool = False) -> DataFr
     return run(spark, sf_dir, REVIEWS_WITHOUT_TEXT, "lineitem")
 
 
+def raw_review_slices(spark: SparkSession, sf_dir: str, large: int = LARGE) -> list[DataFrame]:
+    """Raw reviews with texts, from large files in slices by a hash of the order: written one after the other, only one
+    slice's lines and texts are in shuffle files at a time. Lines without an order are in one of them."""
+    keys = {"lineitem": "l_orderkey", "documents": "doc_id"}
+    n = SLICES if file_bytes(spark, sf_dir, *keys) >= large else 1
+
+    def sliced(name: str, k: int) -> DataFrame:
+        rows = table(spark, sf_dir, name)
+        return rows if n == 1 else rows.filter(F.pmod(F.xxhash64(F.col(keys[name]).cast("bigint")), F.lit(n)) == k)
+
+    return [run_over(spark, REVIEWS_WITH_TEXT, {name: sliced(name, k) for name in keys}) for k in range(n)]
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_products(raw_products(spark, sf_dir))
 

@@ -1,7 +1,10 @@
 """Metrics rows, texts, reports and training records end to end on a small catalog."""
 
 import json
+import time
 from collections import Counter
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +13,9 @@ from marketlens.functions.catalog import canonical_products, canonical_reviews
 from marketlens.plans import narrative, records, report
 from marketlens.plans.export import export_largest
 from marketlens.plans.phrases import BULLETS, ENTRY, GROWTH, OVERVIEW
+from marketlens.registry import QUERIES, tables
 from marketlens.registry.cleaning import conversation_records  # noqa: F401
+from marketlens.session import shared_dir
 from marketlens.sources.catalog import bounds_query, key_predicates, read_catalog_csv, write_catalog_csv
 from marketlens.sources.documents import read_sft_jsonl, write_report_json, write_sft_jsonl
 
@@ -186,6 +191,53 @@ def test_csv_round_trip_keeps_quotes_and_line_breaks(spark, tmp_path, catalog):
     assert left == right
 
 
+def line_tables(spark, folder):
+    """Tables of a few lines: orders with one text, two, none; lines and texts without a key; one repeated line."""
+    text = 'said "so",\nthen left ' * 400
+    lines = [(None if k == 7 else k % 40, k % 20, k % 3, k % 4, float(k), "ANR"[k % 3], datetime(1996, 1, 1 + k % 28)) for k in [*range(200), 3]]
+    documents = [(k, f"{k} {text}") for k in range(30)] + [(5, "again"), (None, "of no order")]
+    tables = {
+        "lineitem": (lines, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz"),
+        "documents": (documents, "doc_id bigint, text string"),
+        "part": ([(k, "red bolt", "Brand#2", "LARGE", k, 9.5) for k in range(20)], "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "supplier": ([(k, f"s{k}", 1.5) for k in range(3)], "s_suppkey bigint, s_name string, s_acctbal double"),
+    }
+    for name, (rows, columns) in tables.items():
+        spark.createDataFrame(rows, columns).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_csv_of_the_catalog_is_smaller_than_its_texts(spark, tmp_path):
+    d = line_tables(spark, tmp_path)
+    held = lambda: {p: p.stat().st_size for p in Path(shared_dir(spark)).glob("catalog-*/reviews/part-*")}
+    before = held()
+    rows = QUERIES["s1_s4_reviews_csv"](spark, d)
+    written = sum(size for p, size in held().items() if p not in before)
+    want = tables.raw_reviews(spark, d, texts=True).selectExpr("review_id", "cast(product_id as string) product_id", "rating", "nullif(trim(platform), '') platform", "review_text").collect()
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, want)) and len(want) == 206
+    assert 0 < written < sum(len(r.review_text or "") for r in want) / 4
+
+
+def test_slices_hold_every_review_once(spark, tmp_path):
+    d = line_tables(spark, tmp_path)
+    whole = tables.raw_reviews(spark, d, texts=True).collect()
+    slices = [x.collect() for x in tables.raw_review_slices(spark, d, large=0)]
+    assert Counter(r for x in slices for r in x) == Counter(whole) and sum(bool(x) for x in slices) > 1
+    assert len(tables.raw_review_slices(spark, d)) == 1
+
+
+def test_csv_writes_leave_no_shuffle_files(spark, tmp_path):
+    blocks = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").split("\n")
+    held = {b for b in blocks() if b.startswith("shuffle_")}
+    rows = spark.range(1000).repartition(4, "id")
+    write_catalog_csv(rows, str(tmp_path / "rows"))
+    until = time.time() + 30  # other executors are told, not waited for
+    while (left := {b for b in blocks() if b.startswith("shuffle_")} - held) and time.time() < until:
+        time.sleep(0.2)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert rows.count() == spark.read.csv(str(tmp_path / "rows"), header=True).count() == 1000
+
+
 @pytest.mark.parametrize("keys", [list(range(100)), [5] * 60 + list(range(40)), ["b", "a'b", "c", "a"] * 5, [7], []])
 def test_jdbc_parts_hold_every_row_once(spark, keys):
     """Bounds as the database would measure them deal all rows, also those without a key."""
