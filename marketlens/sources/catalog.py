@@ -27,12 +27,17 @@ def csv_by_headers(spark: SparkSession, path: str) -> DataFrame:
     united by column name, with nulls where a file lacks a column. Only the head of each file is read for this.
     """
     files = sorted(unquote(name) for name in spark.read.text(path).inputFiles())
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
 
     def header(file: str) -> tuple[str, ...]:
         return tuple(spark.read.options(**CSV).csv(file).columns)
 
     with ThreadPoolExecutor(READERS) as pool:
-        headers = list(pool.map(header, files))
+        # One job a different head, not a file: the driver keeps what each job sent out.
+        heads = [head or file for file, head in zip(files, pool.map(lambda file: plain_head(spark, conf, file), files))]
+        first = dict(zip(reversed(heads), reversed(files)))
+        columns_of = dict(zip(first, pool.map(header, first.values())))
+    headers = [columns_of[head] for head in heads]
     by_header: dict[tuple[str, ...], list[str]] = {}
     for file, columns in zip(files, headers):
         if columns:
@@ -44,6 +49,24 @@ def csv_by_headers(spark: SparkSession, path: str) -> DataFrame:
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), frames)
 
 
+def plain_head(spark: SparkSession, conf, file: str) -> str | None:
+    """The first line of a plain or gzip file where equal lines are equal headers: not empty, and without quotes (which
+    may hold line breaks) or lone carriage returns."""
+    hadoop = spark._jvm.org.apache.hadoop
+    path = hadoop.fs.Path(file)
+    codec = hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+    if codec is not None and codec.getDefaultExtension() != ".gz":
+        return None
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        line = hadoop.io.Text()
+        hadoop.util.LineReader(codec.createInputStream(stream) if codec else stream, b"\n").readLine(line)
+        head = line.toString()
+    finally:
+        stream.close()
+    return head if head.strip() and '"' not in head and "\r" not in head[:-1] else None
+
+
 def text_schema(columns) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 

@@ -1,5 +1,7 @@
 """Odd numbers, files with other headers and rows without ids."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,19 @@ def test_csv_files_of_one_folder_go_by_their_own_headers(spark, tmp_path):
     (tmp_path / "empty.csv").write_text("")
     got = {(r.id, r.category_id, r.note) for r in csv_by_headers(spark, str(tmp_path)).collect()}
     assert got == {("7", "5", "x"), ("8", "5", None), ("9", "5\n6", None)}
+
+
+def test_csv_files_of_one_header_take_one_job(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"{k:02d}.csv").write_text(f"id,note\n{k},a\n")
+        (tmp_path / f"{k:02d}.csv.gz").write_bytes(gzip.compress(f"note,id\nb,{k}\n".encode()))
+        (tmp_path / f"{k:02d}-crlf.csv").write_bytes(f"id,note\r\n{k},e\r\n".encode())
+    # Equal first lines, headers that differ after a line break.
+    (tmp_path / "p.csv").write_text('id,"no\nte"\n1,c\n')
+    (tmp_path / "q.csv").write_text('id,"no\nme"\n2,d\n')
+    jobs = lambda: set(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = jobs()
+    found = csv_by_headers(spark, str(tmp_path))
+    assert len(jobs() - before) <= 5
+    rows = {(r["id"], r["note"], r["no\nte"], r["no\nme"]) for r in found.collect()}
+    assert rows == {(str(k), x, None, None) for k in range(12) for x in "abe"} | {("1", None, "c", None), ("2", None, None, "d")}
